@@ -1,0 +1,40 @@
+"""Connected components of a graph of links, as joins and aggregations."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def _stars(links: DataFrame, large: bool) -> DataFrame:
+    """One step of the alternating star algorithm (Kiveris et al., 2014): links every neighbour of a node to the least of the node and its neighbours.
+
+    The least neighbour comes from an aggregation and is joined back, so a node with very many links is pre-aggregated and its rows may be split among tasks.
+    """
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    if not large:
+        both = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = both.join(least, "u")
+    if large:
+        out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    else:
+        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component): for every node of ``links`` (columns a and b) the least node that it reaches.
+
+    Each round ends in files of the shared folder. A null or a loop is no link; an empty table has no nodes.
+    Without convergence in ``rounds`` rounds (far above the logarithm of any input) it raises.
+    """
+    links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = None
+    for _ in range(rounds):
+        now = links.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("x")).first()
+        if now == mark or not now.n:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        mark = now
+        links = cut(_stars(_stars(links, True), False))
+    raise RuntimeError(f"no convergence in {rounds} rounds")
