@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, simhash, token_file
+from . import bpe, host_rules, language, quality, simhash, token_file
 from .common import fresh_path, read
 
 RANKS = {"ranks": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
@@ -27,6 +27,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-file")
     token_file.write(read(spark, sf_dir, "documents"), FILE, path, end_id=2)
@@ -41,7 +49,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op8_token_file, op9_simhash, op10_host_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op5_quality, op7_language, op8_token_file, op9_simhash, op10_host_rules)}
 
 ORACLE: dict[str, str] = {}
 
