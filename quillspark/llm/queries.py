@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, language, quality, simhash, token_file
+from . import bpe, hamming, host_rules, language, line_dedup, mixing, quality, simhash, token_file
 from .common import fresh_path, read
 
 RANKS = {"ranks": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
@@ -27,10 +27,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "copy", "n_copies", "shuffle_key", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def op4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.sign_codes(read(spark, sf_dir, "embeddings"))
+    return hamming.top_k(codes, codes.where("id % 20 = 0"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
@@ -49,7 +63,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op5_quality, op7_language, op8_token_file, op9_simhash, op10_host_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_mixing, op4_hamming, op5_quality, op6_line_dedup, op7_language, op8_token_file, op9_simhash, op10_host_rules)}
 
 ORACLE: dict[str, str] = {}
 
@@ -71,3 +85,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND coalesce((f + m * s) / (n + s), m) <= 0.5 AS kept, coalesce((f + m * s) / (n + s), m) AS host_rate
 FROM judged LEFT JOIN hosts USING (host), prior
 """
+
+ORACLE["op3_mixing"] = """
+WITH sources AS (SELECT source, count(*)::DOUBLE AS n, sqrt(count(*)::DOUBLE) AS w FROM documents GROUP BY source),
+rates AS (SELECT source, w / (SELECT sum(w) FROM sources) * (SELECT sum(n) FROM sources) / n AS rate FROM sources),
+parts AS (SELECT source, greatest(ceil(rate / 8.0), 1)::INT AS pieces, rate / greatest(ceil(rate / 8.0), 1) AS mean FROM rates),
+steps AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM (SELECT source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS p FROM parts, range(64) AS r(k))),
+draws AS (SELECT doc_id, source, text, unnest(range(1, pieces + 1)) AS j FROM documents JOIN parts USING (source)),
+drawn AS (SELECT doc_id, source, text, j, ('0x' || substr(md5('mix:' || doc_id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM draws),
+hits AS (SELECT doc_id, source, text, (SELECT count(*) FROM steps s WHERE s.source = d.source AND s.c <= d.u)::INT AS n FROM drawn d),
+counts AS (SELECT doc_id, source, text, sum(n)::INT AS n_copies FROM hits GROUP BY ALL),
+copies AS (SELECT doc_id, source, text, n_copies, unnest(range(1, n_copies + 1))::INT AS copy FROM counts)
+SELECT doc_id, source, copy, n_copies, ('0x' || substr(md5('mix:order:' || doc_id || ':' || copy), 1, 15))::BIGINT AS shuffle_key, md5(coalesce(text, '')) AS text_md5 FROM copies
+"""
+
+ORACLE["op4_hamming"] = """
+WITH c AS (SELECT vec_id AS id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN pow(2::HUGEINT, i)::HUGEINT ELSE 0 END))::UBIGINT AS code FROM embeddings),
+pairs AS (SELECT q.id AS query_id, c.id AS neighbor_id, bit_count(xor(q.code, c.code))::BIGINT AS distance FROM c AS q, c WHERE q.id % 20 = 0 AND q.id <> c.id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id))::INT AS rank, neighbor_id, distance FROM pairs QUALIFY rank <= 10
+"""
+
+ORACLE["op6_line_dedup"] = rf"""
+WITH pieces AS (SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{line_dedup.UNIT}') AS p FROM documents)),
+placed AS (SELECT doc_id, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i))::INT AS stop, length(piece)::INT AS size, list_filter(string_split_regex(lower(piece), '\s+'), lambda x: x <> '') AS w FROM pieces),
+found AS (SELECT doc_id, stop - size AS start, stop, len(w)::INT AS n_words, md5(array_to_string(w, ' ')) AS digest FROM placed WHERE len(w) >= {line_dedup.MIN_WORDS}),
+ranked AS (SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(start) OVER o AS kept_start, row_number() OVER o AS r FROM found WINDOW o AS (PARTITION BY digest ORDER BY doc_id, start))
+SELECT doc_id, start, stop, n_words, digest, kept_doc_id, kept_start FROM ranked WHERE r > 1
+"""
