@@ -4,9 +4,8 @@
 begin; ``decode`` puts the bytes of the ids together again. A character whose bytes are split between ids
 has one offset for all of them, and is whole again once the bytes are joined.
 
-Most of a text is words after single blanks. No match of the split pattern crosses a blank that follows a
-visible character, so a text is cut there, and each distinct piece is encoded once by the library and then
-remembered. A text with a longer run of white space is encoded whole.
+A text is split as the vocabulary's pattern says (or, outside Latin-1, cut before blanks that no match of
+the pattern crosses), and each distinct piece is encoded once by the library and then remembered.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded each; an empty table gives an
 empty result; other columns are kept (``encode``/``decode`` reject an output name that is taken).
@@ -56,20 +55,24 @@ def load(spec: dict):
     return tok
 
 
-#: Letters of the scripts whose words are split from their punctuation, so that the word is remembered once.
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: A private character, used only between words of _LETTERS.
+#: The usual split pattern of byte-level vocabularies, for texts of Latin-1 characters only: there its classes can be written out.
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: A blank before which a text cannot be cut: it has white space on both sides. And the pieces of texts without one.
+_RUN = re.compile(r"[\s\x85] (?=[\s\x85]|$)|^ (?=[\s\x85]|$)")
+_UNITS = re.compile(r" ?[^ ]+| ")
+#: A private character, used only between matches of _LATIN.
 _BETWEEN = "\ue000"
 
 
 class Encoder:
     """Encodes texts to little-endian ids of ``dtype``.
 
-    Pieces that follow a blank are remembered in two generations of up to ``limit`` each: when the younger
-    one is full it becomes the older one, whose pieces return to the younger when they are met again.
+    Pieces of texts are remembered in two generations of up to ``limit`` each: when the younger one is full
+    it becomes the older one, whose pieces return to the younger when they are met again.
     """
 
-    def __init__(self, spec: dict, limit: int = 500_000, longest: int = 64):
+    def __init__(self, spec: dict, limit: int = 400_000, longest: int = 64):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.limit, self.longest = load(spec), limit, longest
@@ -78,64 +81,55 @@ class Encoder:
         self.matches = Tokenizer(self.tok.model)  # for text that is split into its matches already
         self.matches.pre_tokenizer = pre_tokenizers.Split(_BETWEEN, "removed")
         self.shown = str.maketrans({chr(b): c for b, c in byte_characters().items()})
-        self.known: dict[str, bytes | None] = {}  # pieces without their blank; None: begins with white space
-        self.older: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.between = _BETWEEN.encode().decode("latin-1").translate(self.shown)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def words(self, words: list[str], at_once: int = 2000) -> list[bytes]:
-        """Ids of a blank and each word, where that is one match of the pattern: all in one call, then cut by the widths of the ids."""
+    def split(self, parts: list[str], at_once: int = 2000) -> list[bytes]:
+        """Ids of parts that are one match of the pattern each: all in one call, then cut by the widths of the ids."""
         out = []
-        for i in range(0, len(words), at_once):
-            part = [f" {x}".encode() for x in words[i : i + at_once]]
-            text = _BETWEEN.encode().join(part).decode("latin-1").translate(self.shown).replace(_BETWEEN.encode().decode("latin-1").translate(self.shown), _BETWEEN)
+        for i in range(0, len(parts), at_once):
+            part = [x.encode() for x in parts[i : i + at_once]]
+            text = _BETWEEN.encode().join(part).decode("latin-1").translate(self.shown).replace(self.between, _BETWEEN)
             ids = np.array(self.matches.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             ends = (np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(x) for x in part])) + 1) * self.dtype.itemsize
             raw, ends = ids.tobytes(), ends.tolist()
             out += [raw[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    def learn(self, pieces: list[str]) -> None:
-        """A run of letters that no letter follows is a match of its own, so it and what follows are encoded apart."""
-        known, older, match = self.known, self.older, _LETTERS.match
-        plain, parts = [], []
-        for x in pieces:
-            if x in older:
-                known[x] = older[x]
-            elif not x or x[0].isspace():
-                known[x] = None
-            elif len(x) <= self.longest and (m := match(x)) and not x[m.end() : m.end() + 1].isalpha():
-                parts.append((x, m.group(), x[m.end() :]))
-            else:
-                plain.append(x)
-        words = list({w for _, w, _ in parts})
-        ids = dict(zip(words, self.words(words)))
-        tails = list({t for _, _, t in parts if t not in self.tails})
-        self.tails.update(zip(tails, self.whole(tails)))
-        known.update((x, ids[w] + self.tails[t]) for x, w, t in parts)
-        known.update(zip(plain, self.whole([f" {x}" for x in plain])))
+    def learn(self, pieces: list[list[str]], encode) -> None:
+        known, older = self.known, self.older
+        new = list({x for x in chain.from_iterable(pieces) if x not in known})
+        if older:
+            known.update((x, older[x]) for x in new if x in older)
+            new = [x for x in new if x not in known]
+        known.update(zip(new, encode(new)))
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        known = self.known
-        cut = [x.split(" ") for x in batch]
-        heads = self.whole([x[0] for x in cut])
-        pieces = {x for x in chain.from_iterable(cut) if x not in known}
-        self.learn(list(pieces))
-        out = []
-        for text, parts, head in zip(batch, cut, heads):
-            try:
-                out.append(head + b"".join(map(known.__getitem__, parts[1:])))
-            except TypeError:  # it has a longer run of white space
-                out.append(self.whole([text])[0])
-        for x in pieces:
-            if len(x) > self.longest:
-                del known[x]
-        if len(known) > self.limit:
-            self.known, self.older = {}, known
-        if len(self.tails) > self.limit:
-            self.tails = {"": b""}
+        out: list[bytes] = [b""] * len(batch)
+        latin = [i for i, x in enumerate(batch) if x.isascii() or len(x.encode("latin-1", "ignore")) == len(x)]
+        others = sorted({*range(len(batch))} - {*latin})
+        pieces = [_LATIN.findall(batch[i]) for i in latin]
+        self.learn(pieces, self.split)
+        lookup = self.known.__getitem__
+        for i, parts in zip(latin, pieces):
+            out[i] = b"".join(map(lookup, parts))
+        # In other scripts a text is cut before blanks, which no match crosses where a visible character comes before or behind.
+        plain = [i for i in others if not _RUN.search(batch[i])]
+        pieces = [_UNITS.findall(batch[i]) for i in plain]
+        self.learn(pieces, self.whole)
+        for i, parts in zip(plain, pieces):
+            out[i] = b"".join(map(lookup, parts))
+        rest = sorted({*others} - {*plain})
+        for i, ids in zip(rest, self.whole([batch[i] for i in rest])):
+            out[i] = ids
+        if len(self.known) > self.limit:
+            self.known, self.older = {x: v for x, v in self.known.items() if len(x) <= self.longest}, {}
+            if len(self.known) > self.limit:
+                self.known, self.older = {}, self.known
         return out
 
 
