@@ -153,6 +153,11 @@ def train(docs: DataFrame, per_language: int = 1500) -> Model:
     return Model(langs, grams.astype(np.uint32), counts)
 
 
+def shares(bits: np.ndarray) -> np.ndarray:
+    """The best language's share if each had the same prior."""
+    return 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (share of the best language if each had the same prior) and bits (its code length) of every document."""
     spark: SparkSession = docs.sparkSession
@@ -170,8 +175,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 bits = model.bits([strings[i].lower().encode() for i in which])
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(len(best)), best]
-                score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-                for i, b, s, n in zip(which.tolist(), best.tolist(), score.tolist(), least.tolist()):
+                for i, b, s, n in zip(which.tolist(), best.tolist(), shares(bits).tolist(), least.tolist()):
                     rows[i] = (model.langs[b], s, n)
             lang, score, n = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.float64())], names=["doc_id", "lang_pred", "score", "bits"])
@@ -183,3 +187,21 @@ def identify(docs: DataFrame, per_language: int = 1500) -> DataFrame:
     """Learns from the documents that are not held out and predicts all of them."""
     model = train(docs.where(~F.coalesce(held_out(), F.lit(True))), per_language)
     return predict(docs, model).withColumn("held_out", F.coalesce(held_out(), F.lit(True)))
+
+
+def accepted(docs: DataFrame, model: Model, sure: float = 0.5) -> DataFrame:
+    """The documents, whole rows, that have a letter and whose best language has more than the share ``sure``. The text passes the model where it lies, without a shuffle."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            strings = texts(batch)
+            keep = np.array([next(filter(str.isalpha, x), None) is not None for x in strings], bool) & bool(model.langs)
+            which = np.flatnonzero(keep)
+            if len(which):
+                keep[which] = shares(model.bits([strings[i].lower().encode() for i in which])) > sure
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

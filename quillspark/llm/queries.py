@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, host_rules, language, line_dedup, mixing, quality, simhash, token_file
+from . import bpe, hamming, host_rules, language, line_dedup, mixing, quality, secrets, simhash, token_file
 from .common import fresh_path, read
 
 RANKS = {"ranks": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 FILE = {"file": public_tokenizers.path("byte_bpe_50k.json")}
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "stop", F.sha2("value", 256).alias("secret_sha256"), "score")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(docs, RANKS).drop("text")
@@ -63,7 +68,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_mixing, op4_hamming, op5_quality, op6_line_dedup, op7_language, op8_token_file, op9_simhash, op10_host_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_byte_bpe, op3_mixing, op4_hamming, op5_quality, op6_line_dedup, op7_language, op8_token_file, op9_simhash, op10_host_rules)}
 
 ORACLE: dict[str, str] = {}
 

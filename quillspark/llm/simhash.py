@@ -68,6 +68,18 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, code long")
 
 
+def _keyed_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, __key and code of rows (doc_id, text, __key)."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            codes = [fingerprint(hashes(x.encode(), shingle)) for x in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(codes, pa.int64())], names=["doc_id", "__key", "code"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "__key").mapInArrow(run, "doc_id long, __key long, code long")
+
+
 def layout(distance: int, parts: int) -> list[tuple[list[int], int]]:
     """For each trie the bits in their order, highest first, and how many of them two codes must share."""
     edges = np.linspace(0, BITS, parts + 1).astype(int)
@@ -250,14 +262,37 @@ def _by_trie(rows: np.ndarray):
         yield trie, group, own[3], own[4].view(np.uint64)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 5) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest document id that can be reached, itself included."""
-    prints = cut(fingerprints(docs, shingle))
+def classes(prints: DataFrame, distance: int = 4, parts: int = 5) -> DataFrame:
+    """code and component_id of every distinct code of ``prints`` (doc_id, code)."""
     distinct = cut(prints.groupBy("code").agg(F.min("doc_id").alias("first")))
     found = components(links(distinct, distance, parts))
     # Nodes are codes; a component's name is the least document id among its codes.
     named = distinct.join(found.withColumnRenamed("node", "code"), "code")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = cut(named.join(least, "component").select("code", "component_id"))
-    alone = distinct.join(classes, "code", "left").select("code", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(alone, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = cut(named.join(least, "component").select("code", "component_id"))
+    return distinct.join(linked, "code", "left").select("code", F.coalesce("component_id", "first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 5) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest document id that can be reached, itself included."""
+    prints = cut(fingerprints(docs, shingle))
+    return prints.join(classes(prints, distance, parts), "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 5) -> DataFrame:
+    """The documents, whole rows, of the lowest id in each component. Rows that share that id stay once (the least by a hash of the text).
+
+    Only ids and fingerprints are shuffled; the ids that leave are then taken out of the documents.
+    """
+    named = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias("__key"))
+    prints = cut(_keyed_fingerprints(named, shingle))
+    joined = prints.join(classes(prints.select("doc_id", "code"), distance, parts), "code")
+    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "__key")
+    component = F.coalesce("component_id", F.lit((1 << 63) - 1))
+    best = joined.groupBy(component.alias("c")).agg(F.min(rank).alias("best"))
+    stay = best.select(F.col("best.__key").alias("__key"))
+    leave = cut(prints.select("__key").distinct().join(stay, "__key", "left_anti"))
+    kept = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))).join(leave, "__key", "left_anti")
+    if prints.groupBy("__key").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__key"])
+    return kept.select(*docs.columns)
