@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..session import cut
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
