@@ -1,14 +1,12 @@
 """What several operators of this subpackage share."""
 
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, shared_dir, ship  # noqa: F401
 
 #: Characters that separate words: the blank and \x09 to \x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -19,20 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; where none is set (tests, one machine), a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, materialised once in the shared folder, so that a lost executor costs no recomputation and what follows starts from files."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import bounded_batches, cut, texts
-from .components import components
 
 SEED = 42
 BITS = 64
