@@ -76,7 +76,7 @@ def recordings(spark: SparkSession, sf: str) -> DataFrame:
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
     """Silences: events of a user at 1/240 of their distance from the first one, as long as a hundredth of their value."""
-    e = table(spark, sf, "events").select(F.col("user_id").alias("recording_id"), "ts", "value", "event_id")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("recording_id"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
     first = F.min("ts").over(Window.partitionBy("recording_id"))
     start = (F.unix_micros("ts") - F.unix_micros(first)) / 1e6 / 240
     order = Window.partitionBy("recording_id").orderBy("ts", "event_id")
@@ -221,7 +221,7 @@ def request_log(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     codes = F.array(*map(F.lit, ("1001", "1018", "1019", "1020", "1021", "429", "401", "ok")))
     attempt = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = e.select(F.col("user_id").alias("request_id"), attempt.alias("attempt"), "ts", F.when(F.col("user_id") % 2 == 0, "statement").otherwise("http").alias("source"), F.element_at(codes, (F.col("event_id") % 8 + 1).cast("int")).alias("code"))
+    rows = e.select(F.col("user_id").alias("request_id"), attempt.alias("attempt"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("user_id") % 2 == 0, "statement").otherwise("http").alias("source"), F.element_at(codes, (F.col("event_id") % 8 + 1).cast("int")).alias("code"))
     return rows.where(F.col("attempt") <= F.col("request_id") % 7 + 1)
 
 

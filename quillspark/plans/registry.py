@@ -5,9 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import captions, pages
+from . import captions, lectures, pages
 
-AREAS = (captions, pages)
+AREAS = (captions, pages, lectures)
 
 
 def with_package(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
