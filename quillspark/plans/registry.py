@@ -5,9 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import captions, lectures, pages
+from . import captions, lectures, pages, records
 
-AREAS = (captions, pages, lectures)
+AREAS = (captions, pages, lectures, records)
 
 
 def with_package(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
