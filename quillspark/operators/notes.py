@@ -93,7 +93,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = 0
     members = cut(hashed.select("doc_id", "h"))
     texts = hashed.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("text").alias("text"))
     sets = cut(texts.select("id", "h", words.alias("w")).select("id", "h", F.array_distinct(shingles).alias("s")))
-    bands_of = F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(*(F.array_min(F.transform("s", lambda x, k=b * rows + r: F.xxhash64(x, F.lit(k)))) for r in range(rows))).alias("key")) for b in range(bands)))
+    least = lambda seed: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(seed))))
+    bands_of = F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(*(least(b * rows + r) for r in range(rows))).alias("key")) for b in range(bands)))
     keyed = sets.select("id", F.explode(bands_of).alias("x")).select("id", "x.band", "x.key")
     lowest = keyed.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     starred = cut(keyed.join(lowest.select("band", "key", "a"), ["band", "key"]).where("id > a"))
