@@ -72,7 +72,7 @@ class Encoder:
     it becomes the older one, whose pieces return to the younger when they are met again.
     """
 
-    def __init__(self, spec: dict, limit: int = 400_000, longest: int = 64):
+    def __init__(self, spec: dict, limit: int = 200_000, longest: int = 64):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.limit, self.longest = load(spec), limit, longest
@@ -155,9 +155,15 @@ def token_bytes(tok) -> list[bytes]:
 
 
 def byte_table(spec: dict) -> list[bytes]:
+    """The bytes of each id, from the vocabulary's file alone."""
     key = ("bytes", *sorted(spec.items()))
     if key not in _cache:
-        _cache[key] = token_bytes(encoder(spec).tok)
+        if "ranks" in spec:
+            with open(spec["ranks"], "rb") as f:
+                ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+            _cache[key] = [ranks.get(i, b"") for i in range(max(ranks, default=-1) + 1)]
+        else:
+            _cache[key] = token_bytes(load(spec))
     return _cache[key]
 
 
@@ -181,7 +187,8 @@ def encode(docs: DataFrame, spec: dict, text: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        enc, widths = encoder(spec), np.array([len(x) for x in byte_table(spec)], np.int64)
+        enc = encoder(spec)
+        widths = enc.widths
         for batch in batches:
             strings = texts(batch, text)
             ids = [np.frombuffer(x, enc.dtype).astype(np.int32) for x in enc.encode(strings)]

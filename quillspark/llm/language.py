@@ -24,6 +24,8 @@ from .common import bounded_batches, held_out, texts
 ORDER = 3
 GRAM = ORDER + 1
 CHUNK = 1 << 20
+#: Up to so many halves of grams (of two bytes) a table of all their pairs is made, 100 MB; beyond, grams are searched for.
+WIDEST = 5000
 
 
 def _grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +88,18 @@ class Model:
             self.keys[order], self.lengths[order] = keys, np.where(n > 0, seen, escape[of] + below).astype(np.float32)
             self.escapes[order] = contexts, escape.astype(np.float32)
             shorter = self.lengths[order]
-        # Grams of the longest order are found by the numbers of their two halves.
+        self.grams, self.at = grams, None
+
+    def prepare(self) -> None:
+        """Grams of the longest order are found by the numbers of their two halves. The table is made where it is used, and not sent."""
+        grams = self.grams
         halves = np.unique(np.concatenate([grams >> 16, grams & 0xFFFF]).astype(np.int64))
         self.half = np.zeros(1 << 16, np.int32)
         self.half[halves] = np.arange(1, len(halves) + 1)
         self.wide = len(halves) + 1
+        if self.wide > WIDEST:
+            self.at = np.zeros(0, np.int32)
+            return
         self.at = np.full(self.wide * self.wide, -1, np.int32)
         self.at[self.half[grams >> 16].astype(np.int64) * self.wide + self.half[grams & 0xFFFF]] = np.arange(len(grams))
 
@@ -117,11 +126,17 @@ class Model:
 
     def bits(self, raws: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
+        if self.at is None:
+            self.prepare()
         total = np.zeros((len(raws), len(self.langs)))
         grams, starts = _grams(raws)
         for lo in range(0, len(grams), CHUNK):
             part = grams[lo : lo + CHUNK]
-            at = self.at[self.half[part >> np.uint32(16)].astype(np.int64) * self.wide + self.half[part & np.uint32(0xFFFF)]]
+            if len(self.at):
+                at = self.at[self.half[part >> np.uint32(16)].astype(np.int64) * self.wide + self.half[part & np.uint32(0xFFFF)]]
+            else:
+                at = np.minimum(np.searchsorted(self.grams, part), len(self.grams) - 1).astype(np.int32)
+                at[self.grams[at] != part] = -1
             lengths = self.lengths[GRAM][at]
             missing = np.flatnonzero(at < 0)
             if len(missing):
