@@ -270,7 +270,8 @@ def classes(prints: DataFrame, distance: int = 4, parts: int = 5) -> DataFrame:
     named = distinct.join(found.withColumnRenamed("node", "code"), "code")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = cut(named.join(least, "component").select("code", "component_id"))
-    return distinct.join(linked, "code", "left").select("code", F.coalesce("component_id", "first").alias("component_id"))
+    # Written, so that a join of all documents to it has a shuffle of its own on both sides, and a common code may be split among tasks.
+    return cut(distinct.join(linked, "code", "left").select("code", F.coalesce("component_id", "first").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 5) -> DataFrame:
