@@ -51,11 +51,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The units to remove: doc_id, start, stop, n_words, digest (hex), and where the kept one is (kept_doc_id, kept_start).
 
     The first occurrence of a digest is found by an aggregation, which sums up a frequent unit before the
-    shuffle; the join back may split a frequent digest among tasks.
+    shuffle, and written; so the join back has a shuffle of its own and may split a frequent digest among tasks.
     """
     found = cut(units(docs, min_words).distinct())
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "start")
-    first = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    first = cut(found.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1"))
     joined = found.join(first, "digest").where(rank != F.col("kept"))
     return joined.select("doc_id", "start", "stop", "n_words", F.lower(F.hex("digest")).alias("digest"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
 
