@@ -1,9 +1,13 @@
 """Journal entries, review findings, learning records, lists of files, and counts over a corpus."""
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 from .graph import components
 
 CAPTIONS = (".vtt", ".srt", ".json3")
@@ -93,9 +97,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = 0
     members = cut(hashed.select("doc_id", "h"))
     texts = hashed.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("text").alias("text"))
     sets = cut(texts.select("id", "h", words.alias("w")).select("id", "h", F.array_distinct(shingles).alias("s")))
-    least = lambda seed: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(seed))))
-    bands_of = F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(*(least(b * rows + r) for r in range(rows))).alias("key")) for b in range(bands)))
-    keyed = sets.select("id", F.explode(bands_of).alias("x")).select("id", "x.band", "x.key")
+    ship(documents.sparkSession)
+    keyed = cut(sets.select("id", "s").mapInArrow(partial(_band_keys, bands=bands, rows=rows), "id long, band int, key long"))
     lowest = keyed.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     starred = cut(keyed.join(lowest.select("band", "key", "a"), ["band", "key"]).where("id > a"))
     close = cut(similar(starred.select("a", F.col("id").alias("b")).distinct(), sets, threshold))
@@ -107,6 +110,26 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = 0
     return members.join(named, "h").select("doc_id", "class_id")
 
 
+def _band_keys(batches, bands: int, rows: int):
+    """A key for each set and band, made of the minima of the set's hashes under ``rows`` seeded mixes of 64 bits."""
+    seeds = np.random.default_rng(20240101).integers(1, 2**63, (2, bands * rows), dtype=np.uint64) | np.uint64(1)
+    for batch in batches:
+        keys = np.zeros((batch.num_rows, bands), np.uint64)
+        for i, s in enumerate(batch.column(1)):
+            x = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            least = np.full(bands * rows, ~np.uint64(0))
+            for part in np.array_split(x, len(x) // 4096 + 1):
+                mixed = part[:, None] * seeds[0]
+                mixed ^= mixed >> np.uint64(31)
+                mixed *= seeds[1]
+                least = np.minimum(least, mixed.min(axis=0))
+            for r in range(rows):
+                keys[i] = (keys[i] ^ least[r::rows]) * np.uint64(0x9E3779B97F4A7C15)
+                keys[i] ^= keys[i] >> np.uint64(29)
+        ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(keys.ravel().view(np.int64))], names=["id", "band", "key"])
+
+
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """a, b and similarity of the pairs whose sets (id, s) have that Jaccard similarity."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
