@@ -252,10 +252,10 @@ SQL["prj22_request_payloads"] = """SELECT doc_id // 8 AS recording_id, (doc_id %
 
 @query
 def agg10_usage_cost(spark, sf):
-    return L.usage_cost(I.drafts(spark, sf))
+    return L.usage_cost(I.drafts(spark, sf)).withColumn("cost", F.round("cost", 4))  # a sum's last digits depend on its order
 
 
-SQL["agg10_usage_cost"] = f"WITH {TEXTS} SELECT recording_id, sum(cost)::DOUBLE AS cost, count(*) AS requests, count(*) - count(cost) AS unknown FROM drafts GROUP BY recording_id"
+SQL["agg10_usage_cost"] = f"WITH {TEXTS} SELECT recording_id, round(sum(cost), 4) AS cost, count(*) AS requests, count(*) - count(cost) AS unknown FROM drafts GROUP BY recording_id"
 
 
 @query
