@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded_batches, texts
+from .common import bounded_batches, resident, texts
 
 
 def byte_characters() -> dict[int, str]:
@@ -72,7 +72,7 @@ class Encoder:
     it becomes the older one, whose pieces return to the younger when they are met again.
     """
 
-    def __init__(self, spec: dict, limit: int = 200_000, longest: int = 64):
+    def __init__(self, spec: dict, limit: int = 400_000, longest: int = 64):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.limit, self.longest = load(spec), limit, longest
@@ -133,15 +133,13 @@ class Encoder:
         return out
 
 
+#: Byte tables: small, and kept.
 _cache: dict = {}
 
 
 def encoder(spec: dict) -> Encoder:
-    """One for each worker and vocabulary."""
-    key = tuple(sorted(spec.items()))
-    if key not in _cache:
-        _cache[key] = Encoder(spec)
-    return _cache[key]
+    """One for each worker, with what it remembers, until another vocabulary or operator needs the memory."""
+    return resident(tuple(sorted(spec.items())), lambda: Encoder(spec))
 
 
 def token_bytes(tok) -> list[bytes]:
@@ -156,7 +154,7 @@ def token_bytes(tok) -> list[bytes]:
 
 def byte_table(spec: dict) -> list[bytes]:
     """The bytes of each id, from the vocabulary's file alone."""
-    key = ("bytes", *sorted(spec.items()))
+    key = tuple(sorted(spec.items()))
     if key not in _cache:
         if "ranks" in spec:
             with open(spec["ranks"], "rb") as f:
@@ -209,7 +207,7 @@ def decode(rows: DataFrame, spec: dict, ids: str = "ids", out: str = "decoded")
         table = byte_table(spec)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            found = [None if x is None else b"".join(map(table.__getitem__, x)) for x in (s.values.to_pylist() if s.is_valid else None for s in column)]
+            found = [b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())]))

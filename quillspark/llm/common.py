@@ -49,3 +49,19 @@ def held_out(doc_id="doc_id"):
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's strings; a null is an empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+
+
+_resident: dict = {}
+
+
+def resident(key, make):
+    """What a worker keeps from task to task: one large object at a time."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Called by tasks that need none of it, in a worker that may have kept one."""
+    _resident.clear()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bounded_batches, cut, join_keyed, texts
+from .common import SPACES, bounded_batches, cut, join_keyed, release, texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -45,6 +45,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 
 def _stats(batches):
+    release()
     for batch in batches:
         rows = []
         for text in texts(batch):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, texts
+from .common import bounded_batches, held_out, release, texts
 
 ORDER = 3
 GRAM = ORDER + 1
@@ -180,6 +180,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample's bound
 
     def run(batches):
+        release()
         model = shared.value
         for batch in batches:
             strings = texts(batch)
@@ -210,6 +211,7 @@ def accepted(docs: DataFrame, model: Model, sure: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        release()
         model = shared.value
         for batch in batches:
             strings = texts(batch)

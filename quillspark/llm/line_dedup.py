@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, texts
+from .common import bounded_batches, cut, release, texts
 
 #: Pieces that together make up the whole text.
 UNIT = r"[^\n]*?[.?][ \t]+|[^\n]*\n|[^\n]+"
@@ -30,6 +30,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        release()
         for batch in batches:
             ids, texts_ = batch.column(0).to_pylist(), texts(batch)
             rows = []

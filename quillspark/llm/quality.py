@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, texts
+from .common import bounded_batches, held_out, release, texts
 from .language import sample
 
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&<>@^~_=+{}[]\\/", "bar": b"|", "bang": b"!?", "stop": b".,;:", "space": b" \t", "line": b"\n\r", "quote": b"\"'()-", "high": bytes(range(128, 256))}
@@ -151,6 +151,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        release()
         for batch in batches:
             scores = model.score(features(texts(batch)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])

@@ -65,7 +65,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.apply_rules(read(spark, sf_dir, "documents"))
+    return host_rules.apply_rules(read(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_byte_bpe, op3_mixing, op4_hamming, op5_quality, op6_line_dedup, op7_language, op8_token_file, op9_simhash, op10_host_rules)}
@@ -87,7 +87,7 @@ hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f
 moments AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) AS v FROM hosts),
 prior AS (SELECT m, least(greatest(CASE WHEN v > 1e-12 THEN m * (1 - m) / v - 1 ELSE 1e4 END, 1.0), 1e4) AS s FROM moments)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce((f + m * s) / (n + s), m) <= 0.5 AS kept, coalesce((f + m * s) / (n + s), m) AS host_rate
+  NOT base_failed AND coalesce((f + m * s) / (n + s), m) <= 0.5 AS kept, round(coalesce((f + m * s) / (n + s), m), 9) AS host_rate
 FROM judged LEFT JOIN hosts USING (host), prior
 """
 
@@ -97,9 +97,9 @@ rates AS (SELECT source, w / (SELECT sum(w) FROM sources) * (SELECT sum(n) FROM
 parts AS (SELECT source, greatest(ceil(rate / 8.0), 1)::INT AS pieces, rate / greatest(ceil(rate / 8.0), 1) AS mean FROM rates),
 steps AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c
   FROM (SELECT source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS p FROM parts, range(64) AS r(k))),
-draws AS (SELECT doc_id, source, text, unnest(range(1, pieces + 1)) AS j FROM documents JOIN parts USING (source)),
+draws AS (SELECT doc_id, d.source, text, unnest(range(1, pieces + 1)) AS j FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
 drawn AS (SELECT doc_id, source, text, j, ('0x' || substr(md5('mix:' || doc_id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM draws),
-hits AS (SELECT doc_id, source, text, (SELECT count(*) FROM steps s WHERE s.source = d.source AND s.c <= d.u)::INT AS n FROM drawn d),
+hits AS (SELECT doc_id, source, text, (SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u)::INT AS n FROM drawn d),
 counts AS (SELECT doc_id, source, text, sum(n)::INT AS n_copies FROM hits GROUP BY ALL),
 copies AS (SELECT doc_id, source, text, n_copies, unnest(range(1, n_copies + 1))::INT AS copy FROM counts)
 SELECT doc_id, source, copy, n_copies, ('0x' || substr(md5('mix:order:' || doc_id || ':' || copy), 1, 15))::BIGINT AS shuffle_key, md5(coalesce(text, '')) AS text_md5 FROM copies

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bounded_batches, cut, texts
+from .common import bounded_batches, cut, release, texts
 
 SEED = 42
 BITS = 64
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        release()
         for batch in batches:
             codes = [fingerprint(hashes(x.encode(), shingle)) for x in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64())], names=["doc_id", "code"])
@@ -73,6 +74,7 @@ def _keyed_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        release()
         for batch in batches:
             codes = [fingerprint(hashes(x.encode(), shingle)) for x in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(codes, pa.int64())], names=["doc_id", "__key", "code"])
