@@ -76,7 +76,7 @@ def term_counts(documents: DataFrame, approx: bool = False, text: str = "text")
     if approx:
         rows = documents.select("doc_id", F.explode(words).alias("term"))
         return rows.groupBy("term").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("documents"))
-    rows = documents.select(F.explode(words).alias("term"), F.monotonically_increasing_id().alias("doc"))
+    rows = documents.select(F.explode(words).alias("term"))
     per_doc = documents.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
     return rows.groupBy("term").agg(F.count("*").alias("n")).join(per_doc, "term")
 
