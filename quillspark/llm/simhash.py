@@ -1,7 +1,7 @@
 """SimHash near-dedup: fingerprints of word shingles, linked by a self-join of binary tries.
 
-Two fingerprints that differ in few bits agree in whole parts: of ``PARTS`` parts of the 64 bits at least
-``PARTS - distance`` are equal. For each choice of that many parts there is one trie, whose bits begin with
+Two fingerprints that differ in few bits agree in whole parts: of the ``parts`` of the 64 bits at least
+``parts - distance`` are equal. For each choice of that many parts there is one trie, whose bits begin with
 the chosen parts; the nodes at that depth are the groups that Spark deals out. Below it a pair of nodes is
 traversed together: each pair splits into pairs of children, differing bits are added up, and a pair that
 exceeds the distance is pruned, and so is one whose leaves are connected already. A group sends on the
@@ -196,14 +196,23 @@ def _compare(codes: np.ndarray, forest: Forest, pairs: np.ndarray, distance: int
     forest.join(a[near], b[near])
 
 
-def links(codes: DataFrame, distance: int = 4, parts: int = 5, split: int = 20_000, split_bits: int = 6) -> DataFrame:
+def parts_for(n: int, distance: int, group: int = 64) -> int:
+    """The fewest parts for which n codes, were they random, would make groups of at most that many."""
+    parts = distance + 1
+    while parts < distance + 4 and n > group * 2.0 ** (BITS * (parts - distance) / parts):
+        parts += 1
+    return parts
+
+
+def links(codes: DataFrame, distance: int = 4, parts: int | None = None, split: int = 20_000, split_bits: int = 6) -> DataFrame:
     """Links (a, b) between distinct codes (column code) that connect whatever is within ``distance`` bits.
 
-    ``parts`` grows with the number of codes: a trie shares 64 * (parts - distance) / parts bits, so 5 parts
-    suit some hundred thousand codes, 6 (15 tries of 21 bits) many millions and 7 (35 of 27) billions.
+    ``parts`` follows from the number of codes if it is not given. A trie shares 64 * (parts - distance) / parts
+    bits: 5 parts (5 tries of 12 bits) do for 400,000 codes, 6 (15 of 21) for 160 million, 7 (35 of 27) for
+    billions. The links are the same; a code is sent to fewer or more, larger or smaller groups.
     """
     spark = codes.sparkSession
-    tries = layout(distance, parts)
+    tries = layout(distance, parts or parts_for(codes.count(), distance))
 
     def deal(batches):
         for batch in batches:
@@ -264,7 +273,7 @@ def _by_trie(rows: np.ndarray):
         yield trie, group, own[3], own[4].view(np.uint64)
 
 
-def classes(prints: DataFrame, distance: int = 4, parts: int = 5) -> DataFrame:
+def classes(prints: DataFrame, distance: int = 4, parts: int | None = None) -> DataFrame:
     """code and component_id of every distinct code of ``prints`` (doc_id, code)."""
     distinct = cut(prints.groupBy("code").agg(F.min("doc_id").alias("first")))
     found = components(links(distinct, distance, parts))
@@ -276,13 +285,13 @@ def classes(prints: DataFrame, distance: int = 4, parts: int = 5) -> DataFrame:
     return cut(distinct.join(linked, "code", "left").select("code", F.coalesce("component_id", "first").alias("component_id")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest document id that can be reached, itself included."""
     prints = cut(fingerprints(docs, shingle))
     return prints.join(classes(prints, distance, parts), "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 5) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int | None = None) -> DataFrame:
     """The documents, whole rows, of the lowest id in each component. Rows that share that id stay once (the least by a hash of the text).
 
     Only ids and fingerprints are shuffled; the ids that leave are then taken out of the documents.

@@ -44,8 +44,13 @@ def near_codes(n, seed):
     return np.unique(codes)
 
 
-@pytest.mark.parametrize("split", [20_000, 6])
-def test_links_connect_what_is_near(spark, split):
+def test_parts():
+    assert [simhash.parts_for(n, 4) for n in (0, 300_000, 10**7, 10**9, 10**12)] == [5, 5, 6, 7, 8]
+    assert len(simhash.layout(4, 6)) == 15
+
+
+@pytest.mark.parametrize("split,parts", [(20_000, None), (6, 5), (6, 6)])
+def test_links_connect_what_is_near(spark, split, parts):
     codes = near_codes(250, split)
     df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "code long")
     prints = {i: int(c) for i, c in enumerate(codes)}
@@ -57,7 +62,7 @@ def test_links_connect_what_is_near(spark, split):
             i = root[i]
         return i
 
-    for a, b in simhash.links(df, split=split).collect():
+    for a, b in simhash.links(df, split=split, parts=parts).collect():
         assert (prints[number[a]] ^ prints[number[b]]).bit_count() <= 4
         x, y = sorted((find(number[a]), find(number[b])))
         root[y] = x
