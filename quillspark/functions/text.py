@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Breaks of lines besides \n.
-BREAKS = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]"
+BREAKS = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TIME = r"(?:\d+:)?\d{2}:\d{2}[.,]\d{3}"
 #: Image references in a page's Markdown: the older placeholder, the comment and the Markdown image.
 PLACEHOLDER = r"\[\[IMAGE \d{3}(?: \| [^\]]+)*\]\]"
@@ -46,7 +46,7 @@ def strip_markup(c: Column | str) -> Column:
 
 def tidy_blanks(c: Column | str) -> Column:
     """Without zero-width characters, and all white space as single blanks."""
-    plain = F.regexp_replace(F.regexp_replace(col(c), "[﻿​]", ""), " ", " ")
+    plain = F.regexp_replace(F.regexp_replace(col(c), "[\ufeff\u200b]", ""), "\u00a0", " ")
     return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 

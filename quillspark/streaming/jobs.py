@@ -19,7 +19,7 @@ FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modi
 def stream_captions(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
     """Cues of caption files that no run before has seen, appended to ``out``; ends when all are read."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(path)
-    text = F.regexp_replace(F.expr("make_valid_utf8(cast(content as string))"), "^﻿", "")
+    text = F.regexp_replace(F.expr("make_valid_utf8(cast(content as string))"), "^\ufeff", "")
     rows = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_id"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("format"), text.alias("text"))
     cues = captions.explode_cue_blocks(rows).unionByName(captions.explode_cue_events(rows))
     return cues.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
