@@ -125,7 +125,7 @@ def trie_links(codes: np.ndarray, group: np.ndarray, side: np.ndarray, shared: i
     """Links (pairs of indices) that connect all codes within ``distance`` in the same group, by a joint traversal of pairs of trie nodes.
 
     codes: arranged, sorted by (group, side, code). A group's root pair is (root, root), or (side 0, side 1)
-    where a group holds two nodes. Leaves in a node are a range of indices.
+    where a group holds two nodes. Side 1 alone has no pair. Leaves in a node are a range of indices.
     """
     n = len(codes)
     forest = Forest(n)
@@ -134,8 +134,10 @@ def trie_links(codes: np.ndarray, group: np.ndarray, side: np.ndarray, shared: i
     forest.join(near, near + 1)  # neighbours in the order are leaves that lie close together in the trie
     key = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (side[1:] != side[:-1])])) if n else np.zeros(0, int)
     ends = np.append(key[1:], n)
-    two = np.flatnonzero(side[key] == 1)
-    one = np.setdiff1d(np.arange(len(key)), np.concatenate([two, two - 1]))
+    second = np.flatnonzero(side[key] == 1)
+    two = second[(second > 0) & (group[key[second]] == group[key[second - 1]])]
+    # A side 1 whose other node is empty is left out: the node's own group has its links.
+    one = np.setdiff1d(np.arange(len(key)), np.concatenate([second, two - 1]))
     pairs = np.concatenate([np.stack([key[one], ends[one], key[one], ends[one]]), np.stack([key[two - 1], ends[two - 1], key[two], ends[two]])], axis=1)
     stack = [(pairs, shared)]
     while stack:

@@ -78,6 +78,40 @@ def test_trie_links_in_groups():
         assert found.shape[1] == len(codes) - len(set(want.values()))
 
 
+def test_trie_links_with_one_sided_groups():
+    """A group that holds side 1 only must not take the group before it away."""
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        parts = [(np.sort(near_codes(200, 100 * seed + i)), i, int(i % 2)) for i in range(6)] + [(np.sort(rng.integers(0, 2**63, 20, dtype=np.uint64)), 6, 1)]
+        codes, group, side = (np.concatenate([np.broadcast_to(x[k], len(x[0])) for x in parts]) for k in range(3))
+        found = simhash.trie_links(codes, group, side, 0, 4)
+        assert (group[found[0]] == group[found[1]]).all()
+        for number in (0, 2, 4):
+            own = np.flatnonzero(group == number)
+            want = brute_components({i: int(codes[i]) for i in own.tolist()})
+            assert (group[found[0]] == number).sum() == len(own) - len(set(want.values()))
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 211])
+def test_links_of_split_groups_with_empty_nodes(spark, partitions):
+    """Pairs that share one part only, in a split group most of whose nodes are empty, over few and many tasks."""
+    rng = np.random.default_rng(partitions)
+    codes = []
+    for base in rng.integers(0, 2**62, 40).tolist():
+        base = base >> 12 << 12 | 5
+        codes += [base, base ^ sum(1 << int(rng.integers(a, a + 12)) for a in (13, 26, 39, 51))]
+    df = spark.createDataFrame([(c,) for c in codes], "code long")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {tuple(sorted(r)) for r in simhash.links(df, split=6, parts=5).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {(min(a, b), max(a, b)) for i, a in enumerate(codes) for b in codes[i + 1 :] if (a ^ b).bit_count() <= 4}
+
+
 def test_odd_documents(spark):
     texts = ["A b\tc\nd e", "a b c d e", "", None, " \n", "one", "ONE ", "É É É É É", "é é é é é", "x " * 5000, "a b c d"]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")]
