@@ -10,8 +10,8 @@ The dictionary, the letter table, the odds of neighbouring words and the forest
 and learn from a bounded sample (``sample_docs``, ``per_class``, ``words``). All documents are scanned whole.
 
 Defined results: null and empty texts have no candidates; a null path has no path features; repeated rows
-give repeated findings; without labelled findings of both classes every candidate is kept with score 0.5;
-an empty table gives an empty result; other columns are ignored by ``scan`` and kept by ``redact``.
+give repeated findings; without labelled findings of both classes the rule ``key_like`` decides, with score
+0.5; an empty table gives an empty result; other columns are ignored by ``scan`` and kept by ``redact``.
 """
 
 from math import log2
@@ -137,6 +137,13 @@ def weak_labels(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(secret, 1).when(harmless, 0)).where("label is not null")
 
 
+def key_like(found: DataFrame) -> DataFrame:
+    """The candidates that a rule calls secrets where no forest can be trained: letters and digits, either hexadecimal digits of a usual key's length or what is assigned to a secret's name."""
+    mixed = F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")
+    assigned = F.lower("before").rlike(rf"({NAMES})\w*\s*[=:]\s*[\"']?$")
+    return found.where(mixed & (F.col("value").rlike("^[0-9a-fA-F]{32,64}$") | assigned))
+
+
 def word_odds(labelled: DataFrame, words: int = 5_000) -> DataFrame:
     """word and odds: how much oftener the word comes before a secret than before another candidate (log2, one added to each)."""
     counts = labelled.groupBy(last_word().alias("word")).agg(F.sum("label").alias("yes"), F.count("*").alias("n")).where("n > 2 and word <> ''")
@@ -153,7 +160,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
         labelled = weak_labels(found.where(~F.coalesce(held_out(), F.lit(True))))
     labelled = cut(sample(labelled, "label", per_class, key="key"))
     if labelled.select("label").distinct().count() < 2:
-        return found.select("doc_id", "key", "start", "stop", "value", F.lit(0.5).alias("score"))
+        return key_like(found).select("doc_id", "key", "start", "stop", "value", F.lit(0.5).alias("score"))
     share = sample_docs / max(docs.count(), 1)
     few = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
     dictionary = cut(corpus_words(few, words))

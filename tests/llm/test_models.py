@@ -127,6 +127,13 @@ def test_scan_and_redact(spark):
     assert secrets.scan(docs.where("doc_id < 0")).count() == 0
 
 
+def test_scan_without_labels_leaves_clean_text(spark):
+    rows = [(1, "anthrererendanhe internationalisation 1234567890123456 a/path/of/letters-only", "s"), (2, "passwords: misunderstandingness", "s"), (3, 'api_key = "Zx9-QwertyUiop77asdf"', "s"), (4, f"{TOKEN} is a hash", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {(r.doc_id, r.value, r.score) for r in secrets.scan(docs).collect()} == {(3, "Zx9-QwertyUiop77asdf", 0.5), (4, TOKEN, 0.5)}
+    assert queries.op1_secrets(spark, SMALL).count() == 0
+
+
 def test_secrets_of_the_tables(spark):
     import re
 
