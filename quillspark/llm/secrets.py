@@ -6,8 +6,9 @@ one class, and how well letters follow each other as in the corpus's words), the
 dictionary cover, the path it was found in, and the words beside it. It is trained from labelled findings.
 Everything is DataFrame functions and Spark's own forest; no Python runs on the executors.
 
-The dictionary, the letter table, the odds of neighbouring words and the forest are parts of the classifier
-and learn from a bounded sample (``sample_docs``, ``per_class``, ``words``). All documents are scanned whole.
+The dictionary and the letter table are the ``words`` most frequent words of all documents; the odds of
+neighbouring words and the forest learn from a bounded number of labelled findings (``per_class``). All
+documents are scanned, and all candidates judged, whole.
 
 Defined results: null and empty texts have no candidates; a null path has no path features; repeated rows
 give repeated findings; without labelled findings of both classes the rule ``key_like`` decides, with score
@@ -97,18 +98,21 @@ def featured(found: DataFrame, dictionary: DataFrame, table: F.Column, odds: Dat
     """Adds FEATURES. The dictionary and the odds are bounded by their parameters and broadcast."""
     size = F.length("value").cast("double")
     share = lambda pattern: F.regexp_count("value", F.lit(pattern)) / size
-    lowered = F.lower(F.left("value", F.lit(256)))
-    runs = F.array_distinct(F.regexp_extract_all(lowered, F.lit("[a-z]{3,}"), F.lit(0)))
+    lowered = F.lower("value")
+    runs = F.regexp_extract_all(lowered, F.lit("[a-z]{3,}"), F.lit(0))
     # Of each run of letters the longest beginning and the longest end that are words count as covered.
-    pieces = found.select("key", "row", "start", F.explode(runs).alias("run")).select("key", "row", "start", "run", F.explode(F.sequence(F.lit(3), F.least(F.length("run"), F.lit(20)))).alias("n"))
-    ends = pieces.select("key", "row", "start", "run", "n", F.expr("left(run, n)").alias("head"), F.expr("right(run, n)").alias("end"))
+    # Of a candidate's equal runs one is looked up, with how often it occurs.
+    counted = found.select("key", "row", "start", F.explode(runs).alias("run")).groupBy("key", "row", "start", "run").agg(F.count("*").alias("times"))
+    pieces = counted.select("key", "row", "start", "run", "times", F.explode(F.sequence(F.lit(3), F.least(F.length("run"), F.lit(20)))).alias("n"))
+    ends = pieces.select("key", "row", "start", "run", "times", "n", F.expr("left(run, n)").alias("head"), F.expr("right(run, n)").alias("end"))
     known = F.broadcast(dictionary.select("word"))
     hits = ends.join(known.withColumnRenamed("word", "head").withColumn("is_head", F.lit(1)), "head", "left").join(known.withColumnRenamed("word", "end").withColumn("is_end", F.lit(1)), "end", "left").where("is_head = 1 or is_end = 1")
-    covered = hits.groupBy("key", "row", "start", "run").agg((F.coalesce(F.max(F.when(F.col("is_head") == 1, F.col("n"))), F.lit(0)) + F.coalesce(F.max(F.when(F.col("is_end") == 1, F.col("n"))), F.lit(0))).alias("n"))
-    covered = covered.groupBy("key", "row", "start").agg(F.sum(F.least("n", F.length("run"))).alias("covered"))
-    numbers = F.transform(F.sequence(F.lit(1), F.length(lowered)), lambda i: _letter_number(F.substring(lowered, i, F.lit(1))))
-    pairs = F.zip_with(F.slice(numbers, 1, F.size(numbers) - 1), F.slice(numbers, 2, F.size(numbers)), lambda a, b: F.get(table, a * LETTERS + b))
-    bits = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(pairs), F.lit(1))
+    covered = hits.groupBy("key", "row", "start", "run", "times").agg((F.coalesce(F.max(F.when(F.col("is_head") == 1, F.col("n"))), F.lit(0)) + F.coalesce(F.max(F.when(F.col("is_end") == 1, F.col("n"))), F.lit(0))).alias("n"))
+    covered = covered.groupBy("key", "row", "start").agg(F.sum(F.col("times") * F.least("n", F.length("run"))).alias("covered"))
+    # Split once, as a lookup by position would take the square of a long token's length.
+    numbers, n_pairs = F.transform(F.split(lowered, ""), _letter_number), F.length("value") - 1
+    pairs = F.zip_with(F.slice(numbers, F.lit(1), n_pairs), F.slice(numbers, F.lit(2), n_pairs), lambda a, b: F.get(table, a * LETTERS + b))
+    bits = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.greatest(n_pairs, F.lit(1))
     joined = found.join(covered, ["key", "row", "start"], "left").withColumn("word", last_word()).join(F.broadcast(odds), "word", "left")
     return joined.select(
         *found.columns,
@@ -119,7 +123,7 @@ def featured(found: DataFrame, dictionary: DataFrame, table: F.Column, odds: Dat
         (F.size(F.array_distinct(F.split("value", ""))) / F.least(size, F.lit(64.0))).alias("kinds_share"),
         (F.regexp_count("value", F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) / size).alias("transitions"),
         bits.alias("letter_bits"),
-        (F.coalesce("covered", F.lit(0)) / F.least(size, F.lit(256.0))).alias("coverage"),
+        (F.coalesce("covered", F.lit(0)) / size).alias("coverage"),
         F.coalesce(F.lower("path").rlike(HARMLESS_PATHS), F.lit(False)).cast("double").alias("harmless_path"),
         F.coalesce(F.pmod(F.xxhash64("path"), F.lit(16)), F.lit(-1)).cast("double").alias("path_bucket"),
         F.lower("before").rlike(rf"({NAMES})\w*[^\w]{{0,6}}$").cast("double").alias("named"),
@@ -150,7 +154,7 @@ def word_odds(labelled: DataFrame, words: int = 5_000) -> DataFrame:
     return counts.orderBy(F.desc("n"), "word").limit(words).select("word", F.log2((F.col("yes") + 1) / (F.col("n") - F.col("yes") + 1)).alias("odds"))
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source", threshold: float = 0.5, sample_docs: int = 3_000, per_class: int = 5_000, words: int = 30_000, trees: int = 20, depth: int = 6) -> DataFrame:
+def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source", threshold: float = 0.5, per_class: int = 5_000, words: int = 30_000, trees: int = 20, depth: int = 6) -> DataFrame:
     """The findings: doc_id, key, start, stop, value and score of each candidate that the forest calls a secret.
 
     labelled: rows of ``candidates`` with label 0 or 1; by default weak labels from documents that are not held out.
@@ -161,9 +165,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
     labelled = cut(sample(labelled, "label", per_class, key="key"))
     if labelled.select("label").distinct().count() < 2:
         return key_like(found).select("doc_id", "key", "start", "stop", "value", F.lit(0.5).alias("score"))
-    share = sample_docs / max(docs.count(), 1)
-    few = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    dictionary = cut(corpus_words(few, words))
+    dictionary = cut(corpus_words(docs, words))
     table, odds = letter_table(dictionary), cut(word_odds(labelled))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")
     known = featured(labelled, dictionary, table, odds).select(F.col("label").cast("double"), *FEATURES)

@@ -134,6 +134,31 @@ def test_scan_without_labels_leaves_clean_text(spark):
     assert queries.op1_secrets(spark, SMALL).count() == 0
 
 
+def test_features_take_whole_candidates(spark):
+    """Both features of a token whose first 256 characters say otherwise, by brute force, over words of all documents."""
+    value = "7" * 300 + "-planet-planet-zzz" + "7" * 20_000
+    docs = spark.createDataFrame([(None, f"planet a {value} b", "s"), (1, "planet", "s")], "doc_id long, text string, source string")
+    words = secrets.corpus_words(docs)
+    assert [(r.word, r.n) for r in words.collect()] == [("planet", 2)]
+    odds = spark.createDataFrame([], "word string, odds double")
+    row = secrets.featured(secrets.candidates(docs), words, secrets.letter_table(words), odds).collect()[0]
+    pair, sums = {}, {}
+    for a, b in zip("planet", "lanet"):
+        pair[a, b], sums[a] = pair.get((a, b), 0) + 2, sums.get(a, 0) + 2
+    kind = ["other" if not c.isalpha() else c for c in value]
+    bits = [-math.log2((pair.get(p, 0) + 1) / (sums.get(p[0], 0) + 27)) for p in zip(kind, kind[1:])]
+    assert math.isclose(row.coverage, 12 / len(value)) and math.isclose(row.letter_bits, sum(bits) / len(bits), rel_tol=1e-9)
+
+
+def test_dictionary_counts_all_documents(spark, monkeypatch):
+    docs, _ = secret_docs(spark)
+    docs = docs.unionByName(spark.createDataFrame([(None, "rareword here", "s"), (None, "rareword there", "s")], docs.schema))
+    seen, plain = [], secrets.corpus_words
+    monkeypatch.setattr(secrets, "corpus_words", lambda d, n: seen.append(d.count()) or plain(d, n))
+    secrets.scan(docs)
+    assert seen == [docs.count()]
+
+
 def test_secrets_of_the_tables(spark):
     import re
 
