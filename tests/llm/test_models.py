@@ -152,7 +152,7 @@ def test_features_take_whole_candidates(spark):
 
 def test_dictionary_counts_all_documents(spark, monkeypatch):
     docs, _ = secret_docs(spark)
-    docs = docs.unionByName(spark.createDataFrame([(None, "rareword here", "s"), (None, "rareword there", "s")], docs.schema))
+    docs = docs.unionByName(spark.range(1000, 5000).selectExpr("if(id % 2 = 0, id, null) AS doc_id", "'rareword here' AS text", "'s' AS source"))
     seen, plain = [], secrets.corpus_words
     monkeypatch.setattr(secrets, "corpus_words", lambda d, n: seen.append(d.count()) or plain(d, n))
     secrets.scan(docs)
