@@ -4,14 +4,18 @@
 begin; ``decode`` puts the bytes of the ids together again. A character whose bytes are split between ids
 has one offset for all of them, and is whole again once the bytes are joined.
 
-A text is split as the vocabulary's pattern says (or, outside Latin-1, cut before blanks that no match of
-the pattern crosses), and each distinct piece is encoded once by the library and then remembered.
-
-Defined results: null and empty texts have no ids; repeated rows are encoded each; an empty table gives an
-empty result; other columns are kept (``encode``/``decode`` reject an output name that is taken).
+Where a vocabulary splits texts by the usual pattern (``USUAL``), a text is split as that says (or, outside
+Latin-1, cut before blanks that no match of the pattern crosses), and each distinct piece is encoded once by
+the library and then remembered. With any other splitting, and where a text holds the string of an added
+token, the library gets the whole text.
+
+Defined results: null and empty texts have no ids; very long texts are encoded whole, and a batch holds one
+of them at least; repeated rows are encoded each; an empty table gives an empty result; ids of documents may
+be null or equal; other columns are kept (``encode``/``decode`` reject an output name that is taken).
 """
 
 import base64
+import json
 import re
 from itertools import chain
 
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded_batches, resident, texts
+from .common import pieces, resident, ship, texts
 
 
 def byte_characters() -> dict[int, str]:
@@ -45,17 +49,33 @@ def tokenizer_from_ranks(path: str, pattern: str):
 
 
 def load(spec: dict):
-    """spec: {"file": a tokenizers JSON file} or {"ranks": a rank file, "pattern": its split pattern}."""
+    """spec: {"file": a tokenizers JSON file} or {"ranks": a rank file, "pattern": its split pattern}.
+
+    Added tokens of a file are met in texts, as the library does it; with "special": "text" their strings are ordinary text.
+    """
     from tokenizers import Tokenizer
 
     if "ranks" in spec:
         return tokenizer_from_ranks(spec["ranks"], spec["pattern"])
     tok = Tokenizer.from_file(spec["file"])
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
+    tok.encode_special_tokens = spec.get("special") == "text"
     return tok
 
 
-#: The usual split pattern of byte-level vocabularies, for texts of Latin-1 characters only: there its classes can be written out.
+#: The pattern of byte-level vocabularies that name none, and what the remembering of pieces stands for.
+USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def splits_as_usual(spec: dict, tok) -> bool:
+    """Whether texts are split by USUAL into bytes, and changed by nothing before."""
+    if "ranks" in spec:
+        return spec["pattern"] == USUAL
+    parts = json.loads(tok.to_str())
+    before = parts["pre_tokenizer"] or {}
+    return parts["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+
+
+#: USUAL for texts of Latin-1 characters only: there its classes can be written out.
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: A blank before which a text cannot be cut: it has white space on both sides. And the pieces of texts without one.
@@ -76,6 +96,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.limit, self.longest = load(spec), limit, longest
+        self.usual = splits_as_usual(spec, self.tok)
+        added = [] if spec.get("special") == "text" else [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else None
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.widths = np.array([len(x) for x in token_bytes(self.tok)], np.int64)
         self.matches = Tokenizer(self.tok.model)  # for text that is split into its matches already
@@ -110,8 +133,9 @@ class Encoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(batch)
-        latin = [i for i, x in enumerate(batch) if x.isascii() or len(x.encode("latin-1", "ignore")) == len(x)]
-        others = sorted({*range(len(batch))} - {*latin})
+        split = [i for i, x in enumerate(batch) if not (self.added and self.added(x))] if self.usual else []
+        latin = [i for i in split if batch[i].isascii() or len(batch[i].encode("latin-1", "ignore")) == len(batch[i])]
+        others = sorted({*split} - {*latin})
         pieces = [_LATIN.findall(batch[i]) for i in latin]
         self.learn(pieces, self.split)
         lookup = self.known.__getitem__
@@ -123,7 +147,7 @@ class Encoder:
         self.learn(pieces, self.whole)
         for i, parts in zip(plain, pieces):
             out[i] = b"".join(map(lookup, parts))
-        rest = sorted({*others} - {*plain})
+        rest = sorted({*range(len(batch))} - {*latin, *plain})
         for i, ids in zip(rest, self.whole([batch[i] for i in rest])):
             out[i] = ids
         if len(self.known) > self.limit:
@@ -182,12 +206,12 @@ def encode(docs: DataFrame, spec: dict, text: str = "text") -> DataFrame:
     """Adds ``ids`` (array of int), ``starts`` (array of int: offsets of characters) and ``n_split`` (ids that begin inside a character)."""
     if taken := {"ids", "starts", "n_split"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns exist already: {sorted(taken)}")
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
         enc = encoder(spec)
         widths = enc.widths
-        for batch in batches:
+        for batch in pieces(batches):
             strings = texts(batch, text)
             ids = [np.frombuffer(x, enc.dtype).astype(np.int32) for x in enc.encode(strings)]
             starts, split = zip(*(char_starts(s.encode(), i, widths) if s else (i, 0) for s, i in zip(strings, ids))) if strings else ((), ())
@@ -201,11 +225,11 @@ def decode(rows: DataFrame, spec: dict, ids: str = "ids", out: str = "decoded")
     """Adds the bytes of the ids as ``out`` (binary). An id outside the vocabulary is an error; null ids decode to null."""
     if out.lower() in {c.lower() for c in rows.columns}:
         raise ValueError(f"column exists already: {out}")
-    bounded_batches(rows.sparkSession)
+    ship(rows.sparkSession)
 
     def run(batches):
         table = byte_table(spec)
-        for batch in batches:
+        for batch in pieces(batches):
             column = batch.column(batch.schema.get_field_index(ids))
             found = [b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])

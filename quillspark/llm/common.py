@@ -21,11 +21,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500, size: str = "32m") -> None:
-    """Arrow batches hold so many rows and bytes at most: a batch of long texts must fit a worker's memory."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def pieces(batches, rows: int = 500, size: int = 1 << 25):
+    """The batches in slices of at most so many rows and (but for a single row) bytes, so that a task never holds more than that decoded.
+
+    Spark itself ends a batch at spark.sql.execution.arrow.maxBytesPerBatch (64 MB by default); no setting of the session is touched.
+    """
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for i in range(0, batch.num_rows, step):
+            part = batch.slice(i, step)
+            if part.num_rows > 1 and part.nbytes > size:  # long texts side by side
+                yield from (part.slice(k, 1) for k in range(part.num_rows))
+            else:
+                yield part
 
 
 def join_keyed(rows: DataFrame, small: DataFrame, key: str, spread: str, limit: int = 200_000, salts: int = 32) -> DataFrame:
@@ -34,11 +54,13 @@ def join_keyed(rows: DataFrame, small: DataFrame, key: str, spread: str, limit:
     Up to ``limit`` keys (counted, not estimated) the small side is broadcast. Beyond it the key is
     salted with a hash of the column ``spread`` and the small side repeated for each salt.
     """
+    ship(rows.sparkSession)
     if small.limit(limit + 1).count() <= limit:
         return rows.join(F.broadcast(small), key, "left")
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+    (salt,) = free(rows, "salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, salt], "left").drop(salt)
 
 
 def held_out(doc_id="doc_id"):

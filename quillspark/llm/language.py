@@ -10,8 +10,9 @@ computed once, and a text's length is the sum over its positions. The language w
 Texts are lower-cased; a text begins as if after ORDER line breaks.
 
 Defined results: a null text and one without a letter are ``und`` with score 0; null languages teach
-nothing; with no language to learn everything is ``und``; ties go to the first language by name; repeated
-rows each get a row; an empty table gives an empty result; other columns are ignored.
+nothing; with no language to learn everything is ``und``; ties go to the first language by name; very long
+texts are scored whole, a chunk at a time; repeated rows, equal and null ids each get a row; an empty table
+gives an empty result; other columns, of any name, are ignored by ``predict`` and kept by ``accepted``.
 """
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, release, texts
+from .common import free, held_out, pieces, release, ship, texts
 
 ORDER = 3
 GRAM = ORDER + 1
@@ -45,7 +46,7 @@ def _grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches):
     """(lang, gram, n) of each batch."""
-    for batch in batches:
+    for batch in pieces(batches):
         langs = np.array(batch.column(0).to_pylist(), object)
         raws = [x.lower().encode() for x in texts(batch)]
         for lang in sorted(set(langs)):
@@ -56,9 +57,10 @@ def _count(batches):
 
 def sample(docs: DataFrame, label: str, size: int, key: str = "doc_id") -> DataFrame:
     """About ``size`` rows of each label (all, where there are fewer): those whose hashed key is lowest. The only rows a model sees."""
-    counts = docs.groupBy(label).agg(F.count("*").alias("__rows"))
-    share = (F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)) * F.col("__rows") < size
-    return docs.join(F.broadcast(counts), label).where(share).drop("__rows")
+    (rows,) = free(docs, "rows")
+    counts = docs.groupBy(label).agg(F.count("*").alias(rows))
+    share = (F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)) * F.col(rows) < size
+    return docs.join(F.broadcast(counts), label).where(share).drop(rows)
 
 
 class Model:
@@ -150,14 +152,18 @@ class Model:
         return total
 
 
-def train(docs: DataFrame, per_language: int = 1500) -> Model:
-    """Counts the bytes of about ``per_language`` documents of each language, whole texts, in tasks; only the sums by gram reach the driver.
+def train(docs: DataFrame, per_language: int = 1500, languages: int = 64) -> Model:
+    """Counts the bytes of about ``per_language`` documents of each of the ``languages`` most frequent languages, whole texts, in tasks; only the sums by gram reach the driver.
 
-    The bound on documents bounds the model too: it has at most one gram for each of their bytes.
+    The two bounds are those of the model too: it has at most one gram for each of those documents' bytes, and its
+    tables a column for each language. A label that is rarer than the ``languages`` most frequent ones (a column with
+    slips in it has many) is not learned; ties in frequency go to the first name.
     """
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "doc_id")
-    chosen = F.broadcast(sample(known, "lang", per_language).select("lang", "doc_id"))
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    known = known.join(F.broadcast(common), "lang", "left_semi")
+    chosen = F.broadcast(sample(known, "lang", per_language).select("lang", "doc_id"))  # languages * per_language rows, about
     rows = docs.select(F.col("lang").cast("string"), "doc_id", "text").join(chosen, ["lang", "doc_id"], "left_semi").select("lang", "text")
     sums = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column(0).to_pylist()))
@@ -176,13 +182,13 @@ def shares(bits: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (share of the best language if each had the same prior) and bits (its code length) of every document."""
     spark: SparkSession = docs.sparkSession
-    bounded_batches(spark)
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample's bound
 
     def run(batches):
         release()
         model = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             strings = texts(batch)
             lettered = np.array([next(filter(str.isalpha, x), None) is not None for x in strings], bool) & bool(model.langs)
             rows = [("und", 0.0, 0.0)] * len(strings)
@@ -200,20 +206,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, per_language: int = 1500) -> DataFrame:
-    """Learns from the documents that are not held out and predicts all of them."""
+    """Learns from the documents that are not held out and predicts all of them: doc_id, held_out, lang_pred, score and bits."""
     model = train(docs.where(~F.coalesce(held_out(), F.lit(True))), per_language)
-    return predict(docs, model).withColumn("held_out", F.coalesce(held_out(), F.lit(True)))
+    return predict(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(True)).alias("held_out"), "lang_pred", "score", "bits")
 
 
 def accepted(docs: DataFrame, model: Model, sure: float = 0.5) -> DataFrame:
     """The documents, whole rows, that have a letter and whose best language has more than the share ``sure``. The text passes the model where it lies, without a shuffle."""
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         release()
         model = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             strings = texts(batch)
             keep = np.array([next(filter(str.isalpha, x), None) is not None for x in strings], bool) & bool(model.langs)
             which = np.flatnonzero(keep)

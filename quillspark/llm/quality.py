@@ -7,8 +7,8 @@ A document's score is the logistic of the sum of its tables' entries.
 Features come from the text alone: classes of bytes as shares, words, repetition and lines.
 
 Defined results: a null text is an empty one, and gets a score like any other; null labels teach nothing;
-with one class or none the score is constant; repeated rows each get a row; an empty table gives an empty
-result; other columns are ignored.
+with one class or none the score is constant; very long texts are counted whole; repeated rows, equal and
+null ids each get a row; an empty table gives an empty result; other columns, of any name, are ignored.
 """
 
 from itertools import combinations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, release, texts
+from .common import held_out, pieces, release, ship, texts
 from .language import sample
 
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&<>@^~_=+{}[]\\/", "bar": b"|", "bang": b"!?", "stop": b".,;:", "space": b" \t", "line": b"\n\r", "quote": b"\"'()-", "high": bytes(range(128, 256))}
@@ -130,13 +130,13 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, coarse: int = 4, rounds: i
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 10_000) -> Model:
     """Fits on about ``per_class`` labelled documents of each class that are not held out; their features, a few numbers each, go to the driver."""
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     given = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null").where(~F.coalesce(held_out(), F.lit(True)))
     chosen = sample(given, "y", per_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x = features(texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, x.T)], names=["y", *FEATURES])
 
@@ -148,11 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of every document."""
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
         release()
-        for batch in batches:
+        for batch in pieces(batches):
             scores = model.score(features(texts(batch)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -160,4 +160,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = 10_000) -> DataFrame:
-    return score(docs, train(docs, labels, per_class=per_class)).withColumn("held_out", F.coalesce(held_out(), F.lit(True)))
+    scored = score(docs, train(docs, labels, per_class=per_class))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(True)).alias("held_out"), "score", "predicted")
