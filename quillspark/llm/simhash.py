@@ -6,25 +6,28 @@ the chosen parts; the nodes at that depth are the groups that Spark deals out. B
 traversed together: each pair splits into pairs of children, differing bits are added up, and a pair that
 exceeds the distance is pruned, and so is one whose leaves are connected already. A group sends on the
 links that connect its leaves (a forest), never all its pairs. A group above ``split`` leaves is cut into
-pairs of deeper nodes that stay within the distance, which are dealt out anew. Links then become
-components by joins.
+pairs of deeper nodes that stay within the distance, which are dealt out anew, and cut again until none is
+above it. Links then become components by joins.
 
 Only distinct fingerprints take part, so copies cost nothing; documents get their component back by a join.
 
 Defined results: a null text, an empty one and one of white space have fingerprint zero, and are linked like
-any other; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
-A null document id stays null and never names a component unless its component has no other.
+any other; a very long text is hashed whole; repeated rows each get a row (and one of them stays as a
+representative); an empty table gives an empty result; other columns, of any name, are ignored by
+``near_duplicates`` and kept by ``representatives``. A null document id stays null and never names a component
+unless its component has no other; documents without an id are told apart by their texts alone.
 """
 
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .common import bounded_batches, cut, release, texts
+from .common import cut, free, pieces, release, ship, texts
 
 SEED = 42
 BITS = 64
@@ -56,30 +59,19 @@ def fingerprint(h: np.ndarray) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and ``code``, the fingerprint as a signed 64-bit integer."""
-    bounded_batches(docs.sparkSession)
+def fingerprints(docs: DataFrame, shingle: int = 4, **others: Column) -> DataFrame:
+    """doc_id and ``code``, the fingerprint as a signed 64-bit integer; between them other columns of the documents."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(n) for n, c in others.items()))
+    names = [*rows.columns[1:], "code"]
 
     def run(batches):
         release()
-        for batch in batches:
+        for batch in pieces(batches):
             codes = [fingerprint(hashes(x.encode(), shingle)) for x in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64())], names=["doc_id", "code"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, code long")
-
-
-def _keyed_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, __key and code of rows (doc_id, text, __key)."""
-    bounded_batches(docs.sparkSession)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(codes, pa.int64())], names=names)
 
-    def run(batches):
-        release()
-        for batch in batches:
-            codes = [fingerprint(hashes(x.encode(), shingle)) for x in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(codes, pa.int64())], names=["doc_id", "__key", "code"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "__key").mapInArrow(run, "doc_id long, __key long, code long")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("code", T.LongType())]))
 
 
 def layout(distance: int, parts: int) -> list[tuple[list[int], int]]:
@@ -212,30 +204,36 @@ def links(codes: DataFrame, distance: int = 4, parts: int | None = None, split:
     ``parts`` follows from the number of codes if it is not given. A trie shares 64 * (parts - distance) / parts
     bits: 5 parts (5 tries of 12 bits) do for 400,000 codes, 6 (15 of 21) for 160 million, 7 (35 of 27) for
     billions. The links are the same; a code is sent to fewer or more, larger or smaller groups.
+
+    A row is a code in a pair of nodes (a, b), of which it is below the first (side 0) or the second (side 1);
+    at first both are the node at the shared depth. Pairs that are too large, and they alone, go down another level.
     """
     spark = codes.sparkSession
     tries = layout(distance, parts or parts_for(codes.count(), distance))
+    ship(spark)
 
     def deal(batches):
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
             for t, (order, shared) in enumerate(tries):
                 codes_ = arranged(own, order)
-                key = (codes_ >> np.uint64(BITS - shared)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(key), pa.array(codes_.view(np.int64))], names=["trie", "key", "arranged"])
-
-    dealt = codes.select("code").mapInArrow(deal, "trie int, key long, arranged long")
-    sizes = dealt.groupBy("trie", "key").agg(F.count("*").alias("size")).where("size > 1")
-    counted = cut(dealt.join(sizes, ["trie", "key"]))
-    whole = counted.where(F.col("size") <= split).select("trie", "key", F.lit(-1).alias("pair"), F.lit(0).alias("side"), "arranged")
-    large = counted.where(F.col("size") > split)
-    # A large group: its nodes split_bits deeper, each paired with itself and with the others within the distance.
-    below = ", ".join(str(BITS - split_bits - shared) for _, shared in tries)
-    node = F.pmod(F.expr(f"shiftrightunsigned(arranged, array({below})[trie])"), F.lit(1 << split_bits)).cast("int")
-    near = [[y for y in range(1 << split_bits) if bin(x ^ y).count("1") <= distance] for x in range(1 << split_bits)]
-    partner = F.from_json(F.lit(str(near)), "array<array<int>>")[node]
-    pieces = large.select("trie", "key", node.alias("own"), F.explode(partner).alias("other"), "arranged").select("trie", "key", (F.least("own", "other") * (1 << split_bits) + F.greatest("own", "other")).alias("pair"), (F.col("own") > F.col("other")).cast("int").alias("side"), "arranged")
-    groups = whole.unionAll(pieces)
+                key = pa.array((codes_ >> np.uint64(BITS - shared)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), key, key, pa.array(np.zeros(len(own), np.int32)), pa.array(codes_.view(np.int64))], names=[*PAIR, "side", "arranged"])
+
+    rows = codes.select("code").mapInArrow(deal, "trie int, a long, b long, side int, arranged long")
+    depths, groups = [shared for _, shared in tries], None
+    while True:
+        sides = rows.groupBy(*PAIR).agg(F.count_if(F.col("side") == 0).alias("left"), F.count_if(F.col("side") == 1).alias("right"))
+        sizes = sides.where("a = b AND left > 1 OR left > 0 AND right > 0").select(*PAIR, (F.col("left") + F.col("right")).alias("size"))
+        sized = cut(rows.join(sizes, list(PAIR)))
+        deeper = max(depths) + split_bits <= BITS
+        fit = (sized.where(F.col("size") <= split) if deeper else sized).drop("size")
+        groups = fit if groups is None else groups.unionAll(fit)
+        large = sized.where(F.col("size") > split).drop("size")
+        if not deeper or not large.limit(1).count():
+            break
+        rows = cut(_lower(large, depths, distance, split_bits))
+        depths = [d + split_bits for d in depths]
     shared = {t: s for t, (_, s) in enumerate(tries)}
     back = [np.array(order) for order, _ in tries]
 
@@ -248,24 +246,49 @@ def links(codes: DataFrame, distance: int = 4, parts: int | None = None, split:
             original = original.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(original[found[0]]), pa.array(original[found[1]])], names=["a", "b"])
 
-    bounded_batches(spark, rows=50_000)
-    dealt_out = groups.repartition("trie", "key", "pair").sortWithinPartitions("trie", "key", "pair", "side", F.col("arranged") < 0, "arranged")
+    dealt_out = groups.repartition(*PAIR).sortWithinPartitions(*PAIR, "side", F.col("arranged") < 0, "arranged")
     return dealt_out.mapInArrow(traverse, "a long, b long").distinct()
 
 
-def _whole_groups(batches):
-    """The rows of some whole groups of one trie at a time: (trie, group number, side, codes), in their order."""
-    held = None
+PAIR = ("trie", "a", "b")
+
+
+def _lower(rows: DataFrame, depths: list[int], distance: int, bits: int) -> DataFrame:
+    """The pairs of nodes ``bits`` further down that are still within the distance, with the codes below them."""
+    kinds = range(1 << bits)
+    near = [[[y for y in kinds if (x ^ y).bit_count() <= left] for x in kinds] for left in range(distance + 1)]
+    below = ", ".join(str(BITS - bits - d) for d in depths)
+    digit = F.pmod(F.expr(f"shiftrightunsigned(arranged, array({below})[trie])"), F.lit(1 << bits)).cast("int")
+    left = F.lit(distance) - F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    partners = F.get(F.get(F.from_json(F.lit(str(near)), "array<array<array<int>>>"), left), F.col("own"))
+    met = rows.withColumn("own", digit).select(*PAIR, "side", "arranged", "own", F.explode(partners).alias("other"))
+    # A pair of one node with itself has its lower node first; of two nodes, each keeps its side.
+    first = F.when(F.col("a") == F.col("b"), F.least("own", "other")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+    second = F.when(F.col("a") == F.col("b"), F.greatest("own", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    side = F.when(F.col("a") == F.col("b"), (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side"))
+    down = lambda node, at: F.shiftleft(node, bits).bitwiseOR(at.cast("long"))
+    return met.select("trie", down("a", first).alias("a"), down("b", second).alias("b"), side.alias("side"), "arranged")
+
+
+def _whole_groups(batches, at_once: int = 30_000):
+    """The rows of some whole groups at a time, in their order: (trie, group number, side, codes). Rows are put together once a group has ended."""
+    held, size = [], 0
     for batch in batches:
         now = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
-        held = now if held is None else np.concatenate([held, now], axis=1)
-        same = np.all(held[:3] == held[:3, -1:], axis=0)
-        last = held.shape[1] - int(np.argmin(same[::-1])) if not same.all() else 0
-        if last > 30_000:
-            yield from _by_trie(held[:, :last])
-            held = held[:, last:]
-    if held is not None and held.shape[1]:
-        yield from _by_trie(held)
+        if not now.shape[1]:
+            continue
+        same = np.all(now[:3] == now[:3, -1:], axis=0)
+        last = 0 if same.all() else now.shape[1] - int(np.argmin(same[::-1]))  # where the batch's last group begins
+        if not last and held and not np.array_equal(held[-1][:3, -1], now[:3, 0]):
+            last = -1  # a new group begins with the batch
+        if last and size + max(last, 0) > at_once:
+            last = max(last, 0)
+            yield from _by_trie(np.concatenate([*held, now[:, :last]], axis=1))
+            held, size, now = [], 0, now[:, last:]
+        held.append(now)
+        size += now.shape[1]
+    if held:
+        yield from _by_trie(np.concatenate(held, axis=1))
 
 
 def _by_trie(rows: np.ndarray):
@@ -276,15 +299,13 @@ def _by_trie(rows: np.ndarray):
 
 
 def classes(prints: DataFrame, distance: int = 4, parts: int | None = None) -> DataFrame:
-    """code and component_id of every distinct code of ``prints`` (doc_id, code)."""
+    """code, component (its least code) and component_id (its least document id) of every distinct code of ``prints`` (doc_id, code)."""
     distinct = cut(prints.groupBy("code").agg(F.min("doc_id").alias("first")))
     found = components(links(distinct, distance, parts))
-    # Nodes are codes; a component's name is the least document id among its codes.
-    named = distinct.join(found.withColumnRenamed("node", "code"), "code")
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = cut(named.join(least, "component").select("code", "component_id"))
+    named = cut(distinct.join(found.withColumnRenamed("node", "code"), "code", "left").select("code", "first", F.coalesce("component", "code").alias("component")))
+    least = cut(named.groupBy("component").agg(F.min("first").alias("component_id")))
     # Written, so that a join of all documents to it has a shuffle of its own on both sides, and a common code may be split among tasks.
-    return cut(distinct.join(linked, "code", "left").select("code", F.coalesce("component_id", "first").alias("component_id")))
+    return cut(named.join(least, "component").select("code", "component", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int | None = None) -> DataFrame:
@@ -294,19 +315,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, parts:
 
 
 def representatives(docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int | None = None) -> DataFrame:
-    """The documents, whole rows, of the lowest id in each component. Rows that share that id stay once (the least by a hash of the text).
+    """The documents, whole rows, of the lowest id in each component (without ids: the least by a hash of the text). Rows of equal id and text stay once.
 
-    Only ids and fingerprints are shuffled; the ids that leave are then taken out of the documents.
+    Only ids, hashes of texts and fingerprints are shuffled; the rows that leave are then taken out of the documents.
     """
-    named = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias("__key"))
-    prints = cut(_keyed_fingerprints(named, shingle))
-    joined = prints.join(classes(prints.select("doc_id", "code"), distance, parts), "code")
-    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "__key")
-    component = F.coalesce("component_id", F.lit((1 << 63) - 1))
-    best = joined.groupBy(component.alias("c")).agg(F.min(rank).alias("best"))
-    stay = best.select(F.col("best.__key").alias("__key"))
-    leave = cut(prints.select("__key").distinct().join(stay, "__key", "left_anti"))
-    kept = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))).join(leave, "__key", "left_anti")
-    if prints.groupBy("__key").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__key"])
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    prints = cut(fingerprints(docs, shingle, tie=hashed))
+    joined = prints.join(classes(prints, distance, parts), "code")
+    stay = joined.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("best")).select(F.col("best.doc_id").alias("stays"), F.col("best.tie").alias("stays_tie"))
+    rows = prints.groupBy("doc_id", "tie").agg(F.count("*").alias("n"))
+    leaving, leaving_tie, own, tie = free(docs, "leaving", "leaving_tie", "own_id", "tie")
+    leave = cut(rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")) & (F.col("tie") == F.col("stays_tie")), "left_anti").select(F.col("doc_id").alias(leaving), F.col("tie").alias(leaving_tie)))
+    keyed = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(tie, hashed)
+    kept = keyed.join(leave, F.col(own).eqNullSafe(F.col(leaving)) & (F.col(tie) == F.col(leaving_tie)), "left_anti")
+    if rows.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([own, tie])
     return kept.select(*docs.columns)
