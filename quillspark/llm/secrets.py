@@ -10,9 +10,11 @@ The dictionary and the letter table are the ``words`` most frequent words of all
 neighbouring words and the forest learn from a bounded number of labelled findings (``per_class``). All
 documents are scanned, and all candidates judged, whole.
 
-Defined results: null and empty texts have no candidates; a null path has no path features; repeated rows
-give repeated findings; without labelled findings of both classes the rule ``key_like`` decides, with score
-0.5; an empty table gives an empty result; other columns are ignored by ``scan`` and kept by ``redact``.
+Defined results: null and empty texts have no candidates; very long texts are searched, and very long candidates
+judged, whole; a null path has no path features; repeated rows give repeated findings, and rows of equal or null
+id are told apart by their texts; without labelled findings of both classes the rule ``key_like`` decides, with
+score 0.5; an empty table gives an empty result; other columns, of any name, are ignored by ``scan`` and kept by
+``redact``.
 """
 
 from math import log2
@@ -23,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import cut, free, held_out
 from .language import sample
 
 SHORTEST = 16
@@ -71,9 +73,15 @@ def last_word() -> F.Column:
     return F.lower(F.regexp_extract("before", r"(\p{L}+)[^\p{L}]*$", 1))
 
 
+#: The dictionary's words have from 3 to so many letters.
+LONGEST_WORD = 20
+#: The candidate alphabet has 67 characters; that many kinds at most are expected of a long candidate.
+ALPHABET = 64.0
+
+
 def corpus_words(docs: DataFrame, words: int = 30_000) -> DataFrame:
     """The most frequent words of three letters and more, in lower case, with the number of documents that have them."""
-    split = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})[a-z]{3,20}(?!\p{L})"), F.lit(0)))
+    split = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<!\p{{L}})[a-z]{{3,{LONGEST_WORD}}}(?!\p{{L}})"), F.lit(0)))
     counted = docs.select(F.explode(split).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return counted.where("n > 1").orderBy(F.desc("n"), "word").limit(words)
 
@@ -100,10 +108,10 @@ def featured(found: DataFrame, dictionary: DataFrame, table: F.Column, odds: Dat
     share = lambda pattern: F.regexp_count("value", F.lit(pattern)) / size
     lowered = F.lower("value")
     runs = F.regexp_extract_all(lowered, F.lit("[a-z]{3,}"), F.lit(0))
-    # Of each run of letters the longest beginning and the longest end that are words count as covered.
+    # Of each run of letters the longest beginning and the longest end that are words count as covered; no word of the dictionary is longer than LONGEST_WORD.
     # Of a candidate's equal runs one is looked up, with how often it occurs.
     counted = found.select("key", "row", "start", F.explode(runs).alias("run")).groupBy("key", "row", "start", "run").agg(F.count("*").alias("times"))
-    pieces = counted.select("key", "row", "start", "run", "times", F.explode(F.sequence(F.lit(3), F.least(F.length("run"), F.lit(20)))).alias("n"))
+    pieces = counted.select("key", "row", "start", "run", "times", F.explode(F.sequence(F.lit(3), F.least(F.length("run"), F.lit(LONGEST_WORD)))).alias("n"))
     ends = pieces.select("key", "row", "start", "run", "times", "n", F.expr("left(run, n)").alias("head"), F.expr("right(run, n)").alias("end"))
     known = F.broadcast(dictionary.select("word"))
     hits = ends.join(known.withColumnRenamed("word", "head").withColumn("is_head", F.lit(1)), "head", "left").join(known.withColumnRenamed("word", "end").withColumn("is_end", F.lit(1)), "end", "left").where("is_head = 1 or is_end = 1")
@@ -120,7 +128,7 @@ def featured(found: DataFrame, dictionary: DataFrame, table: F.Column, odds: Dat
         share("[a-z]").alias("lower_share"),
         share("[A-Z]").alias("upper_share"),
         share("[0-9]").alias("digit_share"),
-        (F.size(F.array_distinct(F.split("value", ""))) / F.least(size, F.lit(64.0))).alias("kinds_share"),
+        (F.size(F.array_distinct(F.split("value", ""))) / F.least(size, F.lit(ALPHABET))).alias("kinds_share"),
         (F.regexp_count("value", F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) / size).alias("transitions"),
         bits.alias("letter_bits"),
         (F.coalesce("covered", F.lit(0)) / size).alias("coverage"),
@@ -134,18 +142,23 @@ def featured(found: DataFrame, dictionary: DataFrame, table: F.Column, odds: Dat
     )
 
 
+def assigned_to_a_name() -> F.Column:
+    return F.lower("before").rlike(rf"({NAMES})\w*[\"']?\s*[=:]\s*[\"']?$")
+
+
+def mixed() -> F.Column:
+    return F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")
+
+
 def weak_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings where no reviewed ones are at hand: hexadecimal digits of a usual key's length behind a secret's name are 1; letters only and digits only are 0; all else is unlabelled and left out."""
-    secret = F.col("value").rlike("^[0-9a-fA-F]{32,64}$") & F.lower("before").rlike(rf"({NAMES})\w*\s*[=:]\s*[\"']?$")
+    """Labelled findings where no reviewed ones are at hand: letters and digits, of any alphabet, assigned to a secret's name are 1; letters only and digits only are 0; all else is unlabelled and left out."""
     harmless = F.col("value").rlike(r"^[A-Za-z.\-]+$") | F.col("value").rlike("^[0-9]+$")
-    return found.withColumn("label", F.when(secret, 1).when(harmless, 0)).where("label is not null")
+    return found.withColumn("label", F.when(mixed() & assigned_to_a_name(), 1).when(harmless, 0)).where("label is not null")
 
 
 def key_like(found: DataFrame) -> DataFrame:
     """The candidates that a rule calls secrets where no forest can be trained: letters and digits, either hexadecimal digits of a usual key's length or what is assigned to a secret's name."""
-    mixed = F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")
-    assigned = F.lower("before").rlike(rf"({NAMES})\w*\s*[=:]\s*[\"']?$")
-    return found.where(mixed & (F.col("value").rlike("^[0-9a-fA-F]{32,64}$") | assigned))
+    return found.where(mixed() & (F.col("value").rlike("^[0-9a-fA-F]{32,64}$") | assigned_to_a_name()))
 
 
 def word_odds(labelled: DataFrame, words: int = 5_000) -> DataFrame:
@@ -167,10 +180,11 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
         return key_like(found).select("doc_id", "key", "start", "stop", "value", F.lit(0.5).alias("score"))
     dictionary = cut(corpus_words(docs, words))
     table, odds = letter_table(dictionary), cut(word_odds(labelled))
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")
-    known = featured(labelled, dictionary, table, odds).select(F.col("label").cast("double"), *FEATURES)
-    forest = RandomForestClassifier(labelCol="label", featuresCol="__features", numTrees=trees, maxDepth=depth, seed=7)
-    model = forest.fit(assembler.transform(cut(known.orderBy(*FEATURES, "label"))))
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    known = featured(labelled, dictionary, table, odds).select("key", "start", F.col("label").cast("double"), *FEATURES)
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=7)
+    # The forest draws rows by their place, so they get one that does not depend on tasks; keys are hashes, which spread equal features.
+    model = forest.fit(assembler.transform(cut(known.orderBy("key", "start"))))
     judged = model.transform(assembler.transform(featured(found, dictionary, table, odds)))
     scored = judged.select("doc_id", "key", "start", "stop", "value", vector_to_array("probability")[1].alias("score"))
     return scored.where(F.col("score") >= threshold)
@@ -181,11 +195,11 @@ def redact(docs: DataFrame, findings: DataFrame, mask: str = MASK) -> DataFrame:
 
     Only documents with findings have spans to join; the fold over them takes each span once, from the left.
     """
-    spans = findings.select("doc_id", "key", "start", "stop").distinct().groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), F.col("text").cast("string")))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), "__spans")
-    joined = keyed.join(spans, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    before = F.transform("__spans", lambda s, i: F.struct(F.when(i == 0, 0).otherwise(F.get("__spans", i - 1)["stop"]).alias("a"), s["start"].alias("b")))
+    key, own_id, own_key, spans = free(docs, "key", "span_id", "span_key", "spans")
+    listed = findings.select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.struct("start", "stop").alias("span")).distinct().groupBy(own_id, own_key).agg(F.array_sort(F.collect_list("span")).alias(spans))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text").cast("string")))
+    joined = keyed.join(listed, (F.col(key) == F.col(own_key)) & F.col("doc_id").eqNullSafe(F.col(own_id)), "left")
+    before = F.transform(spans, lambda s, i: F.struct(F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["stop"]).alias("a"), s["start"].alias("b")))
     kept = F.transform(before, lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"]))
-    last = F.expr("substring(text, element_at(__spans, -1).stop + 1)")
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, mask), F.lit(mask), last))).select(*docs.columns)
+    last = F.substring(F.col("text"), F.element_at(spans, -1)["stop"] + 1, F.length("text"))
+    return joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, mask), F.lit(mask), last))).select(*docs.columns)
