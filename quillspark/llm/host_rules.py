@@ -2,11 +2,12 @@
 
 Each document gets counts over its whole text and a verdict of its own. Failures are summed by host, the
 hosts' rates are shrunk with a beta prior that is fitted to all hosts by moments, and a host whose shrunk
-rate is too high takes all of its documents with it.
+rate is too high takes all of its documents with it. The spread of the rates is in part that of drawing few
+documents from a host; that part is taken off first.
 
 Defined results: a null text has no words (it fails); a null host belongs to no host and is judged by the
-prior's mean; repeated rows count as often as they occur; an empty table gives an empty result; other
-columns of the input are ignored.
+prior's mean; very long texts are counted whole; repeated rows count as often as they occur; ids may be null
+or equal; an empty table gives an empty result; other columns of the input, of any name, are ignored.
 """
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bounded_batches, cut, join_keyed, release, texts
+from .common import SPACES, cut, join_keyed, pieces, release, ship, texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -46,7 +47,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 def _stats(batches):
     release()
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for text in texts(batch):
             raw = text.encode()
@@ -59,7 +60,7 @@ def _stats(batches):
 
 def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host and the counts of each document, with its own verdict ``base_failed``."""
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     schema = "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS)
     stats = docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text")).mapInArrow(_stats, schema)
     return stats.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
@@ -68,15 +69,17 @@ def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
 def host_verdicts(stats: DataFrame, max_rate: float = 0.5) -> tuple[DataFrame, float]:
     """Per host its shrunk failure rate and verdict, and the prior's mean.
 
-    The prior's mean is the share of failures among all documents; its strength comes from the variance of
-    the hosts' rates (weighted by documents), held between 1 and 10,000 documents.
+    The prior's mean m is the share of failures among all documents. Were a host's failures drawn at a rate of its
+    own from a beta distribution of strength s, the sum of n (rate - m)^2 over H hosts of N documents together would
+    be m (1 - m) (H + (N - H) / (1 + s)) on average, which is solved for s; it is held between 1 and 10,000 documents.
     """
     hosts = stats.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
     hosts = cut(hosts)
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("failures").alias("f"), F.sum(F.col("failures") * F.col("failures") / F.col("n")).alias("ff")).first()
+    total = hosts.agg(F.count("*").alias("h"), F.sum("n").alias("n"), F.sum("failures").alias("f"), F.sum(F.col("failures") * F.col("failures") / F.col("n")).alias("ff")).first()
     mean = total.f / total.n if total.n else 0.0
-    spread = total.ff / total.n - mean * mean if total.n else 0.0
-    strength = min(max(mean * (1 - mean) / spread - 1 if spread > 1e-12 else 1e4, 1.0), 1e4)
+    own = mean * (1 - mean)
+    spread = (total.ff - total.n * mean * mean) / own - total.h if own > 1e-12 else 0.0  # what sampling does not explain
+    strength = min(max((total.n - total.h) / spread - 1 if spread > 1e-9 else 1e4, 1.0), 1e4)
     rate = (F.col("failures") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
     return hosts.select("host", rate.alias("host_rate"), (rate <= max_rate).alias("host_ok")), mean
 

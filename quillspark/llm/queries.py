@@ -47,7 +47,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeats(read(spark, sf_dir, "documents"))
+    return line_dedup.repeats(read(spark, sf_dir, "documents")).drop("tie")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +84,9 @@ base AS (SELECT d.doc_id, host, len(w)::BIGINT AS n_words, length(array_to_strin
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
 hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM judged WHERE host IS NOT NULL GROUP BY host),
-moments AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) AS v FROM hosts),
-prior AS (SELECT m, least(greatest(CASE WHEN v > 1e-12 THEN m * (1 - m) / v - 1 ELSE 1e4 END, 1.0), 1e4) AS s FROM moments)
+moments AS (SELECT sum(f) / sum(n) AS m, sum(n) AS n, count(*) AS h, sum(f * f / n) AS ff FROM hosts),
+beyond AS (SELECT *, CASE WHEN m * (1 - m) > 1e-12 THEN (ff - n * m * m) / (m * (1 - m)) - h ELSE 0 END AS v FROM moments),
+prior AS (SELECT m, least(greatest(CASE WHEN v > 1e-9 THEN (n - h) / v - 1 ELSE 1e4 END, 1.0), 1e4) AS s FROM beyond)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce((f + m * s) / (n + s), m) <= 0.5 AS kept, round(coalesce((f + m * s) / (n + s), m), 9) AS host_rate
 FROM judged LEFT JOIN hosts USING (host), prior
@@ -97,12 +98,12 @@ rates AS (SELECT source, w / (SELECT sum(w) FROM sources) * (SELECT sum(n) FROM
 parts AS (SELECT source, greatest(ceil(rate / 8.0), 1)::INT AS pieces, rate / greatest(ceil(rate / 8.0), 1) AS mean FROM rates),
 steps AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c
   FROM (SELECT source, k, exp(-mean + k * ln(mean) - lgamma(k + 1)) AS p FROM parts, range(64) AS r(k))),
-draws AS (SELECT doc_id, d.source, text, unnest(range(1, pieces + 1)) AS j FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
-drawn AS (SELECT doc_id, source, text, j, ('0x' || substr(md5('mix:' || doc_id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM draws),
-hits AS (SELECT doc_id, source, text, (SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u)::INT AS n FROM drawn d),
-counts AS (SELECT doc_id, source, text, sum(n)::INT AS n_copies FROM hits GROUP BY ALL),
-copies AS (SELECT doc_id, source, text, n_copies, unnest(range(1, n_copies + 1))::INT AS copy FROM counts)
-SELECT doc_id, source, copy, n_copies, ('0x' || substr(md5('mix:order:' || doc_id || ':' || copy), 1, 15))::BIGINT AS shuffle_key, md5(coalesce(text, '')) AS text_md5 FROM copies
+draws AS (SELECT doc_id, d.source, md5(coalesce(text, '')) AS body, unnest(range(1, pieces + 1)) AS j FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
+drawn AS (SELECT doc_id, source, body, j, ('0x' || substr(md5('mix:' || doc_id || ':' || body || ':' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM draws),
+hits AS (SELECT doc_id, source, body, (SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u)::INT AS n FROM drawn d),
+counts AS (SELECT doc_id, source, body, sum(n)::INT AS n_copies FROM hits GROUP BY ALL),
+copies AS (SELECT doc_id, source, body, n_copies, unnest(range(1, n_copies + 1))::INT AS copy FROM counts)
+SELECT doc_id, source, copy, n_copies, ('0x' || substr(md5('mix:order:' || doc_id || ':' || body || ':' || copy), 1, 15))::BIGINT AS shuffle_key, body AS text_md5 FROM copies
 """
 
 ORACLE["op4_hamming"] = """
@@ -113,8 +114,13 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, ne
 
 ORACLE["op6_line_dedup"] = rf"""
 WITH pieces AS (SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{line_dedup.UNIT}') AS p FROM documents)),
-placed AS (SELECT doc_id, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i))::INT AS stop, length(piece)::INT AS size, list_filter(string_split_regex(lower(piece), '\s+'), lambda x: x <> '') AS w FROM pieces),
-found AS (SELECT doc_id, stop - size AS start, stop, len(w)::INT AS n_words, md5(array_to_string(w, ' ')) AS digest FROM placed WHERE len(w) >= {line_dedup.MIN_WORDS}),
+placed AS (SELECT doc_id, i, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i))::INT AS stop, length(piece)::INT AS size, list_filter(string_split_regex(lower(piece), '\s+'), lambda x: x <> '') AS w FROM pieces),
+lines AS (SELECT doc_id, i, stop - size AS start, stop, len(w) AS n, array_to_string(w, ' ') AS plain, len(w) >= {line_dedup.MIN_WORDS} AS long FROM placed WHERE len(w) > 0),
+cuts AS (SELECT *, (long OR coalesce(lag(long) OVER o, true) OR lag(md5(plain)) OVER o < '8')::INT AS new FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM cuts),
+units AS (SELECT doc_id, u, min(start) AS start, max(stop) AS stop, sum(n)::INT AS n_words, string_agg(plain, chr(10) ORDER BY i) AS plain FROM numbered GROUP BY doc_id, u),
+behind AS (SELECT *, lag(plain) OVER o AS plain_before, coalesce(lag(n_words) OVER o, -{line_dedup.MIN_WORDS}) AS n_before FROM units WINDOW o AS (PARTITION BY doc_id ORDER BY u)),
+found AS (SELECT doc_id, start, stop, n_words, md5(CASE WHEN n_words >= {line_dedup.MIN_WORDS} THEN plain ELSE plain_before || chr(9) || plain END) AS digest FROM behind WHERE n_words >= {line_dedup.MIN_WORDS} OR n_words + n_before >= {line_dedup.MIN_WORDS}),
 ranked AS (SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(start) OVER o AS kept_start, row_number() OVER o AS r FROM found WINDOW o AS (PARTITION BY digest ORDER BY doc_id, start))
 SELECT doc_id, start, stop, n_words, digest, kept_doc_id, kept_start FROM ranked WHERE r > 1
 """

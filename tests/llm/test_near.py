@@ -112,6 +112,55 @@ def test_links_of_split_groups_with_empty_nodes(spark, partitions):
     assert got == {(min(a, b), max(a, b)) for i, a in enumerate(codes) for b in codes[i + 1 :] if (a ^ b).bit_count() <= 4}
 
 
+def test_groups_are_split_until_they_are_small(spark):
+    """All codes within three bits of one: splitting once leaves a node that is far too large."""
+    from itertools import combinations
+
+    flips = [sum(1 << b for b in bits) for r in range(4) for bits in combinations(range(20, 44), r)]
+    codes = [0x123456789ABCDEF ^ f for f in flips] + [0x7000000000000000 ^ f << 3 for f in flips[:300]]
+    df = spark.createDataFrame([(c,) for c in codes], "code long")
+    sizes = []
+    plain = simhash._by_trie
+
+    def traced(rows):
+        for trie, group, side, own in plain(rows):
+            sizes.append(np.bincount(group).max())
+            yield trie, group, side, own
+
+    found = simhash.links(df, split=500, parts=5).collect()
+    from quillspark.operators.graph import components
+
+    names = dict(components(spark.createDataFrame(found, "a long, b long")).collect())
+    first, second = codes[: len(flips)], codes[len(flips) :]
+    assert len({names[c] for c in first}) == 1 and len({names[c] for c in second}) == 1 and names[first[0]] != names[second[0]]
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+    _ = traced
+
+
+def test_whole_groups_come_together():
+    """Batches of every size give the same groups, none of them cut."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = np.array(sorted(zip(rng.integers(0, 2, 500), rng.integers(0, 6, 500), rng.integers(0, 2, 500), np.zeros(500, int), rng.integers(0, 99, 500)))).T
+    want = {tuple(k): sorted(rows[4][(rows[:3] == np.array(k)[:, None]).all(axis=0)]) for k in rows[:3].T}
+    for size in (1, 7, 40, 500):
+        for at_once in (1, 60, 10**6):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, i : i + size]], names=list("abcde")) for i in range(0, 500, size)]
+            got = [sorted(own[group == g].view(np.int64)) for _, group, _, own in simhash._whole_groups(batches, at_once) for g in np.unique(group)]
+            assert sorted(map(list, got)) == sorted(map(list, want.values()))
+
+
+def test_representatives_keep_documents_without_ids(spark, rows):
+    """Four texts without an id, two rows of one id, repeated rows, and columns named like inner ones."""
+    texts = ["the quick brown fox jumps", "a wholly different text is here", "third one about the sea and ships", "numbers one two three four five"]
+    own = [(None, t, i, "k", "x") for i, t in enumerate(texts)] + [(7, "first text of number seven here", 7, "k", "x"), (7, "another text entirely of that id", 7, "k", "x"), (7, "another text entirely of that id", 7, "k", "x"), (9, texts[0], 9, "k", "x")]
+    df = spark.createDataFrame(own, "doc_id long, text string, __key long, tie string, leaving string")
+    kept = simhash.representatives(df)
+    assert kept.columns == df.columns
+    assert rows(kept.select("doc_id", "text", "__key", "tie")) == sorted([(None, t, i, "k") for i, t in enumerate(texts) if i] + [(7, own[4][1], 7, "k"), (7, own[5][1], 7, "k"), (9, texts[0], 9, "k")], key=repr)
+
+
 def test_odd_documents(spark):
     texts = ["A b\tc\nd e", "a b c d e", "", None, " \n", "one", "ONE ", "É É É É É", "é é é é é", "x " * 5000, "a b c d"]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")]
@@ -139,21 +188,29 @@ def brute_top(codes, query_id, code, k):
     return sorted(((c ^ code).bit_count(), i) for i, c in codes if i != query_id)[:k]
 
 
-@pytest.mark.parametrize("shard", [1 << 15, 20])
-def test_hamming_search(spark, shard):
+@pytest.mark.parametrize("small,at_once", [(hamming.SMALL, hamming.AT_ONCE), (0, 50)])
+def test_hamming_search(spark, monkeypatch, small, at_once):
+    """With the index broadcast and dealt out, and with few and many steps in a round."""
+    monkeypatch.setattr(hamming, "SMALL", small)
+    monkeypatch.setattr(hamming, "AT_ONCE", at_once)
     rng = np.random.default_rng(3)
     codes = [(i, int(c)) for i, c in enumerate(near_codes(90, 1))] + [(1000 + i, 5) for i in range(60)] + [(2000 + i, int(rng.integers(0, 2**63))) for i in range(50)]
     signed = [(i, c - 2**64 if c >= 2**63 else c) for i, c in codes]
     df = spark.createDataFrame(signed, "id long, code long")
     wanted = df.where("id % 20 = 0")
     got = {}
-    for r in hamming.top_k(df, wanted, k=7, shard=shard, block=4).collect():
+    for r in hamming.top_k(df, wanted, k=7).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.distance, r.neighbor_id)
     assert got == {i: dict(enumerate(brute_top(codes, i, c, 7), 1)) for i, c in codes if i % 20 == 0}
     assert hamming.top_k(df.where("id < 0"), wanted.where("id < 0")).count() == 0
     assert hamming.top_k(df.where("id = 0"), wanted.where("id = 0")).count() == 0
 
 
+def test_hamming_layout():
+    assert [len(hamming.layout(n)) for n in (0, 1000, 50_000, 10**7, 10**9)] == [16, 8, 5, 3, 2]
+    assert all(sum(w for _, w in hamming.layout(n)) == 64 for n in (1, 10**4, 10**8))
+
+
 def test_sign_codes(spark):
     df = spark.createDataFrame([(1, [1.0, -1.0, None, 2.0]), (2, None), (None, [1.0]), (3, [])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, hamming.sign_codes(df).collect())) == [(1, 9), (3, 0)]

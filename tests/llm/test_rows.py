@@ -46,6 +46,23 @@ def test_host_rules_odd_rows(spark):
     assert host_rules.apply_rules(df.where("doc_id < 0")).count() == 0
 
 
+def test_prior_without_sampling_noise(spark):
+    """Hosts of few documents whose rates are drawn from a beta distribution of strength 20: the raw spread of rates would say about 3."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = rng.integers(3, 6, 4000)
+    failed = rng.binomial(n, rng.beta(6, 14, len(n)))
+    stats = spark.createDataFrame([(int(i), bool(k < f)) for i, (m, f) in enumerate(zip(n, failed)) for k in range(m)], "host long, base_failed boolean").withColumn("host", F.col("host").cast("string"))
+    hosts, mean = host_rules.host_verdicts(stats)
+    r = hosts.where("host = '0'").first()
+    m, f = int(n[0]), int(failed[0])
+    strength = (f - m * r.host_rate) / (r.host_rate - mean)  # rate = (f + mean * s) / (m + s)
+    assert abs(mean - 0.3) < 0.01 and 15 < strength < 28
+    one = spark.createDataFrame([("a", True)] * 3 + [("b", False)] * 300, "host string, base_failed boolean")
+    assert host_rules.host_verdicts(one)[0].count() == 2 and host_rules.host_verdicts(one.where("host = 'z'"))[1] == 0
+
+
 def test_join_keyed_both_ways(spark, rows):
     big = spark.createDataFrame([(i, ["a", "b", None, "z"][i % 4]) for i in range(40)], "doc_id long, k string")
     small = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
@@ -70,6 +87,25 @@ def test_poisson(spark):
     assert mixing.mix(df, weights).count() == mixing.mix(df.orderBy(F.desc("doc_id")), weights).count()
 
 
+def test_rows_without_ids_are_drawn_and_dealt_apart(spark):
+    """Two thousand documents, half of them without an id; then a text that is half of all rows, without an id too."""
+    df = spark.range(2000, numPartitions=4).selectExpr("IF(id % 2 = 0, NULL, id) AS doc_id", "concat('text ', id) AS text", "'s' AS source")
+    mixed = mixing.mix(df, size=2.0, partitions=8)
+    sizes = [r[1] for r in mixed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+    null = mixed.where("doc_id is null").groupBy("text").agg(F.max("n_copies").alias("n")).groupBy("n").count().collect()
+    assert len(null) > 3 and abs(sum(r.n * r["count"] for r in null) - 2000) < 200
+    same = df.withColumn("text", F.when(F.col("doc_id").isNull(), "one text").otherwise(F.col("text")))
+    parts = mixing.mix(same, size=4.0, partitions=8, seed="b").where("doc_id is null").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) in (0, 5, 6, 7, 8)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, f"t{i}", "a", i, "c") for i in range(50)], "doc_id long, text string, source string, draws long, cdf string").withColumn("__source", F.lit("mine")).withColumn("text_hash", F.lit("h"))
+    out = mixing.mix(df, size=3.0)
+    assert out.columns == [*df.columns, "copy", "n_copies", "shuffle_key"] and {(r["__source"], r.text_hash, r.cdf) for r in out.collect()} == {("mine", "h", "c")} and all(r.draws == r.doc_id for r in out.collect())
+
+
 def test_poisson_odd_rows(spark):
     rows = [(None, None, "a"), (1, "", "a"), (1, "", "a"), (2, "x" * 100_000, None), (3, "q", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rate", F.lit(1)).withColumn("source2", F.lit("z"))
@@ -81,29 +117,68 @@ def test_poisson_odd_rows(spark):
         mixing.mix(df.withColumn("Copy", F.lit(1)))
 
 
-def brute_lines(rows):
-    seen, out = {}, set()
-    found = []
-    for doc, text in set(rows):
-        for m in re.finditer(line_dedup.UNIT, text or ""):
-            words = m.group().lower().split()
-            if len(words) >= 8:
-                found.append((doc is None, doc or 0, m.start(), m.end(), md5(" ".join(words).encode()).hexdigest(), doc))
-    for none, _, start, stop, digest, doc in sorted(found, key=lambda x: x[:3]):
+def brute_units(text):
+    """(start, stop, normalised, words) by the rule in words: long lines alone, short neighbours together up to a cut."""
+    lines = [(m.start(), m.end(), m.group().lower().split()) for m in re.finditer(line_dedup.UNIT, text or "") if m.group().split()]
+    groups = []
+    for i, (a, b, w) in enumerate(lines):
+        before = lines[i - 1][2] if i else None
+        new = before is None or len(w) >= 8 or len(before) >= 8 or md5(" ".join(before).encode()).hexdigest()[0] in "01234567"
+        groups += [[]] if new else []
+        groups[-1].append((a, b, w))
+    return [(g[0][0], g[-1][1], "\n".join(" ".join(w) for *_, w in g), sum(len(w) for *_, w in g)) for g in groups]
+
+
+def brute_lines(rows, tie):
+    seen, out, found = {}, set(), []
+    for doc, text in {(d, t) for d, t in rows if t}:
+        own = brute_units(text)
+        for i, (a, b, plain, n) in enumerate(own):
+            if n >= 8 or i and n + own[i - 1][3] >= 8:
+                digest = md5((plain if n >= 8 else own[i - 1][2] + "\t" + plain).encode()).hexdigest()
+                found.append((doc is None, doc or 0, tie[text], a, b, n, digest, doc))
+    for none, _, t, start, stop, n, digest, doc in sorted(found, key=lambda x: x[:4]):
         if digest in seen:
-            out.add((doc, start, stop, digest, *seen[digest]))
+            out.add((doc, t, start, stop, n, digest, *seen[digest]))
         else:
             seen[digest] = (doc, start)
     return out
 
 
+def line_rows(spark, own):
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    return df, dict(df.select("text", F.xxhash64("text")).collect())
+
+
 def test_line_dedup(spark):
     s = "one two three four five six seven eight nine."
-    rows = [(3, f"A b. {s} Tail"), (1, f"{s.upper()}\n{s} {s}"), (2, f"prefix {s}"), (9, None), (8, ""), (7, "short. " * 50), (None, s), (3, f"A b. {s} Tail"), (6, s * 3), (5, f"{s}\n" * 400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x"))
-    found = line_dedup.repeats(df)
-    got = {(r.doc_id, r.start, r.stop, r.digest, r.kept_doc_id if r.kept_doc_id != 2**63 - 1 else None, r.kept_start) for r in found.collect()}
-    assert got == brute_lines(rows) and len(got) > 400
-    texts = {r.doc_id: r.text for r in line_dedup.remove(df, found).where("doc_id in (1, 3, 5, 9)").collect()}
-    assert texts == {1: f"{s.upper()}\n", 3: "A b. Tail", 5: "", 9: None}
+    short = "He came. She saw. They went on. It rained. No one spoke. Then it was late. We slept. All was well. "
+    own = [(3, f"A b. {s} Tail"), (1, f"{s.upper()}\n{s} {s}"), (2, f"prefix {s}"), (9, None), (8, ""), (7, "short. " * 50), (None, s), (3, f"A b. {s} Tail"), (6, s * 3), (5, f"{s}\n" * 400), (20, f"Before it. {short}After it."), (21, f"Something else there. {short * 2}\n \nEnd."), (22, "He came. Apart."), (None, f"{short}x"), (None, f"{short}y"), (4, short), (4, short + s)]
+    df, tie = line_rows(spark, own)
+    found = line_dedup.repeats(df.withColumn("digest", F.lit("x")))
+    got = {(r.doc_id, r.tie, r.start, r.stop, r.n_words, r.digest, r.kept_doc_id, r.kept_start) for r in found.collect()}
+    assert got == brute_lines(own, tie) and len(got) > 400
+    texts = {r.doc_id: r.text for r in line_dedup.remove(df, found).where("doc_id in (1, 3, 5, 9, 22)").collect()}
+    assert texts == {1: f"{s.upper()}\n", 3: "A b. Tail", 5: "", 9: None, 22: "He came. Apart."}
     assert line_dedup.repeats(df.where("doc_id < 0")).count() == 0
+
+
+def test_short_sentences_of_a_copied_passage_go_with_it(spark):
+    import random
+
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(f"{' '.join(word() for _ in range(random.randint(2, 6)))}." for _ in range(60))
+    own = [(1, f"{word()} begins. {passage} {word()} ends."), (2, f"{word()} {word()} other. {passage} {word()} {word()}.")]
+    df, _ = line_rows(spark, own)
+    gone = sum(r.n_words for r in line_dedup.repeats(df).collect() if r.doc_id == 2)
+    assert gone > 0.8 * len(passage.split())
+    assert line_dedup.repeats(df.where("doc_id = 1")).count() == 0
+
+
+def test_removal_is_by_id_and_text(spark, rows):
+    s = "alpha beta gamma delta epsilon zeta eta theta."
+    own = [(1, s), (2, f"{s} More of it."), (2, "alphaX betaX gammaX deltaX epsilonX zetaX etaX thetaX. Kept."), (None, f"{s} Null."), (None, "Innocent text that nobody else has here at all.")]
+    df = spark.createDataFrame(own, "doc_id long, text string").withColumn("tie", F.lit("t")).withColumn("__spans", F.lit(7)).withColumn("spans", F.lit("u"))
+    out = line_dedup.remove(df, line_dedup.repeats(df))
+    assert out.columns == df.columns and rows(out.select("doc_id", "text", "__spans", "spans", "tie")) == sorted([(i, t, 7, "u", "t") for i, t in [(1, s), (2, "More of it."), own[2], (None, "Null."), own[4]]], key=repr)
