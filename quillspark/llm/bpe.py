@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pieces, resident, ship, texts
+from .common import pieces, prepare, resident, texts
 
 
 def byte_characters() -> dict[int, str]:
@@ -92,7 +92,7 @@ class Encoder:
     it becomes the older one, whose pieces return to the younger when they are met again.
     """
 
-    def __init__(self, spec: dict, limit: int = 400_000, longest: int = 64):
+    def __init__(self, spec: dict, limit: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.limit, self.longest = load(spec), limit, longest
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, spec: dict, text: str = "text") -> DataFrame:
     """Adds ``ids`` (array of int), ``starts`` (array of int: offsets of characters) and ``n_split`` (ids that begin inside a character)."""
     if taken := {"ids", "starts", "n_split"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns exist already: {sorted(taken)}")
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches):
         enc = encoder(spec)
@@ -225,7 +225,7 @@ def decode(rows: DataFrame, spec: dict, ids: str = "ids", out: str = "decoded")
     """Adds the bytes of the ids as ``out`` (binary). An id outside the vocabulary is an error; null ids decode to null."""
     if out.lower() in {c.lower() for c in rows.columns}:
         raise ValueError(f"column exists already: {out}")
-    ship(rows.sparkSession)
+    prepare(rows.sparkSession)
 
     def run(batches):
         table = byte_table(spec)

@@ -33,10 +33,24 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """The package on the executors; and, where the session has no setting of its own, Arrow batches of 4 MB.
+
+    That is one value for all operators, so no plan depends on what was called last. Without it Spark hands over
+    64 MB at a time, and buffers of such batches take most of a small executor's memory.
+    """
+    ship(spark)
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def pieces(batches, rows: int = 500, size: int = 1 << 25):
     """The batches in slices of at most so many rows and (but for a single row) bytes, so that a task never holds more than that decoded.
 
-    Spark itself ends a batch at spark.sql.execution.arrow.maxBytesPerBatch (64 MB by default); no setting of the session is touched.
+    Spark itself ends a batch by bytes too (see ``prepare``).
     """
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
@@ -54,7 +68,7 @@ def join_keyed(rows: DataFrame, small: DataFrame, key: str, spread: str, limit:
     Up to ``limit`` keys (counted, not estimated) the small side is broadcast. Beyond it the key is
     salted with a hash of the column ``spread`` and the small side repeated for each salt.
     """
-    ship(rows.sparkSession)
+    prepare(rows.sparkSession)
     if small.limit(limit + 1).count() <= limit:
         return rows.join(F.broadcast(small), key, "left")
     (salt,) = free(rows, "salt")

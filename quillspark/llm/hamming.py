@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, ship
+from .common import cut, pieces, prepare
 
 BITS = 64
 
 
 def sign_codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """id and code: bit i is 1 if element i is above 0."""
-    ship(vectors.sparkSession)
+    prepare(vectors.sparkSession)
 
     def run(batches):
         for batch in pieces(batches, rows=4096):

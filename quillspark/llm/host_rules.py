@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, join_keyed, pieces, release, ship, texts
+from .common import SPACES, cut, join_keyed, pieces, prepare, release, texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -60,7 +60,7 @@ def _stats(batches):
 
 def document_stats(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host and the counts of each document, with its own verdict ``base_failed``."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     schema = "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS)
     stats = docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text")).mapInArrow(_stats, schema)
     return stats.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))

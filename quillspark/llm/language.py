@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, held_out, pieces, release, ship, texts
+from .common import free, held_out, pieces, prepare, release, texts
 
 ORDER = 3
 GRAM = ORDER + 1
@@ -159,7 +159,7 @@ def train(docs: DataFrame, per_language: int = 1500, languages: int = 64) -> Mod
     tables a column for each language. A label that is rarer than the ``languages`` most frequent ones (a column with
     slips in it has many) is not learned; ties in frequency go to the first name.
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "doc_id")
     common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
     known = known.join(F.broadcast(common), "lang", "left_semi")
@@ -182,7 +182,7 @@ def shares(bits: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (share of the best language if each had the same prior) and bits (its code length) of every document."""
     spark: SparkSession = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample's bound
 
     def run(batches):
@@ -213,7 +213,7 @@ def identify(docs: DataFrame, per_language: int = 1500) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, sure: float = 0.5) -> DataFrame:
     """The documents, whole rows, that have a letter and whose best language has more than the share ``sure``. The text passes the model where it lies, without a shuffle."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

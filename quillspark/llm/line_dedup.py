@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, pieces, release, ship, texts
+from .common import cut, free, pieces, prepare, release, texts
 
 #: Pieces that together make up the whole text.
 UNIT = r"[^\n]*?[.?][ \t]+|[^\n]*\n|[^\n]+"
@@ -56,7 +56,7 @@ def text_units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, in
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, tie (a hash of the text), start, stop, n_words and digest of every unit that may be removed."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches):
         release()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, release, ship, texts
+from .common import held_out, pieces, prepare, release, texts
 from .language import sample
 
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&<>@^~_=+{}[]\\/", "bar": b"|", "bang": b"!?", "stop": b".,;:", "space": b" \t", "line": b"\n\r", "quote": b"\"'()-", "high": bytes(range(128, 256))}
@@ -130,7 +130,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, coarse: int = 4, rounds: i
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 10_000) -> Model:
     """Fits on about ``per_class`` labelled documents of each class that are not held out; their features, a few numbers each, go to the driver."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     given = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null").where(~F.coalesce(held_out(), F.lit(True)))
     chosen = sample(given, "y", per_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of every document."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches):
         release()

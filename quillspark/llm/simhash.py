@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .common import cut, free, pieces, release, ship, texts
+from .common import cut, free, pieces, prepare, release, texts
 
 SEED = 42
 BITS = 64
@@ -61,7 +61,7 @@ def fingerprint(h: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 4, **others: Column) -> DataFrame:
     """doc_id and ``code``, the fingerprint as a signed 64-bit integer; between them other columns of the documents."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(n) for n, c in others.items()))
     names = [*rows.columns[1:], "code"]
 
@@ -210,7 +210,7 @@ def links(codes: DataFrame, distance: int = 4, parts: int | None = None, split:
     """
     spark = codes.sparkSession
     tries = layout(distance, parts or parts_for(codes.count(), distance))
-    ship(spark)
+    prepare(spark)
 
     def deal(batches):
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import pieces, ship, texts
+from .common import pieces, prepare, texts
 
 MAGIC = b"EFT2"
 HEADER = struct.Struct("<4sBBHQQ")
@@ -123,7 +123,7 @@ def write(docs: DataFrame, spec: dict, path: str, end_id: int, block_ids: int =
     Documents of one id (or of none) are dealt on by a hash of the text and the row's place in the input, so that a frequent id is no single task's.
     """
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
 
     def run(batches):
         from pyspark import TaskContext
@@ -163,7 +163,7 @@ def read(spark: SparkSession, path: str, at_once: int = 500) -> DataFrame:
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     before = F.sum("part_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("part_start"))
-    ship(spark)
+    prepare(spark)
 
     def run(batches):
         for batch in pieces(batches, rows=1):
@@ -182,7 +182,7 @@ def crc32_of_ids(rows: DataFrame) -> DataFrame:
     """Adds ``ids_crc32``: of the ids as little-endian unsigned 32-bit integers."""
     from zlib import crc32
 
-    ship(rows.sparkSession)
+    prepare(rows.sparkSession)
 
     def run(batches):
         for batch in pieces(batches):
