@@ -20,6 +20,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def fold_case(c: Column | str) -> Column:
+    """Case-folded for comparisons: upper case first, as letters of one upper case are equal; ß is ss, every sigma is one, and a dotless i stays one."""
+    apart = F.translate(col(c), "\u0131", "\ue000")
+    return F.replace(F.translate(F.lower(F.upper(apart)), "\u03c2\ue000", "\u03c3\u0131"), F.lit("\u00df"), F.lit("ss"))
+
+
 def parse_time(c: Column | str) -> Column:
     """``[H:]MM:SS.mmm`` (or a comma) to seconds; null where it is no time."""
     parts = F.split(F.regexp_replace(col(c), ",", "."), ":")

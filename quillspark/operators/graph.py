@@ -1,4 +1,4 @@
-"""Connected components of a graph of links, as joins and aggregations."""
+"""Connected components of a graph of links, as joins and aggregations; and numbers of rows in an order."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,3 +38,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         mark = now
         links = cut(_stars(_stars(links, True), False))
     raise RuntimeError(f"no convergence in {rounds} rounds")
+
+
+def numbered(df: DataFrame, name: str, *order, partitions: int | None = None) -> DataFrame:
+    """The rows with their places (from 1) in the order, as ``name``. No task sees all of them.
+
+    Rows are dealt out in ranges of the order and written; a row's place is that in its range after the sizes of the
+    ranges before it, of which there is one for each task.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    at = held.withColumn(name, F.monotonically_increasing_id())
+    part = F.shiftright(name, 33)
+    sizes = {r.part: r.n for r in at.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row for each range
+    starts, total = {}, 0
+    for own in sorted(sizes):
+        starts[own], total = total, total + sizes[own]
+    table = F.from_json(F.lit(str([starts.get(i, 0) for i in range(max(starts, default=0) + 1)])), "array<long>")
+    return at.withColumn(name, F.get(table, part.cast("int")) + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + 1)

@@ -1,7 +1,6 @@
 """Lectures: silence logs to chunk plans, drafts and attempts to audited transcripts, costs and word errors."""
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,18 +43,42 @@ def _plan(start: float, end: float, maximum: float, window: float, a: np.ndarray
         begun = cut
 
 
-def plan_chunks(recordings: DataFrame, spans: DataFrame) -> DataFrame:
-    """recording_id, index, start_s, end_s and forced_boundary; recordings: start_s, end_s, chunk_seconds and boundary_window."""
+def plan_chunks(recordings: DataFrame, spans: DataFrame, partitions: int | None = None) -> DataFrame:
+    """recording_id, index, start_s, end_s and forced_boundary; recordings: start_s, end_s, chunk_seconds and boundary_window.
+
+    Runs and silences are one table, dealt by recording to ``partitions`` tasks (by default as many as shuffles have) and
+    sorted there: a recording's runs come first, then its silences by their ends. (Dealt by a hash of the key, as Spark would
+    leave out a dealing by the key itself where it has one already, whose partitions adaptive execution may join.)
+    """
     ship(recordings.sparkSession)
     columns = ["recording_id", "index", "start_s", "end_s", "forced_boundary"]
+    kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_())
+
+    def plan(batches):
+        now, runs, a, b = None, [], [], []
 
-    def plan(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        a, b = (found[c].to_numpy(float)[np.argsort(found["end_s"].to_numpy(float), kind="stable")] for c in ("start_s", "end_s"))
-        rows = [(r.recording_id, i, *chunk) for r in own.itertuples() for i, chunk in enumerate(_plan(r.start_s, r.end_s, r.chunk_seconds, r.boundary_window, a, b))]
-        return pd.DataFrame(rows, columns=columns)
+        def planned():
+            rows = [(now, i, *chunk) for run in runs for i, chunk in enumerate(_plan(*run, np.array(a, float), np.array(b, float)))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], names=columns)
 
-    left = recordings.select("recording_id", "start_s", "end_s", "chunk_seconds", "boundary_window").groupBy("recording_id")
-    return left.cogroup(spans.select("recording_id", "start_s", "end_s").groupBy("recording_id")).applyInPandas(plan, "recording_id long, index int, start_s double, end_s double, forced_boundary boolean")
+        for batch in batches:
+            for key, span, start, end, maximum, window in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    yield planned()
+                    now, runs, a, b = key, [], [], []
+                if not span:
+                    runs.append((start, end, maximum, window))
+                elif runs:
+                    a.append(start)
+                    b.append(end)
+        yield planned()
+
+    none = F.lit(None).cast("double")
+    own = recordings.select("recording_id", F.lit(0).alias("span"), "start_s", "end_s", "chunk_seconds", "boundary_window")
+    rows = own.unionByName(spans.select("recording_id", F.lit(1).alias("span"), "start_s", "end_s", none.alias("chunk_seconds"), none.alias("boundary_window")))
+    n = partitions or int(recordings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.where("recording_id is not null").repartition(n, F.xxhash64("recording_id")).sortWithinPartitions("recording_id", "span", "end_s", "start_s")
+    return dealt.mapInArrow(plan, "recording_id long, index int, start_s double, end_s double, forced_boundary boolean")
 
 
 def coverage_gaps(chunks: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -148,7 +171,7 @@ def chunk_flags(chunks: DataFrame, finals: DataFrame, drafts: DataFrame, mode: s
 
 def audit_boundaries(finals: DataFrame, max_words: int = 12) -> DataFrame:
     """Each chunk's flags anew: older flags of this kind go, and one is added where it begins with the words that the chunk before ends with. Nothing is removed from texts; the window carries the words at the ends only."""
-    words = F.regexp_extract_all(F.replace(F.lower(F.coalesce("text", F.lit(""))), F.lit("ß"), F.lit("ss")), F.lit(r"(?U)\w+"), F.lit(0))
+    words = F.regexp_extract_all(X.fold_case(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
     kept = F.filter(F.coalesce("flags", F.array().cast("array<string>")), lambda f: ~f.startswith(FLAG))
     rows = finals.select(*KEYS, "text", kept.alias("flags"), F.slice(words, 1, max_words).alias("head"), F.when(F.size(words) > max_words, F.slice(words, -max_words, max_words)).otherwise(words).alias("tail"))
     before = F.lag("tail").over(Window.partitionBy("recording_id").orderBy("index"))
@@ -236,53 +259,90 @@ def request_plan(chunks: DataFrame, mode: str, rates: dict[str, float]) -> DataF
     return chunks.groupBy("recording_id").agg(F.count("*").alias("chunks"), (F.count("*") * (3 if mode == "dual-pass" else 1)).alias("requests"), (hours * sum(rates.values())).alias("cost"))
 
 
-def word_errors(said: list[str], meant: list[str]) -> tuple[int, int, int]:
-    """Substitutions, deletions and insertions of a least edit; on ties a substitution, then a deletion."""
+def word_errors(pairs: list[tuple[list[str], list[str]]], at_once: int = 50_000) -> list[tuple[int, int, int]]:
+    """Substitutions, deletions and insertions of a least edit that makes the second text of each pair into the first.
+
+    Pairs of like length are worked on together, up to ``at_once`` words (or a single pair).
+    """
+    out, order = [(0, 0, 0)] * len(pairs), sorted(range(len(pairs)), key=lambda i: sum(map(len, pairs[i])))
+    held, size = [], 0
+    for i in [*order, None]:
+        if i is None or held and size + sum(map(len, pairs[i])) > at_once:
+            for k, found in zip(held, _waves([pairs[k] for k in held])):
+                out[k] = found
+            held, size = [], 0
+        if i is not None:
+            held.append(i)
+            size += sum(map(len, pairs[i]))
+    return out
+
+
+def _waves(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[int, int, int]]:
+    """For 0, 1, 2, ... edits the furthest place in ``meant`` that each diagonal of each pair reaches; on ties by a substitution, then a deletion.
+
+    The cost is the words times the edits, not the words' square. Texts lie one behind the other, each with an end that equals nothing.
+    """
     number: dict[str, int] = {}
-    a, b = (np.array([number.setdefault(w, len(number)) for w in x], np.int64) for x in (meant, said))
-    n = len(b)
-    row = np.zeros((4, n + 1), np.int64)  # cost, substitutions, deletions, insertions
-    row[0] = row[3] = np.arange(n + 1)
-    for x in a:
-        new = np.zeros_like(row)
-        new[:, 0] = row[:, 0] + (1, 0, 1, 0)
-        wrong = (b != x).astype(np.int64)
-        diagonal, above = row[:, :-1].copy(), row[:, 1:].copy()
-        diagonal[0] += wrong
-        diagonal[1] += wrong
-        above[0] += 1
-        above[2] += 1
-        best = np.where(diagonal[0] <= above[0], diagonal, above)
-        # Insertions run along the row: the cheapest cell to the left, plus the distance.
-        cost = np.concatenate([[new[0, 0]], best[0]]) - np.arange(n + 1)
-        low = np.minimum.accumulate(cost)
-        source = np.maximum.accumulate(np.where(cost == low, np.arange(n + 1), 0))
-        source[1:][best[0] == low[1:] + np.arange(1, n + 1)] = np.arange(1, n + 1)[best[0] == low[1:] + np.arange(1, n + 1)]
-        full = np.concatenate([new[:, :1], best], axis=1)
-        moved = np.arange(n + 1) - source
-        new = full[:, source]
-        new[0] += moved
-        new[3] += moved
-        row = new
-    return int(row[1, n]), int(row[2, n]), int(row[3, n])
-
-
-def word_error_rate(drafts: DataFrame, references: DataFrame, negations: tuple[str, ...] = NEGATIONS) -> DataFrame:
+    code = lambda words, end: [*(number.setdefault(w, len(number)) for w in words), end]
+    meant, said = (np.array([x for p in pairs for x in code(p[side], end)], np.int64) for side, end in ((1, -1), (0, -2)))
+    m, n = (np.array([len(p[side]) for p in pairs]) for side in (1, 0))
+    at_m, at_n = np.cumsum(m + 1) - m - 1, np.cumsum(n + 1) - n - 1
+    out, live = [(0, 0, 0)] * len(pairs), np.arange(len(pairs))
+    reach, swaps, drops = (np.zeros((len(pairs), 1), np.int64) for _ in range(3))
+    nowhere, edits = np.int64(-(1 << 40)), 0
+    while True:
+        diagonal = np.arange(-edits, edits + 1)
+        rows, columns = np.nonzero(reach >= 0)
+        i = reach[rows, columns]
+        a, b = at_m[rows] + i, at_n[rows] + i + diagonal[columns]
+        going = np.arange(len(i))
+        while len(going := going[meant[a[going]] == said[b[going]]]):
+            a[going] += 1
+            b[going] += 1
+        reach[rows, columns] = a - at_m[rows]
+        last = n - m + edits
+        inside = (last >= 0) & (last <= 2 * edits)
+        own = np.arange(len(live))
+        ended = inside & (reach[own, np.where(inside, last, 0)] >= m)
+        for k in np.flatnonzero(ended):
+            s, d = int(swaps[k, last[k]]), int(drops[k, last[k]])
+            out[live[k]] = (s, d, edits - s - d)
+        if ended.any():
+            keep = ~ended
+            live, m, n, at_m, at_n, reach, swaps, drops = (x[keep] for x in (live, m, n, at_m, at_n, reach, swaps, drops))
+        if not len(live):
+            return out
+        edits += 1
+        diagonal = np.arange(-edits, edits + 1)
+        wide = lambda x, fill: np.pad(x, ((0, 0), (2, 2)), constant_values=fill)
+        far, swaps, drops = wide(reach, nowhere), wide(swaps, 0), wide(drops, 0)
+        options = np.stack([far[:, 1:-1] + 1, far[:, 2:] + 1, far[:, :-2]])
+        options[(options > m[:, None]) | (options + diagonal > n[:, None])] = nowhere
+        which = options.argmax(axis=0)
+        reach = options.max(axis=0)
+        take = lambda x: np.choose(which, (x[:, 1:-1], x[:, 2:], x[:, :-2]))
+        swaps, drops = take(swaps) + (which == 0), take(drops) + (which == 1)
+
+
+def word_error_rate(drafts: DataFrame, references: DataFrame, negations: tuple[str, ...] = NEGATIONS, partitions: int | None = None) -> DataFrame:
     """Per recording and model: words, substitutions, deletions, insertions, wer, omission_rate, and the numbers and negations that drafts lack."""
-    ship(drafts.sparkSession)
-    pairs = drafts.select(*KEYS, "model", F.lower("text").alias("said")).join(references.select(*KEYS, F.lower("text").alias("meant")), KEYS)
+    spark = drafts.sparkSession
+    ship(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own, right = (df.repartition(n, *KEYS) for df in (drafts.select(*KEYS, "model", F.lower("text").alias("said")), references.select(*KEYS, F.lower("text").alias("meant"))))
+    names = ("words", "substitutions", "deletions", "insertions", "lost_numbers", "lost_negations")
 
     def count(batches):
-        for batch in batches:
-            said, meant = ([(x or "").split() for x in batch.column(c).to_pylist()] for c in ("said", "meant"))
-            rows = [(len(m), *word_errors(s, m)) for s, m in zip(said, meant)]
-            columns = [pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [()] * 4)]
-            yield pa.RecordBatch.from_arrays([batch.column("recording_id"), batch.column("model"), *columns, batch.column("lost_numbers"), batch.column("lost_negations")], names=["recording_id", "model", "words", "substitutions", "deletions", "insertions", "lost_numbers", "lost_negations"])
-
-    numbers = lambda c: F.filter(X.tokens(c), lambda t: t.rlike(r"\d"))
-    denied = lambda c: F.filter(X.tokens(c), lambda t: t.isin(*negations))
-    lost = lambda f: F.greatest(F.size(f("meant")) - F.size(f("said")), F.lit(0)).cast("long")
-    rows = pairs.withColumn("lost_numbers", lost(numbers)).withColumn("lost_negations", lost(denied)).mapInArrow(count, "recording_id long, model string, words long, substitutions long, deletions long, insertions long, lost_numbers long, lost_negations long")
-    sums = rows.groupBy("recording_id", "model").agg(*(F.sum(c).alias(c) for c in ("words", "substitutions", "deletions", "insertions", "lost_numbers", "lost_negations")))
+        for whole in batches:
+            for batch in (whole.slice(i, 250) for i in range(0, whole.num_rows, 250)):
+                said, meant = ([(x or "").split() for x in batch.column(c).to_pylist()] for c in ("said", "meant"))
+                special = lambda words: (sum(any("0" <= c <= "9" for c in w) for w in words), sum(w in negations for w in words))
+                lost = [[max(a - b, 0) for a, b in zip(special(m), special(s))] for s, m in zip(said, meant)]
+                rows = [(len(m), *errors, *own) for m, errors, own in zip(meant, word_errors([*zip(said, meant)]), lost)]
+                columns = [pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [()] * len(names))]
+                yield pa.RecordBatch.from_arrays([batch.column("recording_id"), batch.column("model"), *columns], names=["recording_id", "model", *names])
+
+    rows = own.join(right, KEYS).select("recording_id", "model", "said", "meant").mapInArrow(count, "recording_id long, model string, " + ", ".join(f"{c} long" for c in names))
+    sums = rows.groupBy("recording_id", "model").agg(*(F.sum(c).alias(c) for c in names))
     words = F.nullif(F.col("words"), F.lit(0))
     return sums.withColumn("wer", (F.col("substitutions") + F.col("deletions") + F.col("insertions")) / words).withColumn("omission_rate", F.col("deletions") / words)

@@ -80,21 +80,32 @@ def base_currency(elements: DataFrame) -> DataFrame:
     return first.join(last, "statement_id", "left").select("statement_id", F.coalesce("a", "b", "c").alias("base_currency"))
 
 
-def _listed(rows: DataFrame, name: str, order: list[str], fields: list[str]) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("item"))))
-    return rows.groupBy("statement_id").agg(F.transform(listed, lambda x: x["item"]).alias(name))
-
-
 def summarize_statements(elements: DataFrame, include_positions: bool = False) -> DataFrame:
-    """One row per statement: report_dates, base_currency, nav_candidates, cash and, if asked, positions. All parts share the key's partitioning."""
+    """One row per statement: report_type, report_dates, base_currency, nav_candidates, cash and, if asked, positions.
+
+    One aggregation by statement gathers what each part needs of an element, so the elements are read once; a
+    statement's lists are then sorted, and repeated candidates dropped, in its row.
+    """
     good = elements.where("error is null") if "error" in elements.columns else elements
-    parts = [report_dates(good), base_currency(good), _listed(nav_candidates(good), "nav_candidates", ["elem_seq", "field_seq"], ["section", "field", "value", "currency", "report_date"]), _listed(cash(good), "cash", ["elem_seq"], ["currency", "ending_cash"])]
+    tag, seq, named = F.col("tag"), F.col("elem_seq"), attr("baseCurrency")
+    candidates = F.array(*(F.struct(F.col("tag").alias("section"), F.lit(f).alias("field"), attr(f).alias("value"), seq.alias("elem_seq"), F.lit(i).alias("field_seq"), attr("currency").alias("currency"), attr("reportDate").alias("report_date")) for i, f in enumerate(NAV_FIELDS)))
+    dates = F.filter(F.array(*(attr(d) for d in DATES)), lambda v: v.isNotNull())
+    is_cash = (tag == "CashReportCurrency") & attr("endingCash").isNotNull()
+    rows = good.select("statement_id", "tag", "elem_seq", named.alias("named"), F.when(tag == "FlexStatement", attr("currency")).alias("own_currency"), F.when(F.size(dates) > 0, dates).alias("dates"), F.when(tag.isin(*NAV_TAGS), F.filter(candidates, lambda c: c["value"].isNotNull())).alias("nav"), F.when(is_cash, F.struct(seq, F.coalesce(F.col("attrs")["currency"], F.lit("unknown")).alias("currency"), attr("endingCash").alias("ending_cash"))).alias("cash"), F.when(tag == "OpenPosition", F.struct(seq, *(attr(a).alias(a) for a in POSITION))).alias("position"))
+    kept = {"all_dates": F.collect_list("dates"), "nav": F.collect_list("nav"), "cash": F.collect_list("cash")} | ({"positions": F.collect_list("position")} if include_positions else {})
+    whole = rows.groupBy("statement_id").agg(F.min_by("tag", "elem_seq").alias("report_type"), F.min_by("named", F.when(F.col("named").isNotNull(), seq)).alias("a"), F.min_by("own_currency", F.when(tag == "FlexStatement", seq)).alias("b"), *(c.alias(n) for n, c in kept.items()))
+    # Sorted by section, field and value, the first of equal candidates stands before the others.
+    ordered = whole.withColumn("nav", F.array_sort(F.flatten("nav")))
+    same = lambda x, y: (x["section"] == y["section"]) & (x["field"] == y["field"]) & (x["value"] == y["value"])
+    firsts = F.filter("nav", lambda x, i: (i == 0) | ~same(x, F.get("nav", F.greatest(i - 1, F.lit(0)))))
+    ordered = ordered.withColumn("nav", F.array_sort(F.transform(firsts, lambda x: F.struct(x["elem_seq"].alias("elem_seq"), x["field_seq"].alias("field_seq"), F.struct(x["section"].alias("section"), x["field"].alias("field"), x["value"].alias("value"), x["currency"].alias("currency"), x["report_date"].alias("report_date")).alias("item")))))
+    full = lambda c: F.when(F.size(c) > 0, c)
+    without_seq = lambda name, fields: full(F.transform(F.array_sort(name), lambda x: F.struct(*(x[f].alias(f) for f in fields))))
+    last = F.try_element_at("nav", F.lit(-1))["item"]["currency"]
+    parts = [F.array_sort(F.array_distinct(F.flatten("all_dates"))).alias("report_dates"), F.coalesce("a", "b", last).alias("base_currency"), full(F.transform("nav", lambda x: x["item"])).alias("nav_candidates"), without_seq("cash", ("currency", "ending_cash")).alias("cash")]
     if include_positions:
-        parts.append(_listed(positions(good), "positions", ["elem_seq"], list(POSITION)))
-    out = good.groupBy("statement_id").agg(F.min_by("tag", "elem_seq").alias("report_type"))
-    for part in parts:
-        out = out.join(part, "statement_id", "left")
-    return out
+        parts.append(without_seq("positions", POSITION).alias("positions"))
+    return ordered.select("statement_id", "report_type", *parts)
 
 
 def positions_in_base(elements: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def due_filter(text: str, today: date, due: str = "due_date") -> Column | None:
     """A date predicate as a Column, or None where the text is none. Tasks without a date match ``no date`` only."""
@@ -114,19 +116,42 @@ def filter_tasks(tasks: DataFrame, expression: str, today: date, me: int | None
     return out.where(chosen).drop(*flags.values()).select(*tasks.columns)
 
 
+#: Letters of the parts by which references find names.
+GRAM = 3
+
+
+def _grams(text: F.Column, n: int) -> F.Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def containing(refs: DataFrame, things: DataFrame) -> DataFrame:
+    """ref, id and name of the names that contain a reference, in any case of letters.
+
+    Names are indexed by their parts of 1 to GRAM letters, and a reference looks up one part of its own: the one
+    that the fewest names have. So it meets the names with that part, not all names.
+    """
+    names = things.select("id", "name", F.lower("name").alias("low"))
+    lists = F.array_distinct(F.concat(*(_grams(F.col("low"), n) for n in range(1, GRAM + 1))))
+    index = cut(names.select("id", "name", "low", F.explode(lists).alias("gram")))
+    low = F.lower("ref")
+    own = refs.select("ref", low.alias("wanted"), F.explode(F.when(F.length(low) >= GRAM, _grams(low, GRAM)).otherwise(F.array(low))).alias("gram"))
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "gram", "left").groupBy("ref", "wanted").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return cut(rarest).join(index, "gram").where(F.contains("low", F.col("wanted"))).select("ref", "id", "name")
+
+
 def resolve_refs(refs: DataFrame, resources: DataFrame) -> DataFrame:
     """ref, match, id, name, ambiguous: all candidates of the best class (id, then exact name, then part of a name).
 
-    The first two are equi-joins; only references without either are compared with parts of names, and Spark
-    chooses that join's side by size.
+    All three are equi-joins; only references without an id or a name look for parts of names.
     """
     wanted = refs.select("ref").distinct().withColumn("wanted_id", F.coalesce(F.nullif(F.regexp_extract("ref", "^id:(.*)$", 1), F.lit("")), F.col("ref"))).withColumn("only_id", F.col("ref").startswith("id:"))
     things = resources.select(F.col("id").cast("string").alias("id"), "name")
     by_id = wanted.join(things, F.col("wanted_id") == F.col("id")).select("ref", F.lit("id").alias("match"), "id", "name")
     left = wanted.where(~F.col("only_id")).join(by_id.select("ref"), "ref", "left_anti")
     by_name = left.join(things, F.lower("ref") == F.lower("name")).select("ref", F.lit("name").alias("match"), "id", "name")
-    rest = left.join(by_name.select("ref"), "ref", "left_anti")
-    by_part = rest.join(things, F.contains(F.lower("name"), F.lower("ref"))).select("ref", F.lit("part").alias("match"), "id", "name")
+    rest = left.join(by_name.select("ref"), "ref", "left_anti").where("ref <> ''")
+    by_part = containing(rest, things).select("ref", F.lit("part").alias("match"), "id", "name")
     found = by_id.unionByName(by_name).unionByName(by_part)
     return found.withColumn("ambiguous", F.count("*").over(Window.partitionBy("ref")) > 1)
 

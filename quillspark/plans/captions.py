@@ -11,8 +11,8 @@ Q, SQL = {}, {}
 
 #: The recipes in SQL.
 TOK = r"list_filter(string_split_regex({0}, '\s+'), lambda x: x <> '')"
-ROLLING = f"""rolling AS (SELECT doc_id::VARCHAR AS file_id, i::INT AS cue_seq, 2.0 * i + 4 * floor(i / 5) AS start_s, 2.0 * i + 4 * floor(i / 5) + 2 AS end_s, array_to_string(list_slice(w, i * 6 + 1, i * 6 + 12), ' ') AS text
-  FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 12) // 6 + 1)) AS i FROM (SELECT doc_id, list_slice({TOK.format('text')}, 1, 60) AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 12))"""
+ROLLING = f"""rolling AS (SELECT doc_id::VARCHAR AS file_id, c.i::INT AS cue_seq, 2.0 * c.i + 4 * floor(c.i / 5) AS start_s, 2.0 * c.i + 4 * floor(c.i / 5) + 2 AS end_s, c.t AS text
+  FROM (SELECT doc_id, unnest(list_transform(range(0, (len(w) - 12) // 6 + 1), lambda i: {{'i': i, 't': array_to_string(list_slice(w, i * 6 + 1, i * 6 + 12), ' ')}})) AS c FROM (SELECT doc_id, {TOK.format('text')} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 12))"""
 PLAIN = """plain AS (SELECT conv_id::VARCHAR AS file_id, turn::INT AS cue_seq, 4.0 * turn AS start_s, 4.0 * turn + 1 + length(text) % 5 * 0.5 AS end_s, CASE WHEN role = 'user' THEN '>> ' ELSE '' END || coalesce(text, '') AS text FROM conversations)"""
 #: The text of a rolling cue after cleaning: what was put in comes out as text.
 CLEAN = "regexp_replace(text || CASE WHEN cue_seq % 5 = 0 THEN ' & >>' ELSE '' END, '\\s+', ' ', 'g')"
@@ -42,22 +42,22 @@ SQL["prj2_cue_events"] = f"WITH {ROLLING} SELECT file_id, cue_seq, start_s, end_
 
 @query
 def str1_parse_time(spark, sf):
-    return I.rolling_cues(spark, sf).select("file_id", "cue_seq", X.parse_time(I._clock(F.col("start_s") + 3600 * (F.col("cue_seq") % 3), ",")).alias("seconds"), X.parse_time(F.concat(F.lit("1:2:3:"), "text")).alias("wrong"))
+    return I.rolling_cues(spark, sf).select("file_id", "cue_seq", X.parse_time(I._clock(F.col("start_s") + 3600 * (F.col("cue_seq") % 3), ",")).alias("seconds"), X.parse_time(F.when(F.col("cue_seq") % 2 == 0, F.concat(F.lit("1:2:3:"), "text")).when(F.col("cue_seq") % 3 == 0, F.concat_ws(":", F.lit("7"), (F.col("cue_seq") % 60).cast("string"))).otherwise(F.col("cue_seq").cast("string"))).alias("odd"))
 
 
-SQL["str1_parse_time"] = f"WITH {ROLLING} SELECT file_id, cue_seq, start_s + 3600 * (cue_seq % 3) AS seconds, NULL::DOUBLE AS wrong FROM rolling"
+SQL["str1_parse_time"] = f"WITH {ROLLING} SELECT file_id, cue_seq, start_s + 3600 * (cue_seq % 3) AS seconds, CASE WHEN cue_seq % 2 <> 0 AND cue_seq % 3 = 0 THEN 7 * 60.0 + cue_seq % 60 END AS odd FROM rolling"
 
 
 @query
 def str2_clean_cue_text(spark, sf):
-    return I.table(spark, sf, "pages").select("page_id", F.md5(X.clean_cue_text("html")).alias("text_md5"), X.clean_cue_text(F.concat(F.lit("<00:00:01.000><c>"), F.lit("&lt;b&gt;  x </c>"))).alias("sample"))
+    return I.table(spark, sf, "pages").select("page_id", F.md5(X.clean_cue_text("html")).alias("text_md5"), X.clean_cue_text(F.concat(F.lit("<00:00:01.000><c>&lt;"), F.element_at(F.split("url", "/"), -1), F.lit("&gt;  &#39;\u200b"), F.col("page_id").cast("string"), F.lit("\u00a0 </c>"))).alias("sample"))
 
 
 _ENTITIES = {"&middot;": "·", "&copy;": "©", "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&eacute;": "é", "&amp;": "&"}
 _plain = r"regexp_replace(html, '<[^>]+>', '', 'g')"
 for _k, _v in _ENTITIES.items():
     _plain = f"replace({_plain}, '{_k}', '{_v}')"
-SQL["str2_clean_cue_text"] = rf"SELECT page_id, md5(trim(regexp_replace({_plain}, '\s+', ' ', 'g'))) AS text_md5, '<b> x' AS sample FROM pages"
+SQL["str2_clean_cue_text"] = rf"SELECT page_id, md5(trim(regexp_replace({_plain}, '\s+', ' ', 'g'))) AS text_md5, '<' || string_split(url, '/')[-1] || '> ''' || page_id AS sample FROM pages"
 
 
 @query

@@ -24,12 +24,12 @@ def plain_cues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rolling_cues(spark: SparkSession, sf: str) -> DataFrame:
-    """Cues of twelve tokens, each with the last six of the one before, from the first sixty tokens of a document."""
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.slice(X.tokens("text"), 1, 60).alias("w")).where(F.size("w") >= 12)
-    i = F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 12) / 6).cast("int"))).alias("i")
-    rows = d.select("doc_id", "w", i)
+    """Cues of twelve tokens, each with the last six of the one before, from a whole document."""
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", X.tokens("text").alias("w")).where(F.size("w") >= 12)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 12) / 6).cast("int")), lambda i: F.array_join(F.slice("w", i * 6 + 1, F.lit(12)), " "))
+    rows = d.select("doc_id", F.posexplode(cut).alias("i", "text"))
     start = 2.0 * F.col("i") + 4 * F.floor(F.col("i") / 5)
-    return rows.select(F.col("doc_id").cast("string").alias("file_id"), F.col("i").alias("cue_seq"), start.alias("start_s"), (start + 2).alias("end_s"), F.array_join(F.slice("w", F.col("i") * 6 + 1, 12), " ").alias("text"))
+    return rows.select(F.col("doc_id").cast("string").alias("file_id"), F.col("i").alias("cue_seq"), start.alias("start_s"), (start + 2).alias("end_s"), "text")
 
 
 def _clock(c, mark: str):
@@ -106,8 +106,8 @@ def lecture_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def finals(spark: SparkSession, sf: str) -> DataFrame:
-    """The first forty tokens; every fourth begins with the last three of the chunk before; some are unclear, blank or have uncertainties."""
-    t = lecture_texts(spark, sf).withColumn("w", F.slice("w", 1, 40))
+    """The whole texts; every fourth begins with the last three of the chunk before; some are unclear, blank or have uncertainties."""
+    t = lecture_texts(spark, sf)
     tail = F.when(F.size("w") >= 3, F.slice("w", -3, 3)).otherwise(F.col("w"))
     before = F.lag(tail).over(Window.partitionBy("recording_id").orderBy("index"))
     rows = t.withColumn("before", before)
@@ -119,7 +119,7 @@ def finals(spark: SparkSession, sf: str) -> DataFrame:
 
 def drafts(spark: SparkSession, sf: str) -> DataFrame:
     """Draft a lacks every tenth token, draft b has x for every fifteenth."""
-    t = lecture_texts(spark, sf).withColumn("w", F.slice("w", 1, 40))
+    t = lecture_texts(spark, sf)
     a = F.filter("w", lambda x, i: (i + 1) % 10 != 0)
     b = F.transform("w", lambda x, i: F.when((i + 1) % 15 == 0, "x").otherwise(x))
     rows = t.select("recording_id", "index", "doc_id", F.explode(F.array(F.struct(F.lit("a").alias("model"), a.alias("w")), F.struct(F.lit("b").alias("model"), b.alias("w")))).alias("x"))
@@ -151,7 +151,7 @@ def bundles(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_results(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where("doc_id % 31 <> 0")
-    md = F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(60)), F.when(F.col("doc_id") % 3 == 0, "\n<!-- IMAGE 002 -->").otherwise(""), F.when(F.col("doc_id") % 4 == 0, '\n[[IMAGE 001 | asset="derived/assets/a.png" | alt="A [1"]]').otherwise(""), F.when(F.col("doc_id") % 7 == 0, "\n[[IMAGE 003]]").otherwise(""))
+    md = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, "\n<!-- IMAGE 002 -->").otherwise(""), F.when(F.col("doc_id") % 4 == 0, '\n[[IMAGE 001 | asset="derived/assets/a.png" | alt="A [1"]]').otherwise(""), F.when(F.col("doc_id") % 7 == 0, "\n[[IMAGE 003]]").otherwise(""))
     i = F.col("doc_id")
     bundle = F.floor(i / 10)
     images = F.when(i % 2 == 0, F.array(F.struct(F.lit(1).alias("page_image_index"), F.lit("derived/assets/a.png").alias("asset_path"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(True).alias("extractable"), F.lit("embedded_raster").alias("kind"), F.array().cast("array<string>").alias("notes")))).otherwise(F.array().cast("array<struct<page_image_index int, asset_path string, bbox array<double>, extractable boolean, kind string, notes array<string>>>"))
@@ -163,7 +163,7 @@ def extractions(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("doc_id")
     kinds = F.array(*map(F.lit, ("text_based", "mixed", "scanned", "image_based", "text_based")))
     needing = F.when(i % 7 == 0, F.array(F.lit(7), F.lit(2))).when(i % 7 == 1, F.array(F.lit(5))).otherwise(F.array().cast("array<int>"))
-    return d.select("doc_id", F.element_at(kinds, (i % 5 + 1).cast("int")).alias("pdf_type"), F.lit(9).alias("page_count"), needing.alias("pages_needing_ocr"), (i % 11 == 0).alias("has_encoding_issues"), F.when(i % 8 == 0, " ").otherwise(F.left("text", F.lit(40))).alias("markdown"), F.when(i % 2 == 0, "1-3,7").alias("selection"), (i % 3 == 0).alias("allow_partial"))
+    return d.select("doc_id", F.element_at(kinds, (i % 5 + 1).cast("int")).alias("pdf_type"), F.lit(9).alias("page_count"), needing.alias("pages_needing_ocr"), (i % 11 == 0).alias("has_encoding_issues"), F.when(i % 8 == 0, " ").otherwise(F.col("text")).alias("markdown"), F.when(i % 2 == 0, "1-3,7").alias("selection"), (i % 3 == 0).alias("allow_partial"))
 
 
 def statement_elements(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +178,7 @@ def statement_elements(spark: SparkSession, sf: str) -> DataFrame:
     k, cents = F.col("c_custkey"), F.floor(F.col("c_acctbal")).cast("long")
     head = lambda seq, tag, **kw: c.select(k.alias("statement_id"), F.lit(seq).alias("elem_seq"), F.lit(tag).alias("tag"), pairs(**kw).alias("attrs"))
     nav = dict(endingValue=text(cents * 10), total=F.when(k % 7 == 0, "").otherwise("0"), currency=F.when(k % 2 == 0, "CHF").otherwise(""), reportDate=F.lit("2024-01-31"))
-    return position.unionByName(head(0, "FlexQueryResponse", queryName=F.lit("q"), clientIdHash=F.lit("x"))).unionByName(head(1, "FlexStatement", accountId=F.lit("U1"), currency=F.when(k % 5 == 0, "USD").otherwise(""), baseCurrency=F.when(k % 3 == 0, "EUR").otherwise(""), fromDate=F.lit("2024-01-01"), toDate=F.when(k % 7 == 0, "").otherwise("2024-01-31"))).unionByName(head(100_000, "CashReportCurrency", currency=F.lit("USD"), endingCash=text(cents))).unionByName(head(100_001, "ChangeInNAV", **nav)).unionByName(head(100_002, "ChangeInNAV", **nav))
+    return position.unionByName(head(0, "FlexQueryResponse", queryName=F.lit("q"), clientIdHash=F.lit("x"))).unionByName(head(1, "FlexStatement", accountId=F.lit("U1"), currency=F.when(k % 5 == 0, "USD").otherwise(""), baseCurrency=F.when(k % 3 == 0, "EUR").otherwise(""), fromDate=F.format_string("2024-01-%02d", k % 28 + 1), toDate=F.when(k % 7 == 0, "").otherwise("2024-01-31"))).unionByName(head(100_000, "CashReportCurrency", currency=F.lit("USD"), endingCash=text(cents))).unionByName(head(100_001, "ChangeInNAV", **nav)).unionByName(head(100_002, "ChangeInNAV", **nav))
 
 
 def statements(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,8 +221,7 @@ def request_log(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     codes = F.array(*map(F.lit, ("1001", "1018", "1019", "1020", "1021", "429", "401", "ok")))
     attempt = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = e.select(F.col("user_id").alias("request_id"), attempt.alias("attempt"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("user_id") % 2 == 0, "statement").otherwise("http").alias("source"), F.element_at(codes, (F.col("event_id") % 8 + 1).cast("int")).alias("code"))
-    return rows.where(F.col("attempt") <= F.col("request_id") % 7 + 1)
+    return e.select(F.col("user_id").alias("request_id"), attempt.alias("attempt"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("user_id") % 2 == 0, "statement").otherwise("http").alias("source"), F.element_at(codes, (F.col("event_id") % 8 + 1).cast("int")).alias("code"))
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:

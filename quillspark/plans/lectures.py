@@ -21,7 +21,7 @@ PLAN = """plan AS (
         FROM spans s WHERE s.recording_id = p.recording_id AND least(s.end_s, least(10800.0, p.nxt + p.chunk_seconds)) > greatest(s.start_s, least(10800.0, p.nxt + p.chunk_seconds) - 20, p.nxt)) AS m)) c
   WHERE p.nxt < 10800 - 0.001)"""
 CHUNKS = "chunks AS (SELECT recording_id, i - 1 AS index, round(a, 6) AS start_s, round(b, 6) AS end_s, forced AS forced_boundary, chunk_seconds FROM plan WHERE i > 0)"
-TEXTS = r"""texts AS (SELECT doc_id // 8 AS recording_id, (doc_id % 8)::INT AS index, doc_id, list_slice(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> ''), 1, 40) AS w FROM documents),
+TEXTS = r"""texts AS (SELECT doc_id // 8 AS recording_id, (doc_id % 8)::INT AS index, doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
 tails AS (SELECT *, lag(CASE WHEN len(w) >= 3 THEN w[-3:] ELSE w END) OVER (PARTITION BY recording_id ORDER BY index) AS before FROM texts),
 finals AS (SELECT recording_id, index, doc_id, greatest(index * 120.0 - 2, 0.0) AS audio_start, CASE WHEN doc_id % 17 = 0 THEN '' ELSE array_to_string(CASE WHEN doc_id % 4 = 1 AND before IS NOT NULL THEN list_concat(before, w) ELSE w END, ' ') || CASE WHEN doc_id % 11 = 0 THEN ' [unclear]' ELSE '' END END AS text, doc_id % 10 = 0 AS unsure, (doc_id % 130)::DOUBLE AS off FROM tails),
 drafts AS (SELECT recording_id, index, doc_id, m AS model, CASE WHEN doc_id % 17 = 0 AND m = 'b' THEN '' WHEN m = 'a' THEN array_to_string([w[j] for j in range(1, len(w) + 1) if j % 10 <> 0], ' ') ELSE array_to_string([CASE WHEN j % 15 = 0 THEN 'x' ELSE w[j] END for j in range(1, len(w) + 1)], ' ') END AS text, CASE WHEN doc_id % 6 <> 0 THEN (doc_id % 7) / 100.0 END AS cost, w FROM texts, (VALUES ('a'), ('b')) AS v(m) WHERE NOT (doc_id % 23 = 0 AND m = 'b'))"""
@@ -48,10 +48,10 @@ def _audited(spark, sf):
 def _attempts(spark, sf):
     """Two attempts for each final: the first with the faults of the recipe, the second valid."""
     f = I.finals(spark, sf)
-    i, t = F.col("doc_id"), F.left("text", F.lit(20))
+    i, t = F.col("doc_id"), F.col("text")
     offset = F.when(i % 19 == 0, "true").when(i % 13 == 0, "500").otherwise("1.5")
-    content = F.when(i % 7 == 0, F.to_json(F.struct(t.alias("text")))).otherwise(F.concat(F.expr("left(to_json(struct(left(text, 20) as text)), length(to_json(struct(left(text, 20) as text))) - 1)"), F.lit(',"uncertainties":[{"offset_seconds":'), offset, F.lit(',"reason":"r"}]}')))
-    good = F.concat(F.expr("left(to_json(struct(left(text, 20) as text)), length(to_json(struct(left(text, 20) as text))) - 1)"), F.lit(',"uncertainties":[]}'))
+    content = F.when(i % 7 == 0, F.to_json(F.struct(t.alias("text")))).otherwise(F.concat(F.expr("left(to_json(struct(text)), length(to_json(struct(text))) - 1)"), F.lit(',"uncertainties":[{"offset_seconds":'), offset, F.lit(',"reason":"r"}]}')))
+    good = F.concat(F.expr("left(to_json(struct(text)), length(to_json(struct(text))) - 1)"), F.lit(',"uncertainties":[]}'))
     wrap = lambda c, reason: F.to_json(F.struct(F.array(F.struct(reason.alias("finish_reason"), F.struct(c.alias("content")).alias("message"))).alias("choices")))
     both = F.array(F.struct(F.lit(1).alias("attempt"), wrap(content, F.when(i % 9 == 0, "length").otherwise("stop")).alias("response")), F.struct(F.lit(2).alias("attempt"), wrap(good, F.lit("stop")).alias("response")))
     return f.select("recording_id", "index", "doc_id", F.explode(both).alias("x")).select("recording_id", "index", "doc_id", "x.attempt", "x.response", F.lit(124.0).alias("audio_duration"))
@@ -130,18 +130,27 @@ def prj13_check_reconciliation(spark, sf):
     return r.select(*L.KEYS, "attempt", "error", F.col("final.text").alias("text"), F.size("final.uncertainties").alias("n"))
 
 
-SQL["prj13_check_reconciliation"] = f"""WITH {TEXTS}, a AS (SELECT recording_id, index, unnest([1, 2])::INT AS attempt, doc_id, left(text, 20) AS t FROM finals),
+SQL["prj13_check_reconciliation"] = f"""WITH {TEXTS}, a AS (SELECT recording_id, index, unnest([1, 2])::INT AS attempt, doc_id, text AS t FROM finals),
 e AS (SELECT *, CASE WHEN attempt = 2 THEN NULL WHEN doc_id % 9 = 0 THEN 'incomplete' WHEN doc_id % 7 = 0 THEN 'invalid schema' WHEN doc_id % 19 = 0 OR doc_id % 13 = 0 THEN 'invalid uncertainty timestamp' END AS error FROM a)
 SELECT recording_id, index, attempt, error, CASE WHEN error IS NULL THEN t END AS text, CASE WHEN error IS NULL THEN 2 - attempt ELSE NULL END::INT AS n FROM e"""
 
 
 @query
 def win14_first_valid_attempt(spark, sf):
-    r = L.first_valid_attempt(L.check_reconciliation(_attempts(spark, sf)), limit=2)
+    """A third of the chunks have their second attempt broken too, and a tenth have a third one that comes too late."""
+    a = L.check_reconciliation(_attempts(spark, sf))
+    i = F.col("doc_id")
+    a = a.withColumn("error", F.when((F.col("attempt") == 2) & (i % 3 == 0), "incomplete").otherwise(F.col("error")))
+    late = a.where((F.col("attempt") == 2) & (i % 10 == 0)).withColumn("attempt", F.lit(7)).withColumn("error", F.lit(None).cast("string"))
+    r = L.first_valid_attempt(a.unionByName(late), limit=2)
     return r.select(*L.KEYS, "attempts", "error", F.col("final.text").alias("text"))
 
 
-SQL["win14_first_valid_attempt"] = f"WITH {TEXTS} SELECT recording_id, index, CASE WHEN doc_id % 9 = 0 OR doc_id % 7 = 0 OR doc_id % 19 = 0 OR doc_id % 13 = 0 THEN 2 ELSE 1 END AS attempts, NULL::VARCHAR AS error, left(text, 20) AS text FROM finals"
+SQL["win14_first_valid_attempt"] = f"""WITH {TEXTS}, a AS (SELECT recording_id, index, doc_id, unnest([1, 2])::INT AS attempt, text FROM finals),
+e AS (SELECT *, CASE WHEN attempt = 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'incomplete' END WHEN doc_id % 9 = 0 THEN 'incomplete' WHEN doc_id % 7 = 0 THEN 'invalid schema' WHEN doc_id % 19 = 0 OR doc_id % 13 = 0 THEN 'invalid uncertainty timestamp' END AS error FROM a),
+n AS (SELECT *, row_number() OVER (PARTITION BY recording_id, index ORDER BY attempt) AS r FROM e),
+f AS (SELECT recording_id, index, min(r) FILTER (error IS NULL) AS valid, max(r) AS tried FROM n WHERE r <= 2 GROUP BY ALL)
+SELECT n.recording_id, n.index, n.r::INT AS attempts, n.error, CASE WHEN n.error IS NULL THEN n.text END AS text FROM n JOIN f ON n.recording_id = f.recording_id AND n.index = f.index AND n.r = coalesce(valid, tried)"""
 
 
 @query
@@ -224,13 +233,19 @@ SQL["join3_config_changes"] = f"WITH {RUNS}, c AS (SELECT recording_id, list_fil
 
 @query
 def join5_preflight(spark, sf):
+    """Every model of a document is wanted; what it takes and supports comes from the document. The reviewer is the longest one."""
     d = I.table(spark, sf, "documents")
-    i = F.col("doc_id")
-    catalogue = d.where("doc_id % 5 <> 0").select(F.concat(F.lit("m"), i.cast("string")).alias("id"), F.struct(F.when(i % 2 == 0, F.array(F.lit("audio"))).otherwise(F.array(F.lit("text"))).alias("input_modalities")).alias("architecture"), F.array(F.lit("temperature")).alias("supported_parameters"))
-    return L.preflight(d.select(F.concat(F.lit("m"), i.cast("string")).alias("id")), catalogue, reviewer="m2")
+    i, size = F.col("doc_id"), F.coalesce(F.length("text"), F.lit(0))
+    inputs = F.array_compact(F.array(F.lit("text"), F.when(size % 2 == 0, "audio")))
+    supported = F.array_compact(F.array(F.lit("temperature"), F.when(size % 3 == 0, "response_format"), F.when(size % 5 == 0, "structured_outputs")))
+    catalogue = d.where((size % 7 != 0) | (size > 9)).select(F.concat(F.lit("m"), i.cast("string")).alias("id"), F.struct(inputs.alias("input_modalities")).alias("architecture"), supported.alias("supported_parameters"))
+    reviewer = d.agg(F.max(F.struct(size.alias("n"), i.alias("i"))).alias("x")).first().x.i
+    return L.preflight(d.select(F.concat(F.lit("m"), i.cast("string")).alias("id")), catalogue.where("substring(id, 2) % 4 <> 0 or id = 'm" + str(reviewer) + "'"), reviewer=f"m{reviewer}")
 
 
-SQL["join5_preflight"] = "SELECT 'm' || doc_id AS id, 'missing' AS problem FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'm2', 'no structured output'"
+SQL["join5_preflight"] = """WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents), r AS (SELECT doc_id, n FROM d ORDER BY n DESC, doc_id DESC LIMIT 1),
+p AS (SELECT 'm' || doc_id AS id, CASE WHEN n % 2 <> 0 THEN 'no audio input' WHEN n % 3 <> 0 AND n % 5 <> 0 THEN 'no structured output' END AS problem FROM r)
+SELECT 'm' || doc_id AS id, 'missing' AS problem FROM d WHERE NOT ((n % 7 <> 0 OR n > 9) AND (doc_id % 4 <> 0 OR doc_id IN (SELECT doc_id FROM r))) UNION ALL SELECT * FROM p WHERE problem IS NOT NULL"""
 
 
 @query
@@ -268,16 +283,16 @@ SQL["agg11_request_plan"] = f"WITH RECURSIVE {RUNS}, {SPANS}, {PLAN}, {CHUNKS} S
 
 @query
 def agg16_word_error_rate(spark, sf):
-    references = I.lecture_texts(spark, sf).select("recording_id", "index", F.array_join(F.slice("w", 1, 40), " ").alias("text"))
+    references = I.lecture_texts(spark, sf).select("recording_id", "index", F.array_join("w", " ").alias("text"))
     return L.word_error_rate(I.drafts(spark, sf), references)
 
 
 @query
 def dat2_stamp(spark, sf):
-    return _planned(spark, sf).select(*L.KEYS, X.stamp(F.col("index") + 0.5).alias("half"), X.stamp(-F.col("start_s")).alias("floor"))
+    return _planned(spark, sf).select(*L.KEYS, X.stamp(F.col("index") + 0.5).alias("half"), X.stamp(F.round(F.col("start_s") - 1000)).alias("floor"))
 
 
-SQL["dat2_stamp"] = f"WITH RECURSIVE {RUNS}, {SPANS}, {PLAN}, {CHUNKS} SELECT recording_id, index, {_HMS.format('(index + index % 2)')} AS half, '00:00:00' AS floor FROM chunks"
+SQL["dat2_stamp"] = f"WITH RECURSIVE {RUNS}, {SPANS}, {PLAN}, {CHUNKS} SELECT recording_id, index, {_HMS.format('(index + index % 2)')} AS half, {_HMS.format('greatest(round(start_s - 1000), 0)::INT')} AS floor FROM chunks"
 
 
 @query

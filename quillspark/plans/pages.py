@@ -25,7 +25,7 @@ PROFILES = """scans AS (SELECT bundle_id, page_number, bool_or(kind = 'full_page
 profiles AS (SELECT l.*, coalesce(scan, false) AS scan, list_filter([CASE WHEN annotation_count >= 8 THEN 'fillable_form' END, CASE WHEN char_count >= 1800 THEN 'dense_text' END, CASE WHEN control_character_count > 0 THEN 'noisy_text_layer' END, CASE WHEN scan THEN 'full_page_scan' END, CASE WHEN has_text THEN 'text_layer_present' ELSE 'ocr_primary' END], lambda x: x IS NOT NULL) AS page_profile,
     has_text AND (char_count >= 80 OR annotation_count >= 8) AS attach, greatest(300, CASE WHEN scan THEN 400 ELSE 0 END, CASE WHEN annotation_count >= 40 THEN 450 ELSE 0 END) AS effective_dpi FROM layers l LEFT JOIN scans USING (bundle_id, page_number))"""
 RESULTS = """results AS (SELECT doc_id, doc_id // 10 AS bundle_id, (doc_id % 10 + 1)::INT AS page_number, CASE WHEN doc_id % 41 = 0 THEN 'error' ELSE 'ok' END AS status, doc_id % 5 <> 0 AS m1, doc_id % 6 = 0 AS dpi400, doc_id % 37 = 0 AS cut, doc_id % 2 = 0 AS has_image,
-    left(coalesce(text, ''), 60) AS head, CASE WHEN doc_id % 7 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS most FROM documents WHERE doc_id % 31 <> 0)"""
+    coalesce(text, '') AS head, CASE WHEN doc_id % 7 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS most FROM documents WHERE doc_id % 31 <> 0)"""
 #: A result's Markdown after its placeholders are made canonical.
 MD = r"""(head || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '<!-- IMAGE 002 -->' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '![A \[1](<../derived/assets/a.png>)' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN chr(10) || '<!-- IMAGE 003 -->' ELSE '' END)"""
 COMPLETE = "counts AS (SELECT doc_id // 10 AS bundle_id, count(*) AS page_count FROM documents GROUP BY ALL), complete AS (SELECT bundle_id FROM results JOIN counts USING (bundle_id) GROUP BY bundle_id, page_count HAVING count(*) = page_count AND bool_and(status = 'ok'))"
@@ -129,7 +129,7 @@ def prj10_completeness_gate(spark, sf):
     return P.completeness_gate(I.extractions(spark, sf)).select("doc_id", "reasons", "status", "output")
 
 
-SQL["prj10_completeness_gate"] = """WITH e AS (SELECT doc_id, ['text_based', 'mixed', 'scanned', 'image_based', 'text_based'][doc_id % 5 + 1] AS kind, CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN '2,7' ELSE '2,7' END WHEN doc_id % 7 = 1 AND doc_id % 2 = 1 THEN '5' END AS pages, doc_id % 8 = 0 AS blank, CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE left(text, 40) END AS md FROM documents),
+SQL["prj10_completeness_gate"] = """WITH e AS (SELECT doc_id, ['text_based', 'mixed', 'scanned', 'image_based', 'text_based'][doc_id % 5 + 1] AS kind, CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN '2,7' ELSE '2,7' END WHEN doc_id % 7 = 1 AND doc_id % 2 = 1 THEN '5' END AS pages, doc_id % 8 = 0 AS blank, CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE text END AS md FROM documents),
 r AS (SELECT *, list_filter([CASE WHEN kind IN ('scanned', 'image_based') THEN 'PDF type is ' || kind END, CASE WHEN blank OR trim(md) = '' THEN 'backend returned no Markdown' END, 'pages need OCR: ' || pages, CASE WHEN doc_id % 11 = 0 THEN 'backend detected broken font encodings' END], lambda x: x IS NOT NULL) AS reasons FROM e),
 s AS (SELECT *, CASE WHEN len(reasons) = 0 THEN 'ok' WHEN doc_id % 3 = 0 AND NOT blank THEN 'partial' ELSE 'blocked' END AS status FROM r)
 SELECT doc_id, reasons, status, CASE status WHEN 'ok' THEN md WHEN 'partial' THEN '<!-- Partial pdf-inspector extraction: ' || array_to_string(reasons, '; ') || ' -->' || chr(10) || chr(10) || md END AS output FROM s"""
@@ -146,7 +146,7 @@ SQL["prj11_contract_check"] = "SELECT doc_id, CASE WHEN doc_id % 6 < 2 THEN ['ha
 
 @query
 def prj14_ocr_text(spark, sf):
-    t = F.coalesce(F.left("text", F.lit(30)), F.lit(""))
+    t = F.coalesce("text", F.lit(""))
     choice = lambda reason, content: F.to_json(F.struct(F.array(F.struct(F.lit(reason).alias("finish_reason"), F.struct(content.alias("content")).alias("message"))).alias("choices")))
     parts = F.array(F.struct(F.lit("text").alias("type"), t.alias("text")), F.struct(F.lit("image").alias("type"), F.lit("no").alias("text")), F.struct(F.lit("text").alias("type"), F.lit(" end ").alias("text")))
     i = F.col("doc_id") % 5
@@ -155,7 +155,7 @@ def prj14_ocr_text(spark, sf):
 
 
 SQL["prj14_ocr_text"] = r"""SELECT doc_id, CASE i WHEN 2 THEN regexp_replace(t || chr(10) || ' end ', '^\s+|\s+$', '', 'g') WHEN 4 THEN regexp_replace(t, '^\s+|\s+$', '', 'g') END AS text, CASE WHEN i = 1 THEN 'length' WHEN i > 1 THEN 'stop' END AS finish_reason,
-  CASE i WHEN 0 THEN 'no choices' WHEN 1 THEN 'truncated: length' WHEN 3 THEN 'no usable text' END AS error FROM (SELECT doc_id, doc_id % 5 AS i, left(coalesce(text, ''), 30) AS t FROM documents)"""
+  CASE i WHEN 0 THEN 'no choices' WHEN 1 THEN 'truncated: length' WHEN 3 THEN 'no usable text' END AS error FROM (SELECT doc_id, doc_id % 5 AS i, coalesce(text, '') AS t FROM documents)"""
 
 
 @query
@@ -252,7 +252,9 @@ def join2_reusable_pages(spark, sf):
     return P.reusable_pages(wanted, I.page_results(spark, sf), save_renders=True)
 
 
-SQL["join2_reusable_pages"] = f"WITH {RESULTS} SELECT bundle_id, page_number FROM results WHERE status = 'ok' AND m1 AND NOT dpi400 AND doc_id % 2 = 0"
+SQL["join2_reusable_pages"] = f"""WITH {RESULTS}, kept AS (SELECT bundle_id, page_number, status, CASE WHEN m1 THEN 'm1' ELSE 'm0' END AS model, CASE WHEN dpi400 THEN 400 ELSE 300 END AS dpi, sha256(doc_id::VARCHAR) AS prompt, sha256((doc_id // 10)::VARCHAR) AS source, CASE WHEN doc_id % 2 = 0 THEN 'derived/renders/a.png' END AS render FROM results),
+wanted AS (SELECT doc_id // 10 AS bundle_id, (doc_id % 10 + 1)::INT AS page_number, 'm1' AS model, sha256(doc_id::VARCHAR) AS prompt, 300 AS dpi, sha256((doc_id // 10)::VARCHAR) AS source FROM documents)
+SELECT bundle_id, page_number FROM wanted w JOIN kept k USING (bundle_id, page_number) WHERE status = 'ok' AND k.model = w.model AND k.prompt = w.prompt AND k.dpi = w.dpi AND k.source = w.source AND render IS NOT NULL"""
 
 
 @query
@@ -289,17 +291,19 @@ def set2_blocked_pages(spark, sf):
     return P.blocked_pages(e.select("doc_id", F.explode("pages_needing_ocr").alias("page_number")), P.expand_pages(e.where("selection is not null"), "doc_id", "selection", "page_count").select("doc_id", "page_number"))
 
 
-SQL["set2_blocked_pages"] = "SELECT doc_id, unnest([2, 7])::INT AS page_number FROM documents WHERE doc_id % 14 = 0"
+SQL["set2_blocked_pages"] = """WITH needing AS (SELECT doc_id, unnest(CASE doc_id % 7 WHEN 0 THEN [7, 2] WHEN 1 THEN [5] ELSE []::INT[] END)::INT AS page_number FROM documents),
+ranges AS (SELECT doc_id, string_split(unnest(string_split('1-3,7', ',')), '-') AS p FROM documents WHERE doc_id % 2 = 0), chosen AS (SELECT doc_id, unnest(range(p[1]::INT, p[-1]::INT + 1))::INT AS page_number FROM ranges)
+SELECT * FROM needing INTERSECT SELECT * FROM chosen"""
 
 
 @query
 def str9_str10_str11_names(spark, sf):
     d = I.table(spark, sf, "documents")
-    name = F.coalesce(F.left("text", F.lit(40)), F.lit(""))
+    name = F.coalesce("text", F.lit(""))
     return d.select("doc_id", X.slugify(name).alias("slug"), X.safe_filename(name).alias("file"), X.sanitize_ext(F.when(F.col("doc_id") % 3 == 0, ".J-P+G").otherwise("...")).alias("ext"))
 
 
-SQL["str9_str10_str11_names"] = r"""WITH d AS (SELECT doc_id, left(coalesce(text, ''), 40) AS t FROM documents)
+SQL["str9_str10_str11_names"] = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(t), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'pdf-bundle') AS slug, coalesce(nullif(trim(regexp_replace(t, '[^\p{L}\p{N}_ .-]', '_', 'g'), ' .'), ''), 'lecture') AS file, CASE WHEN doc_id % 3 = 0 THEN 'jpg' ELSE 'bin' END AS ext FROM d"""
 
 
@@ -322,9 +326,10 @@ SQL["mth1_round_bbox"] = f"WITH {BLOCKS} SELECT bundle_id, page_number, block_se
 
 @query
 def arr1_array_operations(spark, sf):
-    w = F.slice(X.tokens(F.coalesce("text", F.lit(""))), 1, 30)
-    return I.table(spark, sf, "documents").select("doc_id", F.slice(w, 1, 2).alias("head"), F.array_sort(F.array_distinct(F.transform(w, F.length))).alias("sizes"), F.size(F.array_intersect(F.slice(w, 1, 10), F.slice(w, 11, 20))).alias("common"), F.array_contains(w, "the").alias("has_the"))
+    w, half = X.tokens(F.coalesce("text", F.lit(""))), F.floor(F.size("w") / 2).cast("int")
+    d = I.table(spark, sf, "documents").select("doc_id", w.alias("w"))
+    return d.select("doc_id", F.slice("w", 1, 2).alias("head"), F.array_sort(F.array_distinct(F.transform("w", F.length))).alias("sizes"), F.size(F.array_intersect(F.slice("w", F.lit(1), half), F.slice("w", half + 1, F.size("w")))).alias("common"), F.array_contains("w", "the").alias("has_the"))
 
 
-SQL["arr1_array_operations"] = r"""WITH d AS (SELECT doc_id, list_slice(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> ''), 1, 30) AS w FROM documents)
-SELECT doc_id, w[1:2] AS head, list_sort(list_distinct(list_transform(w, lambda x: length(x)::INT))) AS sizes, len(list_intersect(w[1:10], w[11:30]))::INT AS common, list_contains(w, 'the') AS has_the FROM d"""
+SQL["arr1_array_operations"] = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, w[1:2] AS head, list_sort(list_distinct(list_transform(w, lambda x: length(x)::INT))) AS sizes, len(list_intersect(w[1:len(w) // 2], w[len(w) // 2 + 1:]))::INT AS common, list_contains(w, 'the') AS has_the FROM d"""

@@ -2,15 +2,20 @@
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import notes as N, statements as S, tasks as T
+from ..operators import captions, notes as N, statements as S, tasks as T
 from ..session import shared_dir
-from ..sources.sinks import to_json_docs
+from ..sources import readers
+from ..sources.sinks import to_json_docs, write_table, write_transcripts
 from ..streaming import jobs
 from . import fixtures as I
+from .captions import CLEAN, ROLLING, SQL as CAPTIONS
+
+AGG1 = CAPTIONS["agg1_transcripts"]
 
 Q, SQL = {}, {}
 
@@ -25,7 +30,7 @@ TASKS = """t AS (SELECT o_orderkey AS task_id, c_nationkey AS project_id, n_name
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
 CAPTURES = "captures AS (SELECT user_id, event_id AS capture_id, ts AS captured_at, CASE WHEN event_id % 40 = 0 THEN ts::DATE - 1 END AS assigned, coalesce(CASE WHEN event_id % 40 = 0 THEN ts::DATE - 1 END, (ts - INTERVAL 6 HOUR)::DATE) AS day, event_type AS body FROM events)"
 FOUND = """found AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'spec' ELSE 'standards' END AS axis, user_id::VARCHAR AS file, (event_id % 200)::INT AS line, event_type AS rule, floor(abs(value))::BIGINT % 4 AS r, ['high', 'medium', 'low', 'note'][floor(abs(value))::BIGINT % 4 + 1] AS severity, event_id::VARCHAR AS evidence FROM events)"""
-LOG = """log AS (SELECT * FROM (SELECT user_id AS request_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS attempt, user_id % 2 = 0 AS statement, ['1001', '1018', '1019', '1020', '1021', '429', '401', 'ok'][event_id % 8 + 1] AS code FROM events) WHERE attempt <= request_id % 7 + 1),
+LOG = """log AS (SELECT user_id AS request_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS attempt, user_id % 2 = 0 AS statement, ['1001', '1018', '1019', '1020', '1021', '429', '401', 'ok'][event_id % 8 + 1] AS code FROM events),
 judged AS (SELECT *, CASE WHEN code = 'ok' THEN 'ready' WHEN statement AND code IN ('1001', '1018', '1019', '1020', '1021') OR NOT statement AND code = '429' THEN 'transient' ELSE 'fatal' END AS outcome FROM log)"""
 FILES = "f AS (SELECT doc_id, (doc_id % 50)::VARCHAR AS folder, (doc_id % 50) || '/' || doc_id || ['.vtt', '.srt', '.json3', '.txt'][doc_id % 4 + 1] AS path, (doc_id % 100)::DOUBLE AS modified_s, doc_id % 3 <> 0 AS was_there FROM documents)"
 ORDER = list(I.SEVERITIES)
@@ -66,11 +71,16 @@ SQL["prj5_cash"] = f"WITH {CUST} SELECT k AS statement_id, 100000 AS elem_seq, '
 
 @query
 def prj6_redact(spark, sf):
-    r = S.redact(I.statement_elements(spark, sf))
-    return r.groupBy("statement_id").agg(F.sum(F.size("attrs")).alias("kept"), F.count_if(F.exists(F.map_keys("attrs"), lambda k: F.lower(k).rlike("account|clientid"))).alias("private"))
+    e = I.statement_elements(spark, sf)
+    r = S.redact(e.withColumn("all", F.size("attrs")))
+    return r.groupBy("statement_id", "tag").agg(F.sum(F.size("attrs")).alias("kept"), F.sum(F.col("all") - F.size("attrs")).alias("removed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("attrs"))))).alias("names"))
 
 
-SQL["prj6_redact"] = f"WITH {HELD}, {CUST}, n AS (SELECT statement_id, count(*) AS n FROM pos GROUP BY ALL) SELECT k AS statement_id, coalesce(n, 0) * 9 + 1 + 4 + 2 + 4 + 4 AS kept, 0 AS private FROM c LEFT JOIN n ON statement_id = k"
+SQL["prj6_redact"] = f"""WITH {HELD}, {CUST}, tags(tag, names) AS (VALUES ('FlexQueryResponse', ['queryName', 'clientIdHash']), ('FlexStatement', ['accountId', 'currency', 'baseCurrency', 'fromDate', 'toDate']), ('CashReportCurrency', ['currency', 'endingCash']), ('ChangeInNAV', ['endingValue', 'total', 'currency', 'reportDate']),
+  ('OpenPosition', ['symbol', 'description', 'assetCategory', 'currency', 'position', 'markPrice', 'positionValue', 'fxRateToBase', 'percentOfNAV', 'accountId'])),
+own AS (SELECT tag, len(names) AS n, list_sort(list_filter(names, lambda x: NOT regexp_matches(lower(x), 'account|acctid|clientid'))) AS names FROM tags),
+e AS (SELECT k AS statement_id, t AS tag FROM c, (VALUES ('FlexQueryResponse'), ('FlexStatement'), ('CashReportCurrency'), ('ChangeInNAV'), ('ChangeInNAV')) AS v(t) UNION ALL SELECT statement_id, 'OpenPosition' FROM pos)
+SELECT statement_id, tag, sum(len(names))::BIGINT AS kept, sum(n - len(names))::BIGINT AS removed, any_value(names) AS names FROM e JOIN own USING (tag) GROUP BY statement_id, tag"""
 
 
 @query
@@ -86,7 +96,9 @@ def agg6_report_dates(spark, sf):
     return S.report_dates(I.statement_elements(spark, sf))
 
 
-SQL["agg6_report_dates"] = f"WITH {CUST} SELECT k AS statement_id, ['2024-01-01', '2024-01-31'] AS report_dates FROM c"
+#: The day a statement begins with, the one it ends with (which may be left out), and that of its net asset value.
+DATES = "list_sort(list_distinct(list_filter([printf('2024-01-%02d', k % 28 + 1), CASE WHEN k % 7 <> 0 THEN '2024-01-31' END, '2024-01-31'], lambda x: x IS NOT NULL)))"
+SQL["agg6_report_dates"] = f"WITH {CUST} SELECT k AS statement_id, {DATES} AS report_dates FROM c"
 
 
 @query
@@ -104,7 +116,7 @@ def agg8_summaries(spark, sf):
 
 
 SQL["agg8_summaries"] = f"""WITH {HELD}, {CUST}, {NAV}, n AS (SELECT statement_id, list(field || '=' || value ORDER BY field_seq) AS nav FROM nav GROUP BY ALL), s AS (SELECT statement_id, string_agg(symbol, ',' ORDER BY elem_seq) AS symbols FROM pos GROUP BY ALL)
-SELECT k AS statement_id, 'FlexQueryResponse' AS report_type, ['2024-01-01', '2024-01-31'] AS report_dates, {BASE} AS base_currency, nav, [cents::VARCHAR] AS cash, symbols FROM c JOIN n ON n.statement_id = k LEFT JOIN s ON s.statement_id = k WHERE k % 50 <> 0"""
+SELECT k AS statement_id, 'FlexQueryResponse' AS report_type, {DATES} AS report_dates, {BASE} AS base_currency, nav, [cents::VARCHAR] AS cash, symbols FROM c JOIN n ON n.statement_id = k LEFT JOIN s ON s.statement_id = k WHERE k % 50 <> 0"""
 
 
 @query
@@ -369,14 +381,28 @@ def fld3_near_duplicates(spark, sf):
     return N.near_duplicates(I.table(spark, sf, "documents"))
 
 
+SQL["fld3_near_duplicates"] = r"""WITH RECURSIVE t AS (SELECT doc_id, text, coalesce(sha256(text), 'null') AS h FROM documents), one AS (SELECT h, min(doc_id) AS id, any_value(text) AS text FROM t GROUP BY h),
+w AS (SELECT id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM one WHERE h <> 'null'),
+s AS (SELECT id, unnest(list_distinct(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n AS na ON na.id = a JOIN n AS nb ON nb.id = b WHERE c >= 0.8 * (na.n + nb.n - c)), e AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
+reach(id, r) AS (SELECT id, id FROM n UNION SELECT reach.id, e.y FROM reach JOIN e ON e.x = reach.r), c AS (SELECT id, min(r) AS class_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(class_id, id) AS class_id FROM t JOIN one USING (h) LEFT JOIN c USING (id)"""
+
+
 # Streams, run over a table to their end.
 
 
-def _stream(spark, sf, df, name, partitions=4):
-    """The rows as files of a shared folder, read as a stream."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.repartition(partitions).write.parquet(f"{path}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "2").parquet(f"{path}/in"), path
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stream(spark, name, parts, files=4):
+    """The parts as files of a shared folder, one part after the other, each of which becomes one batch of a stream."""
+    path = _folder(spark, name)
+    for df in parts:
+        df.repartition(files).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", str(files)).parquet(f"{path}/in"), path
 
 
 def _drained(spark, stream, path, mode="append"):
@@ -385,14 +411,27 @@ def _drained(spark, stream, path, mode="append"):
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+@query
+def stm1_caption_stream(spark, sf):
+    """Two runs over the same folder; the second finds nothing new."""
+    path = _folder(spark, "captions")
+    files_of(I.caption_files(spark, sf).where("format = 'vtt'"), "text", f"{path}/in")
+    for _ in range(2):
+        jobs.stream_captions(spark, f"{path}/in", f"{path}/out", f"{path}/state", format="vtt").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("start_s", "end_s", "text")
+
+
+SQL["stm1_caption_stream"] = f"WITH {ROLLING} SELECT start_s, end_s, {CLEAN} AS text FROM rolling WHERE cue_seq % 7 <> 6 AND file_id::INT % 3 = 0"
+
+
 @query
 def stm2_resumable(spark, sf):
     chunks = I.lecture_chunks(spark, sf).select("recording_id", "index")
-    stream, path = _stream(spark, sf, chunks.unionByName(chunks.where("index < 4")), "resumable")
+    stream, path = _stream(spark, "resumable", [chunks, chunks.where("index < 4")], files=2)
     keys = ["recording_id", "index"]
     for run in ("a", "b"):  # a second run with a new checkpoint adds nothing
         jobs.resumable(stream, f"{path}/store", f"{path}/state-{run}", keys, lambda df: df.withColumn("done", F.lit(True))).awaitTermination()
-    return spark.read.parquet(f"{path}/store")
+    return spark.read.parquet(f"{path}/store").drop("bucket")
 
 
 SQL["stm2_resumable"] = "SELECT doc_id // 8 AS recording_id, (doc_id % 8)::INT AS index, true AS done FROM documents"
@@ -400,21 +439,30 @@ SQL["stm2_resumable"] = "SELECT doc_id // 8 AS recording_id, (doc_id % 8)::INT A
 
 @query
 def stm3_waking_day_counts(spark, sf):
-    """The last day is still open when the stream ends, so a closing row far in the future follows."""
-    c = I.journal_captures(spark, sf).select("captured_at")
-    end = c.agg((F.max("captured_at") + F.expr("INTERVAL 402 DAYS")).alias("captured_at"))
-    first, path = _stream(spark, sf, c.unionByName(end).orderBy("captured_at").coalesce(1), "waking", partitions=1)
-    return _drained(spark, jobs.waking_day_counts(first, "400 days"), path)
+    """Eight tenths of the entries come first, a tenth after them, and a tenth when the watermark of the first batch holds: of these the days that it has passed are late. A closing row far in the future ends the last day."""
+    c = I.journal_captures(spark, sf)
+    k = F.col("capture_id") % 10
+    end = c.agg((F.max("captured_at") + F.expr("INTERVAL 30 DAYS")).alias("captured_at"))
+    parts = [c.where(x).select("captured_at") for x in (k < 8, k == 8, k == 9)]
+    stream, path = _stream(spark, "waking", [*parts, end])
+    return _drained(spark, jobs.waking_day_counts(stream, "2 days"), path)
 
 
-SQL["stm3_waking_day_counts"] = "SELECT (ts - INTERVAL 6 HOUR)::DATE AS day, count(*) AS n FROM events GROUP BY ALL"
+SQL["stm3_waking_day_counts"] = """WITH e AS (SELECT ts, event_id % 10 AS k, (ts - INTERVAL 6 HOUR)::DATE AS day FROM events), w AS (SELECT max(ts) FILTER (k < 8) - INTERVAL 2 DAY AS mark FROM e)
+SELECT day, count(*) AS n FROM e, w WHERE k < 9 OR day + INTERVAL 30 HOUR > mark GROUP BY day"""
 
 
 @query
 def stm5_dedup_attempts(spark, sf):
+    """Three thirds of the time one after the other; every second attempt comes twice, and once more with the next third, when it is late."""
     log = I.request_log(spark, sf).select("request_id", "attempt", "ts", "code")
-    stream, path = _stream(spark, sf, log.unionByName(log.where("attempt % 2 = 0")), "attempts")
-    return _drained(spark, jobs.dedup_attempts(stream, "4000 days"), path).select("request_id", "attempt", "code")
+    a, b = log.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    third = F.least(F.floor((F.unix_micros("ts") - a) / ((b - a) / 3 + 1)), F.lit(2))
+    own = [log.where(third == i) for i in range(3)]
+    again = [x.where("attempt % 2 = 0") for x in own]
+    parts = [x.unionByName(y) if not i else x.unionByName(y).unionByName(again[i - 1]) for i, (x, y) in enumerate(zip(own, again))]
+    stream, path = _stream(spark, "attempts", parts)
+    return _drained(spark, jobs.dedup_attempts(stream, "1 day"), path).select("request_id", "attempt", "code")
 
 
 SQL["stm5_dedup_attempts"] = f"WITH {LOG} SELECT request_id, attempt, code FROM log"
@@ -422,7 +470,85 @@ SQL["stm5_dedup_attempts"] = f"WITH {LOG} SELECT request_id, attempt, code FROM
 
 @query
 def stm4_live_paragraphs(spark, sf):
+    """The first turns of all conversations, then the others: what is open after the first batches is carried over. One turn in nine comes again, which is late."""
     cues = I.plain_cues(spark, sf)
     last = F.col("cue_seq") == F.max("cue_seq").over(Window.partitionBy("file_id"))
-    stream, path = _stream(spark, sf, cues.withColumn("last", last), "live", partitions=1)
-    return _drained(spark, jobs.live_paragraphs(stream), path)
+    rows = cues.withColumn("last", last)
+    path = _folder(spark, "live")
+    for part in (rows.where("cue_seq < 3"), rows.where("cue_seq >= 3").unionByName(rows.where("cue_seq = 0 and not last and cast(file_id as long) % 9 = 0"))):
+        part.repartition(4, "file_id").sortWithinPartitions("file_id", "cue_seq").write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "4").parquet(f"{path}/in")
+    return _drained(spark, jobs.live_paragraphs(stream), path).where("text is not null").drop("late_cues")
+
+
+# Files.
+
+
+def files_of(df, text, path):
+    """Each row's text as a file of its own."""
+    df.select(F.col(text).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+@query
+def src1_read_captions(spark, sf):
+    """Files of three formats, read as what they are; read without being told, their suffix is none of captions."""
+    path, files, out = _folder(spark, "captions"), I.caption_files(spark, sf), None
+    for name in ("vtt", "srt", "json3"):
+        files_of(files.where(F.col("format") == name), "text", f"{path}/{name}")
+        read = readers.read_captions(spark, f"{path}/{name}", format=name)
+        cues = captions.explode_cue_events(read) if name == "json3" else captions.explode_cue_blocks(read)
+        rows = cues.select(F.lit(name).alias("format"), "start_s", "end_s", "text")
+        out = rows if out is None else out.unionByName(rows)
+    none = F.lit(None).cast("double")
+    return out.unionByName(readers.read_captions(spark, f"{path}/srt").select("format", none.alias("start_s"), none.alias("end_s"), F.col("error").alias("text")))
+
+
+SQL["src1_read_captions"] = f"""WITH {ROLLING} SELECT ['vtt', 'srt', 'json3'][file_id::INT % 3 + 1] AS format, start_s, end_s, {CLEAN} AS text FROM rolling WHERE cue_seq % 7 <> 6
+UNION ALL SELECT 'txt', NULL, NULL, 'unsupported caption format: txt' FROM (SELECT DISTINCT file_id FROM rolling WHERE file_id::INT % 3 = 1)"""
+
+
+@query
+def src3_read_responses(spark, sf):
+    d, i = I.table(spark, sf, "documents"), F.col("doc_id")
+    body = F.when(i % 5 == 0, '{"broken": ').when(i % 5 == 1, F.concat(F.lit("["), i.cast("string"), F.lit("]"))).when(i % 5 == 2, "  ").otherwise(F.to_json(F.struct("doc_id", "text")))
+    path = _folder(spark, "responses")
+    files_of(d.select(body.alias("body")), "body", path)
+    r = readers.read_responses(spark, path)
+    good = lambda field: F.when(F.col("error").isNull(), F.get_json_object("response", f"$.{field}"))
+    return r.select(good("doc_id").cast("long").alias("doc_id"), F.md5(good("text")).alias("text_md5"), "error")
+
+
+SQL["src3_read_responses"] = "SELECT CASE WHEN doc_id % 5 > 2 THEN doc_id END AS doc_id, CASE WHEN doc_id % 5 > 2 THEN md5(text) END AS text_md5, ['invalid JSON', 'not a JSON object', 'empty response', NULL, NULL][doc_id % 5 + 1] AS error FROM documents"
+
+
+def _transcripts(spark, sf):
+    cues = I.plain_cues(spark, sf)
+    return captions.assemble_transcripts(cues.select("file_id", F.col("cue_seq").alias("para_seq"), (F.col("start_s") * 500).alias("start_s"), "text"))
+
+
+@query
+def snk1_write_transcripts(spark, sf):
+    path = _folder(spark, "transcripts")
+    write_transcripts(_transcripts(spark, sf), path)
+    return spark.read.parquet(path).select("file_id", "kind", "document")
+
+
+SQL["snk1_write_transcripts"] = f"WITH a AS ({AGG1}) SELECT file_id, 'md' AS kind, markdown AS document FROM a UNION ALL SELECT file_id, 'txt', text FROM a"
+
+
+@query
+def snk2_overwrite_rule(spark, sf):
+    """What is there is not replaced unasked, and is when asked; each row says whether the first try was refused."""
+    path, rows = _folder(spark, "table"), I.tasks(spark, sf).select("task_id", "priority")
+    write_table(rows.where("priority <= 2"), path)
+    try:
+        write_table(rows, path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    kept = spark.read.parquet(path).agg(F.count("*").alias("n")).first().n
+    write_table(rows.where("priority > 2"), path, overwrite=True)
+    return spark.read.parquet(path).withColumn("refused", F.lit(refused)).withColumn("kept", F.lit(kept).cast("long"))
+
+
+SQL["snk2_overwrite_rule"] = f"WITH {TASKS} SELECT task_id, priority, true AS refused, (SELECT count(*) FROM t WHERE priority <= 2) AS kept FROM t WHERE priority > 2"

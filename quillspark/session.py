@@ -36,9 +36,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; where none is set (tests, one machine), a local one."""
+    """The folder that the cluster shares, from spark.checkpoint.dir. Where none is set, a temporary one on a single machine; on a cluster an error, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -12,12 +12,16 @@ def _text() -> F.Column:
     return F.regexp_replace(F.expr("make_valid_utf8(cast(content as string))"), "^\ufeff", "")
 
 
-def read_captions(spark: SparkSession, path: str) -> DataFrame:
+def caption_rows(files: DataFrame, format: str | None = None) -> DataFrame:
+    """file_id, path, format, text, modified and error of rows of the binaryFile source; the format is the path's suffix unless it is given."""
+    own = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)) if format is None else F.lit(format)
+    known = own.isin("vtt", "srt", "json3")
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_id"), "path", own.alias("format"), F.when(known, _text()).alias("text"), F.col("modificationTime").alias("modified"), F.when(~known, F.concat(F.lit("unsupported caption format: "), own)).alias("error"))
+
+
+def read_captions(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
     """file_id, path, format, text, modified and error of each file under the path; formats that are no captions are errors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    format_ = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    known = format_.isin("vtt", "srt", "json3")
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_id"), "path", format_.alias("format"), F.when(known, _text()).alias("text"), F.col("modificationTime").alias("modified"), F.when(~known, F.concat(F.lit("unsupported caption format: "), format_)).alias("error"))
+    return caption_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), format)
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
@@ -32,3 +36,12 @@ def read_page_results(spark: SparkSession, path: str) -> DataFrame:
     """Stored page results with a fixed schema; what does not parse is in _corrupt_record."""
     schema = T.StructType([*PAGE_RESULT.fields, T.StructField("_corrupt_record", T.StringType())])
     return spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """response_id (the file's name without its suffix), path, response and error of each stored provider response, as it came; what is no JSON object is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rows = files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("response_id"), "path", F.regexp_replace(_text(), r"^\s+|\s+$", "").alias("response"))
+    value = F.try_parse_json("response")
+    error = F.when(F.length("response") == 0, "empty response").when(value.isNull(), "invalid JSON").when(~F.schema_of_variant(value).startswith("OBJECT"), "not a JSON object")
+    return rows.withColumn("error", error)

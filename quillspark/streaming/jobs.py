@@ -11,32 +11,35 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import captions
 from ..session import ship
+from ..sources.readers import caption_rows
 
 #: What the binaryFile source gives; a stream needs it said.
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
 
-def stream_captions(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
+def stream_captions(spark: SparkSession, path: str, out: str, checkpoint: str, format: str | None = None) -> StreamingQuery:
     """Cues of caption files that no run before has seen, appended to ``out``; ends when all are read."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(path)
-    text = F.regexp_replace(F.expr("make_valid_utf8(cast(content as string))"), "^\ufeff", "")
-    rows = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_id"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("format"), text.alias("text"))
+    rows = caption_rows(files, format).where("error is null").select("file_id", "format", "text")
     cues = captions.explode_cue_blocks(rows).unionByName(captions.explode_cue_events(rows))
     return cues.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def resumable(stream: DataFrame, store: str, checkpoint: str, keys: list[str], fn: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Applies fn to the keys of each batch that the store has no result for, and appends. A rerun, or a batch that comes twice, adds nothing."""
+def resumable(stream: DataFrame, store: str, checkpoint: str, keys: list[str], fn: Callable[[DataFrame], DataFrame], buckets: int = 64) -> StreamingQuery:
+    """Applies fn to the keys of each batch that the store has no result for, and appends. A rerun, or a batch that comes twice, adds nothing.
+
+    The store is partitioned by a hash of the keys (``bucket``), and a batch reads the buckets of its own keys only.
+    """
+    spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    done = fn(spark.createDataFrame([], stream.schema)).withColumn("bucket", bucket)
+    done.write.mode("ignore").partitionBy("bucket").parquet(store)  # from here on there is a store
 
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
         fresh = df.dropDuplicates(keys)
-        try:
-            fresh = fresh.join(spark.read.parquet(store).select(*keys), keys, "left_anti")
-        except Exception as e:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fn(fresh).write.mode("append").parquet(store)
+        own = [r.bucket for r in fresh.select(bucket.alias("bucket")).distinct().collect()]  # ``buckets`` numbers at most
+        stored = df.sparkSession.read.schema(done.schema).parquet(store).where(F.col("bucket").isin(own)).select(*keys)
+        fn(fresh.join(stored, keys, "left_anti")).withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(store)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -59,35 +62,45 @@ def cue_bursts(df: DataFrame, max_gap: float = 2.5) -> DataFrame:
     return rows.groupBy("file_id", F.session_window("cue_ts", gap)).agg(F.count("*").alias("cues"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).select("file_id", "start_s", "end_s", "cues")
 
 
-def live_paragraphs(stream: DataFrame, max_gap: float = 2.5, min_words: int = 18, max_words: int = 120) -> DataFrame:
+LIVE = captions.PARAGRAPHS + ", late_cues int"
+
+
+def live_paragraphs(stream: DataFrame, max_gap: float = 2.5, min_words: int = 18, max_words: int = 120, idle: str | None = None) -> DataFrame:
     """Paragraphs of each file as its cues arrive, with the fold's state carried over.
 
-    Cues must come in order; a row whose ``last`` is true ends the file and flushes it. A cue behind one that
-    was taken already is left out. The state is the current tokens, 160 of history, and the last cue's place.
+    Cues must come in order; a row whose ``last`` is true ends the file and flushes it, and so does a time of ``idle``
+    (such as "10 minutes") without any cue, if one is given: then the stream needs a trigger that goes on, as one that
+    ends when all is read would wait for it. A cue behind one that was taken already is left out and counted: a row without a paragraph gives in
+    ``late_cues`` how many were since the row before. The state is the current tokens, the last keys, and the last cue's place.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     ship(stream.sparkSession)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def fold(key, frames, state):
-        if state.exists:
-            p, last, n = pickle.loads(state.get[0])
-        else:
-            p, last, n = captions.Paragrapher(max_gap, min_words, max_words), -1, 0
-        ended = False
-        rows = pd.concat(list(frames)).sort_values("cue_seq")
-        for seq, start, end, text, final in zip(rows["cue_seq"], rows["start_s"], rows["end_s"], rows["text"], rows["last"]):
-            ended |= bool(final)
-            if seq > last:
-                p.add(start, end, text or "")
-                last = int(seq)
+        p, last, n = pickle.loads(state.get[0]) if state.exists else (captions.Paragraphs(max_gap, min_words, max_words), -1, 0)
+        ended, late = state.hasTimedOut, 0
+        if not ended:
+            rows = pd.concat(list(frames)).sort_values("cue_seq")
+            for seq, start, end, text, final in zip(rows["cue_seq"], rows["start_s"], rows["end_s"], rows["text"], rows["last"]):
+                ended |= bool(final)
+                if seq > last:
+                    p.take(start, end, text or "")
+                    last = int(seq)
+                else:
+                    late += 1
         if ended:
-            p.flush()
-            state.remove()
+            p.close()
         done, p.done = p.done, []
-        if not ended:
+        if state.hasTimedOut or ended:
+            state.remove()
+        else:
             state.update((pickle.dumps((p, last, n + len(done))),))
-        yield pd.DataFrame([(key[0], n + i, s, t) for i, (s, t) in enumerate(done)], columns=["file_id", "para_seq", "start_s", "text"])
+            if wait:
+                state.setTimeoutDuration(wait)
+        out = [(key[0], n + i, s, t, 0) for i, (s, t) in enumerate(done)] + ([(key[0], None, None, None, late)] if late else [])
+        yield pd.DataFrame(out, columns=["file_id", "para_seq", "start_s", "text", "late_cues"]).astype({"para_seq": "Int32", "late_cues": "int32"})
 
     rows = stream.select("file_id", "cue_seq", "start_s", "end_s", "text", "last")
-    return rows.groupBy("file_id").applyInPandasWithState(fold, captions.PARAGRAPHS, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("file_id").applyInPandasWithState(fold, LIVE, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)

@@ -76,7 +76,9 @@ def test_near_duplicates_against_brute_force(spark):
             for j in range(len(texts)):
                 if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
                     root[j] = root[i] = min(root[i], root[j])
+    root[len(texts) - 1] = len(texts) - 1  # a null text is no empty one
     assert dict(N.near_duplicates(df).collect()) == dict(enumerate(root))
+    assert dict(N.near_duplicates(df, common=0).collect()) == dict(enumerate(root))
 
 
 def test_stream_of_files_equals_batch(spark, tmp_path, rows):
@@ -105,7 +107,68 @@ def test_live_paragraphs_equal_batch(spark, tmp_path, rows):
     ordered = spark.readStream.schema(cues.withColumn("last", last).schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
     q = jobs.live_paragraphs(ordered).writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(C.build_paragraphs(cues))
+    assert rows(spark.read.parquet(str(tmp_path / "out")).where("text is not null").drop("late_cues")) == rows(C.build_paragraphs(cues))
+
+
+def test_live_paragraphs_count_late_cues_and_flush_on_a_timer(spark, tmp_path):
+    import time
+
+    schema = "file_id string, cue_seq int, start_s double, end_s double, text string, last boolean"
+    put = lambda *r: spark.createDataFrame([*r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put(("a", 0, 0.0, 1.0, "one two", False), ("a", 1, 1.0, 2.0, "three", False))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = jobs.live_paragraphs(stream, idle="4 seconds").writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+
+    def wait(wanted):
+        for _ in range(80):
+            time.sleep(0.5)
+            got = {tuple(r) for r in spark.read.schema(jobs.LIVE).parquet(str(tmp_path / "out")).select("file_id", "text", "late_cues").collect()} if (tmp_path / "out").exists() else set()
+            if wanted <= got:
+                return got
+        return got
+
+    try:
+        assert ("a", "one two three", 0) in wait({("a", "one two three", 0)})
+        put(("b", 0, 0.0, 1.0, "x y", False))
+        time.sleep(2)
+        put(("b", 0, 0.0, 1.0, "late", False), ("b", 1, 1.0, 2.0, "z.", True))
+        assert {("b", "x y z.", 0), ("b", None, 1)} <= wait({("b", "x y z.", 0), ("b", None, 1)})
+    finally:
+        q.stop()
+
+
+def test_raw_responses(spark, tmp_path, rows):
+    for name, text in {"page-0001.json": '\ufeff{"choices": []}\n', "page-0002.json": "{broken", "page-0003.txt": "[1]", "page-0004": " \n"}.items():
+        (tmp_path / name).write_text(text)
+    got = rows(readers.read_responses(spark, str(tmp_path)).drop("path"))
+    assert got == [("page-0001", '{"choices": []}', None), ("page-0002", "{broken", "invalid JSON"), ("page-0003", "[1]", "not a JSON object"), ("page-0004", "", "empty response")]
+
+
+def test_rows_are_numbered_in_ranges(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS v", "id % 3 AS g")
+    for n in (1, 7):
+        out = graph.numbered(df, "at", "v", partitions=n).collect()
+        assert all(r["at"] == r.v + 1 for r in out) and len(out) == 1000
+    assert graph.numbered(df.where("v < 0"), "at", "v").count() == 0
+
+
+def test_summary_reads_elements_once(spark):
+    e = S.statement_elements(spark.createDataFrame([(1, '<R><FlexStatement currency="USD" fromDate="2024-02-01"/><ChangeInNAV total="5" currency="EUR"/><ChangeInNAV total="5"/><CashReportCurrency endingCash="-1"/></R>'), (2, "<R/>"), (3, "no")], "statement_id long, xml string"))
+    s = S.summarize_statements(e, include_positions=True)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") <= 3
+    got = {r.statement_id: r for r in s.collect()}
+    assert set(got) == {1, 2} and got[1].base_currency == "USD" and got[1].report_dates == ["2024-02-01"] and [n.value for n in got[1].nav_candidates] == ["5"] and got[1].cash[0].currency == "unknown" and got[2].cash is None
+
+
+def test_names_are_found_by_parts(spark, rows):
+    names = ["Alpha Beta", "alphabet", "Gamma", "a", "Beta"]
+    things = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, name string")
+    refs = spark.createDataFrame([(r,) for r in ("alpha", "PHA B", "zz", "a", "am", "", "alphabets", "id:9", "beta")], "ref string")
+    got = {}
+    for r in T.resolve_refs(refs, things).collect():
+        got.setdefault(r.ref, set()).add((r.match, r.name))
+    assert got == {"alpha": {("part", "Alpha Beta"), ("part", "alphabet")}, "PHA B": {("part", "Alpha Beta")}, "a": {("name", "a")}, "am": {("part", "Gamma")}, "beta": {("name", "Beta")}}
 
 
 def test_json_results(spark, tmp_path):
