@@ -11,7 +11,7 @@ token, the library gets the whole text.
 
 Defined results: null and empty texts have no ids; very long texts are encoded whole, and a batch holds one
 of them at least; repeated rows are encoded each; an empty table gives an empty result; ids of documents may
-be null or equal; other columns are kept (``encode``/``decode`` reject an output name that is taken).
+be null or equal; other columns are kept, and an added column whose name is taken gets an underscore behind it.
 """
 
 import base64
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pieces, prepare, resident, texts
+from .common import free, pieces, prepare, resident, texts
 
 
 def byte_characters() -> dict[int, str]:
@@ -203,9 +203,8 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.Array:
 
 
 def encode(docs: DataFrame, spec: dict, text: str = "text") -> DataFrame:
-    """Adds ``ids`` (array of int), ``starts`` (array of int: offsets of characters) and ``n_split`` (ids that begin inside a character)."""
-    if taken := {"ids", "starts", "n_split"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns exist already: {sorted(taken)}")
+    """Adds ``ids`` (array of int), ``starts`` (array of int: offsets of characters) and ``n_split`` (ids that begin inside a character). A name that is taken gets an underscore behind it."""
+    added = free(docs, "ids", "starts", "n_split")
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -215,16 +214,15 @@ def encode(docs: DataFrame, spec: dict, text: str = "text") -> DataFrame:
             strings = texts(batch, text)
             ids = [np.frombuffer(x, enc.dtype).astype(np.int32) for x in enc.encode(strings)]
             starts, split = zip(*(char_starts(s.encode(), i, widths) if s else (i, 0) for s, i in zip(strings, ids))) if strings else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids, pa.int32()), _lists(list(starts), pa.int32()), pa.array(split, pa.int32())], names=[*batch.schema.names, "ids", "starts", "n_split"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids, pa.int32()), _lists(list(starts), pa.int32()), pa.array(split, pa.int32())], names=[*batch.schema.names, *added])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("n_split", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(added, (T.ArrayType(T.IntegerType()), T.ArrayType(T.IntegerType()), T.IntegerType())))])
     return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, spec: dict, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes of the ids as ``out`` (binary). An id outside the vocabulary is an error; null ids decode to null."""
-    if out.lower() in {c.lower() for c in rows.columns}:
-        raise ValueError(f"column exists already: {out}")
+    """Adds the bytes of the ids as ``out`` (binary), with an underscore behind a name that is taken. An id outside the vocabulary is an error; null ids decode to null."""
+    (out,) = free(rows, out)
     prepare(rows.sparkSession)
 
     def run(batches):

@@ -12,7 +12,7 @@ Defined results: a null source is a source of its own; a source without a weight
 left out; a null text is kept as it is, and drawn like an empty one; a null id is drawn by its text; rows of
 equal id and text draw equal counts and keys, and are dealt to several tasks by their place in the input;
 very long texts are hashed whole and moved once; an empty table gives an empty result; other columns, of any
-name but ``copy``, ``n_copies`` and ``shuffle_key`` (an error), are kept.
+name, are kept, and an added column whose name is taken gets an underscore behind it.
 """
 
 from pyspark.sql import DataFrame
@@ -61,20 +61,18 @@ def repetition_rates(docs: DataFrame, weights: DataFrame, size: float = 1.0, sou
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, size: float = 1.0, seed: str = "mix", source: str = "source", text: str = "text", partitions: int | None = None) -> DataFrame:
-    """The documents, each as often as drawn, in shuffled order; with copy (from 1), n_copies and shuffle_key."""
-    if taken := {"copy", "n_copies", "shuffle_key"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns exist already: {sorted(taken)}")
+    """The documents, each as often as drawn, in shuffled order; with copy (from 1), n_copies and shuffle_key, or free names like these."""
     rates = cut(repetition_rates(docs, tempered_weights(docs, source=source) if weights is None else weights, size, source))
-    name, draws, cdf, body, place = free(docs, "source_key", "draws", "cdf", "text_hash", "place")
+    copy, n_copies, shuffle_key, name, draws, cdf, body, place = free(docs, "copy", "n_copies", "shuffle_key", "source_key", "draws", "cdf", "text_hash", "place")
     keyed = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     table = rates.select(keyed("source").alias(name), F.col("pieces").alias(draws), F.col("cdf").alias(cdf))
     rows = docs.withColumn(name, keyed(source)).withColumn(body, F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).withColumn(place, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
     rated = join_keyed(rows, table, name, body)
     numbers = F.transform(F.sequence(F.lit(1), F.col(draws)), lambda j: uniform(seed, F.col("doc_id"), F.col(body), j))
     count = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter(cdf, lambda c: c <= u)))
-    drawn = rated.where(F.col(draws).isNotNull()).withColumn("n_copies", count).where("n_copies > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    key = F.conv(F.substring(digest(seed, F.lit("order"), F.col("doc_id"), F.col(body), F.col("copy")), 1, 15), 16, 10).cast("long")
+    drawn = rated.where(F.col(draws).isNotNull()).withColumn(n_copies, count).where(F.col(n_copies) > 0)
+    copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_copies))))
+    key = F.conv(F.substring(digest(seed, F.lit("order"), F.col("doc_id"), F.col(body), F.col(copy)), 1, 15), 16, 10).cast("long")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = copies.select(*docs.columns, "copy", "n_copies", key.alias("shuffle_key"), place).repartition(n, "shuffle_key", place)
-    return dealt.sortWithinPartitions("shuffle_key", "doc_id", "copy").drop(place)
+    dealt = copies.select(*docs.columns, copy, n_copies, key.alias(shuffle_key), place).repartition(n, shuffle_key, place)
+    return dealt.sortWithinPartitions(shuffle_key, "doc_id", copy).drop(place)

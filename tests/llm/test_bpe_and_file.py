@@ -5,7 +5,6 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers as P
-import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -67,8 +66,8 @@ def test_round_trip_and_offsets(spark):
             assert start == (len(head.decode()) if whole else len(head.decode(errors="ignore")))
             at += len(table[i])
         assert split == r.n_split
-    with pytest.raises(ValueError):
-        bpe.encode(df.withColumn("IDS", F.lit(1)), RANKS)
+    taken = bpe.decode(bpe.encode(df.withColumn("IDS", F.lit(1)).withColumn("Decoded", F.lit("mine")), RANKS), RANKS, "ids_").collect()
+    assert {(r.IDS, r.Decoded) for r in taken} == {(1, "mine")} and all(bytes(r.decoded_) == (texts[r.doc_id] or "").encode() for r in taken)
     assert bpe.encode(df.where("doc_id < 0"), RANKS).count() == 0
 
 

@@ -113,8 +113,10 @@ def test_poisson_odd_rows(spark):
     out = mixing.mix(df, weights, size=40.0)
     assert {r.source for r in out.collect()} == {"a"} and out.count() > 100  # a mean of 66 copies, in pieces of 8
     assert mixing.mix(df.where("doc_id < 0")).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(df.withColumn("Copy", F.lit(1)))
+    taken = mixing.mix(df.withColumn("Copy", F.lit("mine")).withColumn("n_copies", F.lit("mine")), weights, size=40.0)
+    assert taken.columns[-3:] == ["copy_", "n_copies_", "shuffle_key"]
+    again = [(r.doc_id, r.text, r.source, r.copy_, r.n_copies_) for r in taken.collect() if r.Copy == r.n_copies == "mine"]
+    assert sorted(again, key=repr) == sorted(((r.doc_id, r.text, r.source, r.copy, r.n_copies) for r in out.collect()), key=repr)
 
 
 def brute_units(text):
