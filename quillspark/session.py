@@ -2,11 +2,13 @@
 
 import os
 import tempfile
+import threading
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_shipping = threading.Lock()
 
 
 def get_session(master: str = "local[8]", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -19,20 +21,21 @@ def get_session(master: str = "local[8]", partitions: int = 8, memory: str = "8g
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application (as --py-files would)."""
+    """Sends this package to the executors, once for each application (as --py-files would), whichever thread asks first."""
     context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(), "quillspark.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    context.addPyFile(target)
-    _shipped.add(context.applicationId)
+    with _shipping:
+        if context.applicationId in _shipped:
+            return
+        root = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(), "quillspark.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        context.addPyFile(target)
+        _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

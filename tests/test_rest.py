@@ -1,9 +1,12 @@
+import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from quillspark import session
 from quillspark.operators import graph, notes as N, pages as P, statements as S, tasks as T
 from quillspark.plans import fixtures as I
 from quillspark.sources import readers
@@ -179,3 +182,12 @@ def test_json_results(spark, tmp_path):
     (tmp_path / "s.xml").write_text("<a/>")
     (tmp_path / "t.xml").write_text("hello")
     assert sorted(str(x.error) for x in readers.read_statements(spark, str(tmp_path / "*.xml")).collect()) == ["None", "not XML"]
+
+
+def test_queries_may_start_in_several_threads(spark, monkeypatch):
+    added = []
+    monkeypatch.setattr(session, "_shipped", set())
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: (time.sleep(0.05), added.append(path)))
+    with ThreadPoolExecutor(8) as threads:
+        list(threads.map(lambda _: session.ship(spark), range(8)))
+    assert len(added) == 1
