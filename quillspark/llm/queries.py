@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, host_rules, language, line_dedup, mixing, quality, secrets, simhash, token_file
+from . import alignment, bpe, hamming, host_rules, language, licenses, line_dedup, mixing, quality, secrets, simhash, token_file, whitening
 from .common import fresh_path, read
 
 RANKS = {"ranks": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 FILE = {"file": public_tokenizers.path("byte_bpe_50k.json")}
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,20 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(read(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_byte_bpe, op3_mixing, op4_hamming, op5_quality, op6_line_dedup, op7_language, op8_token_file, op9_simhash, op10_host_rules)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.to_json("spans").alias("spans"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), FILE, PIECES)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_byte_bpe, op3_mixing, op4_hamming, op5_quality, op6_line_dedup, op7_language, op8_token_file, op9_simhash, op10_host_rules, op11_whitening, op12_licenses, op13_alignment)}
 
 ORACLE: dict[str, str] = {}
 
