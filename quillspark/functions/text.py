@@ -85,12 +85,39 @@ def format_text(t: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: A prime, so that sums and products of smaller numbers stay within a long.
+_PRIME, _BASE = (1 << 31) - 1, 1_000_003
+#: Up to so many sizes are compared element by element; beyond, all are told apart by hashes in one pass.
+_FEW = 4
+
+
 def overlap(a: Column | str, b: Column | str, limit: int) -> Column:
-    """The largest n for which the last n of a equal the first n of b; 0 if none."""
+    """The largest n for which the last n of a equal the first n of b; 0 if none, or where either is null.
+
+    Only sizes at which both outer tokens agree are compared. Where those are many (a word said over and over) one pass
+    over the tokens keeps a hash of b's beginning and of a's end and the largest size at which they agree, which is
+    then compared; so the work grows with the number of tokens, not with its square.
+    """
     a, b = col(a), col(b)
     most = F.least(F.size(a), F.size(b), F.lit(limit))
-    sizes = F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda n: (n <= most) & (F.slice(a, -n, n) == F.slice(b, F.lit(1), n)))
-    return F.when(most > 0, F.coalesce(F.array_max(sizes), F.lit(0))).otherwise(0)
+    at = lambda x, i: F.get(x, i)
+    same = lambda n: F.slice(a, -n, n) == F.slice(b, F.lit(1), n)
+    sizes = F.sequence(F.lit(1), F.greatest(most, F.lit(1)))
+    outer = F.filter(sizes, lambda n: (n <= most) & at(a, F.size(a) - n).eqNullSafe(at(b, F.lit(0))) & at(a, F.size(a) - 1).eqNullSafe(at(b, n - 1)))
+    by_search = lambda found: F.coalesce(F.array_max(F.filter(found, same)), F.lit(0))
+    code = lambda x: F.pmod(F.xxhash64(x), F.lit(_PRIME))
+
+    def step(s: Column, n: Column) -> Column:
+        head = F.pmod(s["head"] * _BASE + code(at(b, n - 1)), F.lit(_PRIME))
+        end = F.pmod(code(at(a, F.size(a) - n)) * s["power"] + s["end"], F.lit(_PRIME))
+        return F.struct(head.alias("head"), end.alias("end"), F.pmod(s["power"] * _BASE, F.lit(_PRIME)).alias("power"), F.when(head == end, n).otherwise(s["best"]).alias("best"))
+
+    zero = F.lit(0).cast("long")
+    by_hash = F.aggregate(sizes, F.struct(zero.alias("head"), zero.alias("end"), F.lit(1).cast("long").alias("power"), F.lit(0).alias("best")), step)["best"]
+    # Equal hashes of different tokens are as good as impossible; should they occur, the search decides.
+    checked = lambda best, found: F.when((best == 0) | same(F.greatest(best, F.lit(1))), best).otherwise(by_search(found))
+    found = F.transform(F.array(F.struct(outer.alias("sizes"))), lambda s: F.when(F.size(s["sizes"]) == 0, 0).when(F.size(s["sizes"]) <= _FEW, by_search(s["sizes"])).otherwise(F.transform(F.array(by_hash), lambda n: checked(n, s["sizes"]))[0]))
+    return F.when(most > 0, found[0]).otherwise(0)
 
 
 def sanitize_text_layer(c: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.names import free
 from ..session import ship
 
 KEYS = ["recording_id", "index"]
@@ -131,16 +132,17 @@ def check_reconciliation(attempts: DataFrame) -> DataFrame:
     get = lambda v, path, kind: F.try_variant_get(v, path, kind)
     kind = lambda v, path: F.coalesce(F.schema_of_variant(get(v, path, "variant")), F.lit("VOID"))
     content = F.when(kind(response, "$.choices[0].message.content") == "STRING", get(response, "$.choices[0].message.content", "string"))
-    rows = attempts.withColumn("__content", content).withColumn("__value", F.try_parse_json("__content"))
-    value = F.col("__value")
+    own, parsed = free(attempts, "content", "value")
+    rows = attempts.withColumn(own, content).withColumn(parsed, F.try_parse_json(own))
+    value = F.col(parsed)
     items = get(value, "$.uncertainties", "array<variant>")
     shape = (kind(value, "$.text") == "STRING") & kind(value, "$.uncertainties").startswith("ARRAY")
     number = F.lit(r"^(BIGINT|DOUBLE|DECIMAL.*|FLOAT|INT|SMALLINT|TINYINT)$")
     entry = F.exists(items, lambda u: ~(kind(u, "$.reason") == "STRING"))
     offset = F.exists(items, lambda u: ~(F.rlike(kind(u, "$.offset_seconds"), number) & F.coalesce(get(u, "$.offset_seconds", "double").between(F.lit(0.0), F.col("audio_duration")), F.lit(False))))
-    error = F.when(~F.coalesce(get(response, "$.choices[0].finish_reason", "string") == "stop", F.lit(False)), F.lit("incomplete")).when(F.col("__content").isNull(), F.lit("no text")).when(value.isNull(), F.lit("invalid JSON")).when(~shape, F.lit("invalid schema")).when(F.coalesce(entry, F.lit(False)), F.lit("invalid uncertainty entry")).when(F.coalesce(offset, F.lit(False)), F.lit("invalid uncertainty timestamp"))
+    error = F.when(~F.coalesce(get(response, "$.choices[0].finish_reason", "string") == "stop", F.lit(False)), F.lit("incomplete")).when(F.col(own).isNull(), F.lit("no text")).when(value.isNull(), F.lit("invalid JSON")).when(~shape, F.lit("invalid schema")).when(F.coalesce(entry, F.lit(False)), F.lit("invalid uncertainty entry")).when(F.coalesce(offset, F.lit(False)), F.lit("invalid uncertainty timestamp"))
     final = F.struct(get(value, "$.text", "string").alias("text"), F.transform(items, lambda u: F.struct(get(u, "$.offset_seconds", "double").alias("offset_seconds"), get(u, "$.reason", "string").alias("reason"))).alias("uncertainties"))
-    return rows.withColumn("error", error).withColumn("final", F.when(F.col("error").isNull(), final)).drop("__content", "__value")
+    return rows.withColumn("error", error).withColumn("final", F.when(F.col("error").isNull(), final)).drop(own, parsed)
 
 
 def first_valid_attempt(checked: DataFrame, limit: int = 2) -> DataFrame:
@@ -151,8 +153,9 @@ def first_valid_attempt(checked: DataFrame, limit: int = 2) -> DataFrame:
 
 
 def pair_drafts(drafts: DataFrame, models: list[str]) -> DataFrame:
-    """A chunk's drafts side by side, and the models it lacks."""
-    wide = drafts.groupBy(*KEYS).pivot("model", models).agg(F.first("text"))
+    """A chunk's drafts side by side, and the models it lacks. Of a model's several drafts the first attempt counts; where there are no attempts, or equal ones, the first text in order."""
+    order = F.struct("attempt", "text") if "attempt" in drafts.columns else F.col("text")
+    wide = drafts.groupBy(*KEYS).pivot("model", models).agg(F.min_by("text", order))
     return wide.withColumn("missing", F.array_compact(F.array(*(F.when(F.col(f"`{m}`").isNull(), F.lit(m)) for m in models))))
 
 

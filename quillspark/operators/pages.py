@@ -171,24 +171,30 @@ def all_results(*frames: DataFrame) -> DataFrame:
     return out
 
 
+#: Where a page begins: four digits, and more from page 10,000 on. What looks like it inside a page's text gets a backslash in the document.
+MARK = r"<!-- PAGE (\d{4,}) -->"
+_HIDE = (r"<!-- (\\*)PAGE (\d{4,}) -->", r"<!-- $1\\PAGE $2 -->")
+_SHOW = (r"<!-- (\\*)\\PAGE (\d{4,}) -->", r"<!-- $1PAGE $2 -->")
+
+
 def canonical_documents(bundles: DataFrame, results: DataFrame) -> DataFrame:
     """bundle_id and document of each bundle all of whose pages are there and ok. Completeness is counted first, so the texts of other bundles are not gathered."""
     good = results.groupBy("bundle_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"))
     complete = bundles.select("bundle_id", "page_count").join(good, "bundle_id").where("n = page_count and ok = n").select("bundle_id")
     body = F.regexp_replace(X.normalize_placeholders(F.regexp_replace("ocr_markdown", r"(?U)^\s+|\s+$", "")), "^$", "")
-    page = F.concat(F.format_string("<!-- PAGE %04d -->\n\n", "page_number"), body)
+    page = F.concat(F.format_string("<!-- PAGE %04d -->\n\n", "page_number"), F.regexp_replace(body, *_HIDE))
     pages = results.join(complete, "bundle_id", "left_semi").select("bundle_id", "page_number", page.alias("page"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page"))), lambda p: p["page"]), "\n\n")
     return pages.groupBy("bundle_id").agg(whole.alias("d")).select("bundle_id", F.concat(F.regexp_replace("d", r"(?U)^\s+|\s+$", ""), F.lit("\n")).alias("document"))
 
 
 def split_pages(documents: DataFrame) -> DataFrame:
-    """bundle_id, page_number and text of each page of a complete document: the inverse of canonical_documents."""
-    mark = r"<!-- PAGE (\d{4}) -->\n\n"
+    """bundle_id, page_number and text of each page of a complete document: the inverse of canonical_documents, whatever the pages' numbers and texts."""
+    mark = rf"{MARK}\n\n"
     numbers = F.transform(F.regexp_extract_all("document", F.lit(mark), F.lit(1)), lambda x: x.cast("int"))
     texts = F.slice(F.split("document", mark), 2, 1 << 30)
     rows = documents.select("bundle_id", F.explode(F.arrays_zip(numbers.alias("page_number"), texts.alias("text"))).alias("x"))
-    return rows.select("bundle_id", F.col("x.page_number").alias("page_number"), F.regexp_replace("x.text", r"\n{1,2}$", "").alias("text"))
+    return rows.select("bundle_id", F.col("x.page_number").alias("page_number"), F.regexp_replace(F.regexp_replace("x.text", r"\n{1,2}$", ""), *_SHOW).alias("text"))
 
 
 def run_trace(pages: DataFrame, images: DataFrame, base_dpi: int = 300) -> DataFrame:
@@ -211,7 +217,7 @@ def validate_bundles(bundles: DataFrame, results: DataFrame, documents: DataFram
     ) if "sha256" in results.columns else None
     if per is None:
         return validate_bundles(bundles, results.join(bundles.select("bundle_id", "sha256"), "bundle_id"), documents)
-    marks = F.transform(F.regexp_extract_all("document", F.lit(r"<!-- PAGE (\d{4}) -->"), F.lit(1)), lambda x: x.cast("int"))
+    marks = F.transform(F.regexp_extract_all("document", F.lit(MARK), F.lit(1)), lambda x: x.cast("int"))
     docs = documents.select("bundle_id", marks.alias("marks"))
     joined = bundles.select("bundle_id", "page_count").join(per, "bundle_id", "left").join(docs, "bundle_id", "left")
     return joined.select("bundle_id", F.coalesce((F.col("n") == F.col("page_count")) & F.col("ok"), F.lit(False)).alias("pages_ok"), F.coalesce("none_truncated", F.lit(False)).alias("none_truncated"), F.coalesce(F.col("marks") == F.sequence(F.lit(1), F.col("page_count")), F.lit(False)).alias("markers_in_order"), F.coalesce("images_match", F.lit(False)).alias("images_match"), F.coalesce("checksum_matches", F.lit(False)).alias("checksum_matches"))

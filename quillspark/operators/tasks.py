@@ -6,6 +6,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free
 from ..session import cut
 
 
@@ -90,17 +91,25 @@ def filter_column(expression: str, today: date, me: int | None = None, subtree=N
     return out
 
 
-def project_subtree(projects: DataFrame, root: str, depth: int = 20) -> DataFrame:
-    """project_id of the projects with that name and all below them. A project met again ends its branch, so a cycle ends too."""
-    spark = projects.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE below(project_id, level) AS (
-             SELECT project_id, 0 FROM {projects} WHERE lower(name) = lower({root})
-             UNION ALL
-             SELECT p.project_id, level + 1 FROM {projects} p JOIN below b ON p.parent_id = b.project_id WHERE level < {depth})
-           SELECT DISTINCT project_id FROM below""",
-        projects=projects, root=root, depth=depth,
-    )
+def project_subtree(projects: DataFrame, root: str) -> DataFrame:
+    """project_id of the projects with that name and all below them, however deep.
+
+    Every project points to its parent; in each round pointers are doubled, and a project that points to a found one is
+    found. After k rounds all within 2^k - 1 levels are known, and as the levels of a tree follow each other, a round that
+    finds nothing is the last. So a chain of n levels takes about log2(n) rounds, each of which ends in files, and a cycle
+    ends as a chain does. A project with two parents is below both; null ids are no projects, and null parents none.
+    """
+    found = cut(projects.where(F.lower("name") == root.lower()).where("project_id is not null").select("project_id").distinct())
+    up = projects.where("project_id is not null and parent_id is not null and project_id <> parent_id").select("project_id", "parent_id").distinct()
+    up = up.join(found, "project_id", "left_anti")
+    while True:
+        new = cut(up.join(found.withColumnRenamed("project_id", "parent_id"), "parent_id", "left_semi").select("project_id").distinct())
+        if new.isEmpty():
+            return found
+        found = cut(found.unionByName(new))
+        # Whoever is found needs no pointer any more, and whoever has come to a root's end never will be.
+        above = up.select(F.col("project_id").alias("parent_id"), F.col("parent_id").alias("above"))
+        up = cut(up.join(new, "project_id", "left_anti").join(above, "parent_id").select("project_id", F.col("above").alias("parent_id")).distinct())
 
 
 def filter_tasks(tasks: DataFrame, expression: str, today: date, me: int | None = None, projects: DataFrame | None = None) -> DataFrame:
@@ -109,8 +118,8 @@ def filter_tasks(tasks: DataFrame, expression: str, today: date, me: int | None
     out, flags = tasks, {}
     if projects is not None:
         out = out.drop("project").join(projects.select("project_id", F.col("name").alias("project")), "project_id", "left")
-        for i, name in enumerate(dict.fromkeys(n.replace('"', "").strip() for n in names)):
-            flags[name] = f"__tree{i}"
+        for name in dict.fromkeys(n.replace('"', "").strip() for n in names):
+            (flags[name],) = free(out, "in_tree")
             out = out.join(project_subtree(projects, name).withColumn(flags[name], F.lit(True)), "project_id", "left")
     chosen = filter_column(expression, today, me, lambda name: F.coalesce(F.col(flags[name]), F.lit(False)))
     return out.where(chosen).drop(*flags.values()).select(*tasks.columns)

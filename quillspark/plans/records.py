@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import captions, notes as N, statements as S, tasks as T
 from ..session import shared_dir
 from ..sources import readers
-from ..sources.sinks import to_json_docs, write_table, write_transcripts
+from ..sources.sinks import read_table, to_json_docs, write_table, write_transcripts
 from ..streaming import jobs
 from . import fixtures as I
 from .captions import CLEAN, ROLLING, SQL as CAPTIONS
@@ -538,17 +538,24 @@ SQL["snk1_write_transcripts"] = f"WITH a AS ({AGG1}) SELECT file_id, 'md' AS kin
 
 @query
 def snk2_overwrite_rule(spark, sf):
-    """What is there is not replaced unasked, and is when asked; each row says whether the first try was refused."""
+    """What is there is not replaced unasked, stays when a replacement fails midway, and is replaced when asked, from itself. Each row says whether the first try was refused, and how many rows there were after it and after the failure."""
     path, rows = _folder(spark, "table"), I.tasks(spark, sf).select("task_id", "priority")
     write_table(rows.where("priority <= 2"), path)
+    count = lambda: read_table(spark, path).agg(F.count("*").alias("n")).first().n
     try:
         write_table(rows, path)
         refused = False
-    except AnalysisException:
+    except FileExistsError:
         refused = True
-    kept = spark.read.parquet(path).agg(F.count("*").alias("n")).first().n
-    write_table(rows.where("priority > 2"), path, overwrite=True)
-    return spark.read.parquet(path).withColumn("refused", F.lit(refused)).withColumn("kept", F.lit(kept).cast("long"))
+    kept = count()
+    last = rows.agg(F.max("task_id")).first()[0]
+    try:
+        write_table(rows.withColumn("priority", F.when(F.col("task_id") == last, F.raise_error(F.lit("fails midway")).cast("int")).otherwise(F.col("priority"))), path, overwrite=True)
+        survived = 0
+    except PySparkException:
+        survived = count()
+    write_table(read_table(spark, path).unionByName(rows.where("priority > 2")), path, overwrite=True)
+    return read_table(spark, path).withColumn("refused", F.lit(refused)).withColumn("kept", F.lit(kept).cast("long")).withColumn("survived", F.lit(survived).cast("long"))
 
 
-SQL["snk2_overwrite_rule"] = f"WITH {TASKS} SELECT task_id, priority, true AS refused, (SELECT count(*) FROM t WHERE priority <= 2) AS kept FROM t WHERE priority > 2"
+SQL["snk2_overwrite_rule"] = f"WITH {TASKS}, k AS (SELECT count(*) AS n FROM t WHERE priority <= 2) SELECT task_id, priority, true AS refused, k.n AS kept, k.n AS survived FROM t, k"

@@ -1,19 +1,68 @@
 """Rows to files."""
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
+
+def _aside(path: str, kind: str) -> str:
+    """A hidden folder beside the path; readers of the parent folder pass over it."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return f"{folder}/.{name}.{kind}" if folder else f".{name}.{kind}"
+
+
+def _restore(spark: SparkSession, path: str) -> None:
+    """Brings back what a writer that died between its two renames had put aside."""
+    kept = _aside(path, "previous")
+    if not files.exists(spark, path) and files.exists(spark, kept):
+        files.move(spark, kept, path)
+
+
+def write_table(df: DataFrame, path: str, overwrite: bool = False, format: str = "parquet", partition_by: Sequence[str] = ()) -> None:
+    """Writes a table aside, then renames it into its place. What is there is not replaced unless asked.
+
+    The rows are computed and written before anything that exists is touched: a write that fails leaves the old table as it
+    was, and a table may be overwritten from a query that reads it. The swap is two renames, the old table out and the new
+    one in; if the second fails the first is taken back, and if the writer dies between them, the next ``write_table`` or
+    ``read_table`` of the path does so. A reader that is at work while a table is replaced fails; it never reads both.
+    """
+    spark = df.sparkSession
+    _restore(spark, path)
+    if not overwrite and files.exists(spark, path):
+        raise FileExistsError(f"[PATH_ALREADY_EXISTS] {path} already exists")
+    staged, kept = _aside(path, f"staged-{uuid.uuid4().hex}"), _aside(path, "previous")
+    try:
+        df.write.format(format).partitionBy(*partition_by).save(staged)
+        if overwrite and files.exists(spark, path):
+            files.delete(spark, kept)  # the table is there, so this is what an earlier writer had no time to delete
+            files.move(spark, path, kept)
+            try:
+                files.move(spark, staged, path)
+            except BaseException:
+                _restore(spark, path)
+                raise
+            files.delete(spark, kept)
+        else:
+            files.move(spark, staged, path)
+    finally:
+        files.delete(spark, staged)
+
 
-def write_table(df: DataFrame, path: str, overwrite: bool = False, format: str = "parquet") -> None:
-    """Refuses to replace what is there unless asked; Spark writes aside and swaps on commit."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").format(format).save(path)
+def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """What ``write_table`` wrote last."""
+    _restore(spark, path)
+    return spark.read.format(format).load(path)
 
 
 def write_transcripts(transcripts: DataFrame, path: str, overwrite: bool = False) -> None:
-    """file_id, markdown and text, a folder for each kind."""
+    """file_id, markdown and text, a folder for each kind, by ``write_table``."""
     kinds = F.array(F.struct(F.lit("md").alias("kind"), F.col("markdown").alias("document")), F.struct(F.lit("txt").alias("kind"), F.col("text").alias("document")))
     rows = transcripts.select("file_id", F.explode(kinds).alias("x")).select("file_id", "x.kind", "x.document")
-    rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("kind").parquet(path)
+    write_table(rows, path, overwrite, partition_by=["kind"])
 
 
 def to_json_docs(df: DataFrame, key: str, error: str | None = None) -> DataFrame:
