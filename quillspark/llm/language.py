@@ -4,29 +4,29 @@ A tree holds, for every context of 0 to ``ORDER`` bytes, how often each byte fol
 byte is that of the longest context that has seen it, after the escapes of the longer ones (method C: a
 context with T bytes seen of D kinds gives a byte seen n times n / (T + D), and the escape D / (T + D));
 beyond order 0 every byte has 1/256. Symbols of longer contexts are not excluded again after an escape.
-Frozen counts make a byte's code length a function of it and its ORDER predecessors, so all lengths are
-computed once, and a text's length is the sum over its positions. The language with the shortest code wins.
+Frozen counts make a byte's code length a function of it and its ORDER predecessors, so the length of each kind of
+gram in a stretch of text is worked out once, and a text's length is the sum over its positions. The language with
+the shortest code wins. Lengths are kept for the pairs of gram and language that were seen, and escapes for those of
+context and language.
 
 Texts are lower-cased; a text begins as if after ORDER line breaks.
 
 Defined results: a null text and one without a letter are ``und`` with score 0; null languages teach
-nothing; with no language to learn everything is ``und``; ties go to the first language by name; very long
-texts are scored whole, a chunk at a time; repeated rows, equal and null ids each get a row; an empty table
+nothing, nor do those with fewer than ``least`` different documents; with no language to learn everything is ``und``; ties go to the first language by name; very long
+texts are scored whole, a chunk at a time; repeated rows, equal and null ids each get a row, and teach by what they say; an empty table
 gives an empty result; other columns, of any name, are ignored by ``predict`` and kept by ``accepted``.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free, held_out, pieces, prepare, release, texts
+from .common import cut, free, held_out, pieces, prepare, release, texts
 
 ORDER = 3
 GRAM = ORDER + 1
 CHUNK = 1 << 20
-#: Up to so many halves of grams (of two bytes) a table of all their pairs is made, 100 MB; beyond, grams are searched for.
-WIDEST = 5000
 
 
 def _grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,123 +55,120 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
 
-def sample(docs: DataFrame, label: str, size: int, key: str = "doc_id") -> DataFrame:
-    """About ``size`` rows of each label (all, where there are fewer): those whose hashed key is lowest. The only rows a model sees."""
-    (rows,) = free(docs, "rows")
-    counts = docs.groupBy(label).agg(F.count("*").alias(rows))
-    share = (F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)) * F.col(rows) < size
-    return docs.join(F.broadcast(counts), label).where(share).drop(rows)
+def sample(rows: DataFrame, label: str, size: int, *keys: str) -> DataFrame:
+    """At most ``size`` different rows of each label (all, where there are fewer): those with the lowest hash of ``keys``. The only rows a model sees.
+
+    Rows with equal keys are one row, and one of them stays; so with an id and a text as keys, neither equal ids nor a row
+    that a third of the table repeats let in more. A null key is a value like any other.
+    """
+    (tag,) = free(rows, "tag")
+    tagged = rows.withColumn(tag, F.xxhash64(F.lit("sample"), *(F.struct(F.col(k).isNull(), F.col(k)) for k in keys)))
+    different = tagged.select(label, tag).distinct()
+    n, r = free(different, "n", "r")
+    counted = different.join(different.groupBy(label).agg(F.count("*").alias(n)), label)
+    # By chance some more than ``size`` have a hash below that share; the rank takes those away.
+    share = (F.col(tag).cast("double") / 2.0**64 + 0.5) * F.col(n)
+    few = counted.where(share < size + 6 * size**0.5 + 10)
+    chosen = few.withColumn(r, F.row_number().over(Window.partitionBy(label).orderBy(tag))).where(F.col(r) <= size).select(label, tag)
+    return tagged.join(F.broadcast(chosen), [label, tag], "left_semi").dropDuplicates([label, tag]).select(*rows.columns)
+
+
+#: Code lengths are worked out for so many grams times languages at a time.
+CELLS = 1 << 22
+
+
+class Table:
+    """Numbers by (key, language), sorted, for the pairs that have one."""
+
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, values: np.ndarray):
+        """keys and langs sorted together."""
+        self.keys, starts = np.unique(keys, return_index=True)
+        self.starts = np.append(starts, len(keys))
+        self.langs, self.values = langs.astype(np.int32), values.astype(np.float32)
+
+    def entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``keys``, language, number) of every number that one of the keys has."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        here = np.flatnonzero(self.keys[at] == keys) if len(self.keys) else np.zeros(0, np.int64)
+        first, n = self.starts[at[here]], self.starts[at[here] + 1] - self.starts[at[here]]
+        flat = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.repeat(here, n), self.langs[flat], self.values[flat]
+
+
+def _grouped(keys: np.ndarray, langs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in order, each once, the sums of n, and how many were joined to each."""
+    order = np.lexsort((langs, keys))
+    keys, langs, n = keys[order], langs[order], n[order]
+    new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (langs[1:] != langs[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], langs[new], np.add.reduceat(n, new) if len(new) else n, np.diff(np.append(new, len(keys)))
 
 
 class Model:
-    """Code lengths in bits by gram, for all languages at once."""
+    """Code lengths in bits of the grams that each language has seen, and escapes of the contexts that it has; of all orders, and nothing else."""
 
-    def __init__(self, langs: list[str], grams: np.ndarray, counts: np.ndarray):
-        """grams: sorted; counts: by gram and language."""
+    def __init__(self, langs: list[str], grams: np.ndarray, of: np.ndarray, counts: np.ndarray):
+        """A count for each pair of a gram and a language's number."""
         self.langs = langs
-        self.lengths, self.escapes, self.keys = {}, {}, {}
-        by_order = {GRAM: (grams.astype(np.int64), counts.astype(np.float64))}
-        for order in range(ORDER, 0, -1):  # counts of shorter grams: sums over the byte before
-            keys, of = np.unique(by_order[order + 1][0] & ((1 << 8 * order) - 1), return_inverse=True)
-            sums = np.zeros((len(keys), len(langs)))
-            np.add.at(sums, of, by_order[order + 1][1])
-            by_order[order] = keys, sums
-        shorter = np.full((1, len(langs)), 8.0)
+        self.seen, self.escapes = {}, {}
+        keys, own, n, _ = _grouped(grams.astype(np.int64), of.astype(np.int64), counts.astype(np.int64))
+        for order in range(GRAM, 0, -1):
+            context, lang, total, kinds = _grouped(keys >> 8, own, n)
+            whole = np.log2(total + kinds)
+            # The pair of each gram among the pairs of contexts: both are sorted by (key, language).
+            wide = len(langs) + 1
+            at = np.searchsorted(context * wide + lang, (keys >> 8) * wide + own)
+            self.seen[order] = Table(keys, own, whole[at] - np.log2(n))
+            self.escapes[order] = Table(context, lang, whole - np.log2(kinds))
+            keys, own, n, _ = _grouped(keys & ((1 << 8 * (order - 1)) - 1), own, n)  # counts of shorter grams: sums over the byte before
+
+    def lengths(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of grams in every language: seen, or the escape of its context, if that was seen, and the shorter gram's."""
+        out = np.full((len(grams), len(self.langs)), 8.0, np.float32)
         for order in range(1, GRAM + 1):
-            keys, n = by_order[order]
-            contexts, of = np.unique(keys >> 8, return_inverse=True)
-            total, kinds = np.zeros((len(contexts), len(langs))), np.zeros((len(contexts), len(langs)))
-            np.add.at(total, of, n)
-            np.add.at(kinds, of, n > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0.0)
-                seen = np.log2(total + kinds)[of] - np.log2(n)
-            below = shorter[np.searchsorted(self.keys[order - 1], keys & ((1 << 8 * (order - 1)) - 1))] if order > 1 else shorter
-            self.keys[order], self.lengths[order] = keys, np.where(n > 0, seen, escape[of] + below).astype(np.float32)
-            self.escapes[order] = contexts, escape.astype(np.float32)
-            shorter = self.lengths[order]
-        self.grams, self.at = grams, None
-
-    def prepare(self) -> None:
-        """Grams of the longest order are found by the numbers of their two halves. The table is made where it is used, and not sent."""
-        grams = self.grams
-        halves = np.unique(np.concatenate([grams >> 16, grams & 0xFFFF]).astype(np.int64))
-        self.half = np.zeros(1 << 16, np.int32)
-        self.half[halves] = np.arange(1, len(halves) + 1)
-        self.wide = len(halves) + 1
-        if self.wide > WIDEST:
-            self.at = np.zeros(0, np.int32)
-            return
-        self.at = np.full(self.wide * self.wide, -1, np.int32)
-        self.at[self.half[grams >> 16].astype(np.int64) * self.wide + self.half[grams & 0xFFFF]] = np.arange(len(grams))
-
-    def unseen(self, grams: np.ndarray, order: int = GRAM) -> np.ndarray:
-        """Code lengths of grams that no language has seen: the escape of their context, then the shorter gram."""
-        if order == 0:
-            return np.full((len(grams), len(self.langs)), 8.0, np.float32)
-        contexts, escapes = self.escapes[order]
-        context = grams >> 8
-        at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-        cost = np.where((contexts[at] == context)[:, None], escapes[at], np.float32(0))
-        return cost + self.find(grams & ((1 << 8 * (order - 1)) - 1), order - 1)
-
-    def find(self, grams: np.ndarray, order: int) -> np.ndarray:
-        if order == 0:
-            return self.unseen(grams, 0)
-        keys = self.keys[order]
-        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-        out = self.lengths[order][at]
-        missing = np.flatnonzero(keys[at] != grams)
-        if len(missing):
-            out[missing] = self.unseen(grams[missing], order)
+            own = grams & ((1 << 8 * order) - 1)
+            at, lang, bits = self.escapes[order].entries(own >> 8)
+            out[at, lang] += bits
+            at, lang, bits = self.seen[order].entries(own)
+            out[at, lang] = bits
         return out
 
     def bits(self, raws: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
-        if self.at is None:
-            self.prepare()
         total = np.zeros((len(raws), len(self.langs)))
         grams, starts = _grams(raws)
-        for lo in range(0, len(grams), CHUNK):
-            part = grams[lo : lo + CHUNK]
-            if len(self.at):
-                at = self.at[self.half[part >> np.uint32(16)].astype(np.int64) * self.wide + self.half[part & np.uint32(0xFFFF)]]
-            else:
-                at = np.minimum(np.searchsorted(self.grams, part), len(self.grams) - 1).astype(np.int32)
-                at[self.grams[at] != part] = -1
-            lengths = self.lengths[GRAM][at]
-            missing = np.flatnonzero(at < 0)
-            if len(missing):
-                lengths[missing] = self.unseen(part[missing].astype(np.int64))
+        step = max(1 << 10, min(CHUNK, 4 * CELLS // len(self.langs)))
+        for lo in range(0, len(grams), step):
+            part = grams[lo : lo + step]
+            kinds, at = np.unique(part, return_inverse=True)
+            kinds, some = kinds.astype(np.int64), max(1, CELLS // len(self.langs))
+            own = np.concatenate([self.lengths(kinds[i : i + some]) for i in range(0, len(kinds), some)])
             first = max(int(np.searchsorted(starts, lo, "right")) - 1, 0)
             last = int(np.searchsorted(starts, lo + len(part), "left"))
             cuts = np.maximum(starts[first:last] - lo, 0)
             ends = np.append(cuts[1:], len(part))
             full = np.flatnonzero(ends > cuts)
-            total[first + full] += np.add.reduceat(lengths, cuts[full], axis=0, dtype=np.float64)
+            total[first + full] += np.add.reduceat(own[at], cuts[full], axis=0, dtype=np.float64)
         return total
 
 
-def train(docs: DataFrame, per_language: int = 1500, languages: int = 64) -> Model:
-    """Counts the bytes of about ``per_language`` documents of each of the ``languages`` most frequent languages, whole texts, in tasks; only the sums by gram reach the driver.
+def train(docs: DataFrame, per_language: int = 1500, least: int = 3) -> Model:
+    """Counts the bytes of at most ``per_language`` documents of each language, whole texts, in tasks; only the sums by gram reach the driver.
 
-    The two bounds are those of the model too: it has at most one gram for each of those documents' bytes, and its
-    tables a column for each language. A label that is rarer than the ``languages`` most frequent ones (a column with
-    slips in it has many) is not learned; ties in frequency go to the first name.
+    All languages are learned that have ``least`` different documents with a text; rarer labels, slips mostly, are not. The
+    model has an entry for each language and gram that it has seen, so it grows with what the languages have, not with
+    their number times all grams: 16 bytes for each pair of order 3 on the driver, and about 18 for all orders in a worker.
     """
     prepare(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "doc_id")
-    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    known = known.join(F.broadcast(common), "lang", "left_semi")
-    chosen = F.broadcast(sample(known, "lang", per_language).select("lang", "doc_id"))  # languages * per_language rows, about
-    rows = docs.select(F.col("lang").cast("string"), "doc_id", "text").join(chosen, ["lang", "doc_id"], "left_semi").select("lang", "text")
-    sums = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(sums.column(0).to_pylist()))
-    grams, of = np.unique(sums.column(1).to_numpy(), return_inverse=True)
-    counts = np.zeros((len(grams), len(langs)))
-    number = {x: i for i, x in enumerate(langs)}
-    np.add.at(counts, (of, np.array([number[x] for x in sums.column(0).to_pylist()], int)), sums.column(2).to_numpy())
-    return Model(langs, grams.astype(np.uint32), counts)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text"))
+    rows = cut(sample(known, "lang", per_language, "doc_id", "text"))
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("lang")
+    counted = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = counted.join(common, "lang", "left_semi").toArrow()
+    named = sums.column("lang").combine_chunks().dictionary_encode() if len(sums) else pa.array([], pa.string()).dictionary_encode()
+    names = named.dictionary.to_pylist()
+    langs = sorted(names)
+    number = np.array([langs.index(x) for x in names], np.int64)
+    return Model(langs, sums.column("gram").to_numpy(), number[named.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, np.int64), sums.column("n").to_numpy())
 
 
 def shares(bits: np.ndarray) -> np.ndarray:
@@ -183,7 +180,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (share of the best language if each had the same prior) and bits (its code length) of every document."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the sample's bound
+    shared = spark.sparkContext.broadcast(model)  # at most an entry for each byte of the sample's documents
 
     def run(batches):
         release()

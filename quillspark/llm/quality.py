@@ -129,11 +129,18 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, coarse: int = 4, rounds: i
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 10_000) -> Model:
-    """Fits on about ``per_class`` labelled documents of each class that are not held out; their features, a few numbers each, go to the driver."""
+    """Fits on at most ``per_class`` labelled documents of each class that are not held out; their features, a few numbers each, go to the driver.
+
+    Of several labels of one id the highest counts; documents that share an id have that label each, and equal ones teach once.
+    """
     prepare(docs.sparkSession)
     given = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null").where(~F.coalesce(held_out(), F.lit(True)))
-    chosen = sample(given, "y", per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
+    given = given.groupBy("doc_id").agg(F.max("y").alias("y"))
+    # Rows are chosen by id and a hash of the text, so no text is dealt out for it.
+    body = F.xxhash64(F.col("text").cast("string"))
+    narrow = docs.select("doc_id", body.alias("body")).join(given, "doc_id")
+    chosen = sample(narrow, "y", per_class, "doc_id", "body")
+    rows = docs.select("doc_id", "text", body.alias("body")).join(F.broadcast(chosen), ["doc_id", "body"]).dropDuplicates(["doc_id", "body"]).select("y", "text")
 
     def run(batches):
         for batch in pieces(batches):
