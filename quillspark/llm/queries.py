@@ -92,18 +92,22 @@ WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text, {_WORDS} A
 windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(0, 8)) AS k FROM twice) GROUP BY doc_id),
-lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-base AS (SELECT d.doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counts AS (SELECT d.doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(lines.n_lines, 0) AS n_lines, coalesce(repeated.n, 0) AS n_repeat_words
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
-judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
-hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM judged WHERE host IS NOT NULL GROUP BY host),
-moments AS (SELECT sum(f) / sum(n) AS m, sum(n) AS n, count(*) AS h, sum(f * f / n) AS ff FROM hosts),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    [('base', base_failed), ('lines', 10 * n_dup_lines > 3 * n_lines), ('symbols', 10 * n_symbols > n_words), ('word_length', word_chars < 2 * n_words OR word_chars > 12 * n_words)] AS verdicts FROM counts),
+hosts AS (SELECT host, v[1] AS rule, count(*)::DOUBLE AS n, sum(v[2]::INT)::DOUBLE AS f FROM (SELECT host, unnest(verdicts) AS v FROM judged WHERE host IS NOT NULL) GROUP BY ALL),
+moments AS (SELECT rule, sum(f) / sum(n) AS m, sum(n) AS n, count(*) AS h, sum(f * f / n) AS ff FROM hosts GROUP BY rule),
 beyond AS (SELECT *, CASE WHEN m * (1 - m) > 1e-12 THEN (ff - n * m * m) / (m * (1 - m)) - h ELSE 0 END AS v FROM moments),
-prior AS (SELECT m, least(greatest(CASE WHEN v > 1e-9 THEN (n - h) / v - 1 ELSE 1e4 END, 1.0), 1e4) AS s FROM beyond)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce((f + m * s) / (n + s), m) <= 0.5 AS kept, round(coalesce((f + m * s) / (n + s), m), 9) AS host_rate
-FROM judged LEFT JOIN hosts USING (host), prior
+prior AS (SELECT rule, m, least(greatest(CASE WHEN v > 1e-9 THEN (n - h) / v - 1 ELSE 1e4 END, 1.0), 1e4) AS s FROM beyond),
+rates AS (SELECT host, rule, n, m, s, (f + m * s) / (n + s) AS rate FROM hosts JOIN prior USING (rule)),
+verdict AS (SELECT host, max(rate) FILTER (rule = 'base') AS rate, coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (rate - 3 * sqrt(rate * (1 - rate) / (n + s + 1)) > least(m + 0.2, 0.5)), '') AS failed FROM rates GROUP BY host),
+nobody AS (SELECT max(m) FILTER (rule = 'base') AS rate, coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (m > 0.5), '') AS failed FROM prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(verdict.failed, nobody.failed) = '' AS kept,
+  round(coalesce(verdict.rate, nobody.rate), 9) AS host_rate, coalesce(verdict.failed, nobody.failed) AS host_failed
+FROM judged LEFT JOIN verdict USING (host), nobody
 """
 
 ORACLE["op3_mixing"] = """

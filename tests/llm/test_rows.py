@@ -53,14 +53,41 @@ def test_prior_without_sampling_noise(spark):
     rng = np.random.default_rng(1)
     n = rng.integers(3, 6, 4000)
     failed = rng.binomial(n, rng.beta(6, 14, len(n)))
-    stats = spark.createDataFrame([(int(i), bool(k < f)) for i, (m, f) in enumerate(zip(n, failed)) for k in range(m)], "host long, base_failed boolean").withColumn("host", F.col("host").cast("string"))
-    hosts, mean = host_rules.host_verdicts(stats)
+    other = {f"failed_{r}": F.lit(False) for r in host_rules.RULES if r != "base"}
+    stats = spark.createDataFrame([(int(i), bool(k < f)) for i, (m, f) in enumerate(zip(n, failed)) for k in range(m)], "host long, failed_base boolean").withColumn("host", F.col("host").cast("string")).withColumns(other)
+    hosts, means = host_rules.host_verdicts(stats)
+    mean = means["base"]
     r = hosts.where("host = '0'").first()
     m, f = int(n[0]), int(failed[0])
     strength = (f - m * r.host_rate) / (r.host_rate - mean)  # rate = (f + mean * s) / (m + s)
     assert abs(mean - 0.3) < 0.01 and 15 < strength < 28
-    one = spark.createDataFrame([("a", True)] * 3 + [("b", False)] * 300, "host string, base_failed boolean")
-    assert host_rules.host_verdicts(one)[0].count() == 2 and host_rules.host_verdicts(one.where("host = 'z'"))[1] == 0
+    one = spark.createDataFrame([("a", True)] * 3 + [("b", False)] * 300, "host string, failed_base boolean").withColumns(other)
+    assert host_rules.host_verdicts(one)[0].count() == 2 and host_rules.host_verdicts(one.where("host = 'z'"))[1]["base"] == 0
+
+
+def test_planted_bad_hosts_lose_their_documents(spark):
+    """Forty usual hosts, one bad by each rule, a small one whose two bad documents say little, and a large bad one of a third of all rows."""
+    import numpy as np
+
+    rng, rows = np.random.default_rng(3), []
+    good = lambda: "\n".join(" ".join(f"w{v}xy" for v in rng.integers(0, 9999, 12)) for _ in range(3))
+    bad = {"spam": lambda: "buy now", "lined": lambda: "\n".join([good()] + ["menu one two three"] * 3), "marked": lambda: good().replace(" ", " # "), "long": lambda: " ".join("x" * 30 + str(v) for v in range(30))}
+    put = lambda host, text: rows.append((len(rows), text, host))
+    for i in range(2000):
+        put(f"h{i % 40}", "short" if rng.random() < 0.1 else good())
+    for host, make in bad.items():
+        for i in range(60):
+            put(host, good() if i % 4 == 0 else make())
+    for i in range(4):
+        put("small", good() if i % 2 else "buy now")
+    for i in range(1200):
+        put("huge", good() if i % 3 == 0 else bad["spam"]())
+    got = host_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    failed = {rows[r.doc_id][2]: r.host_failed for r in got}
+    assert failed.pop("spam") == "base" and failed.pop("huge") == "base" and failed.pop("lined") == "lines" and failed.pop("marked") == "symbols" and failed.pop("long") == "word_length"
+    assert {*failed.values()} == {""} and len(failed) == 41
+    assert all(r.kept == (not r.base_failed and r.host_failed == "") for r in got) and not any(r.kept for r in got if rows[r.doc_id][2] == "huge")
+    assert len(got) == len(rows)
 
 
 def test_join_keyed_both_ways(spark, rows):
