@@ -1,14 +1,10 @@
 """Journal entries, review findings, learning records, lists of files, and counts over a corpus."""
 
-from functools import partial
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
-from .graph import components, numbered
+from .graph import numbered
+from .near import near_duplicates  # noqa: F401
 
 CAPTIONS = (".vtt", ".srt", ".json3")
 
@@ -83,68 +79,3 @@ def term_counts(documents: DataFrame, approx: bool = False, text: str = "text")
     rows = documents.select(F.explode(words).alias("term"))
     per_doc = documents.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
     return rows.groupBy("term").agg(F.count("*").alias("n")).join(per_doc, "term")
-
-
-def near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = 0.8, common: int = 100_000) -> DataFrame:
-    """doc_id and class_id (the lowest id that can be reached) of every document: texts are linked whose word shingles' Jaccard similarity is the threshold or more.
-
-    Equal texts are one text first. Of two sets that similar, each has one of the other's shingles among its first
-    ``n - ceil(threshold * n) + 1`` in any order that all sets share. The order is by frequency, rarest first, so those
-    shingles are rare: the ``common`` most frequent ones (a bound on what is broadcast, not on what is compared) come last.
-    Texts meet by such a shingle where their sizes allow the threshold: in a class of sizes that are within the
-    threshold of each other, or between that and the next. In a bucket every text is compared, exactly, with the
-    lowest; those that are not close to it are compared with all others. Two that are close to the lowest are in its
-    class already, so no link between classes is lost. A null text has no shingles and is linked to null texts only.
-    """
-    spark = documents.sparkSession
-    ship(spark)
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s+", " ")), " ")
-    n = F.size("w")
-    shingles = F.when(n <= shingle, F.array(F.xxhash64(F.array_join("w", " ")))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - shingle + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, shingle), " "))))
-    hashed = documents.select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("null")).alias("h"), "text")
-    members = cut(hashed.select("doc_id", "h"))
-    texts = hashed.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("text").alias("text"))
-    sets = cut(texts.select("id", "h", words.alias("w")).select("id", "h", F.array_distinct(shingles).alias("s")))
-    compared = sets.where("h <> 'null'")
-    frequent = compared.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "x").limit(common)
-    ranks = spark.sparkContext.broadcast(np.array([r.x for r in frequent.collect()], np.int64))  # ``common`` numbers at most
-    keyed = cut(compared.select("id", "s").mapInArrow(partial(_first_shingles, ranks=ranks, threshold=threshold), "id long, size int, band int, key long, home boolean"))
-    lowest = keyed.groupBy("band", "key").agg(F.min(F.struct("id", "size")).alias("low"), F.count("*").alias("n"), F.bool_or("home").alias("any_home")).where("n > 1 and any_home")
-    lowest = cut(lowest.select("band", "key", F.col("low.id").alias("a"), F.col("low.size").alias("low_size")))
-    starred = cut(keyed.join(lowest, ["band", "key"]).where("id > a"))
-    fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
-    met = starred.where(fits(F.col("size"), F.col("low_size")))
-    close = cut(similar(met.select("a", F.col("id").alias("b")).distinct(), sets, threshold))
-    apart = starred.join(close.select("a", F.col("b").alias("id")), ["a", "id"], "left_anti").select("band", "key", F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("home").alias("x_home"))
-    others = apart.join(keyed, ["band", "key"]).where((F.col("x") != F.col("id")) & (F.col("home") | F.col("x_home")) & fits(F.col("size"), F.col("x_size"))).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    links = close.select("a", "b").unionByName(similar(others, sets, threshold).select("a", "b"))
-    classes = components(links)
-    named = cut(sets.select("id", "h").join(classes.withColumnRenamed("node", "id"), "id", "left").select("h", F.coalesce("component", "id").alias("class_id")))
-    return members.join(named, "h").select("doc_id", "class_id")
-
-
-def _first_shingles(batches, ranks, threshold: float):
-    """A row for each set and each of its rarest shingles: in its own class of sizes (home), and in the next larger one."""
-    common = ranks.value
-    order = np.argsort(common)
-    found = common[order]
-    step = -np.log(threshold)
-    for batch in batches:
-        out = []
-        for name, s in zip(batch.column(0).to_pylist(), batch.column(1)):
-            x = np.sort(s.values.to_numpy(zero_copy_only=False))
-            at = np.minimum(np.searchsorted(found, x), max(len(found) - 1, 0))
-            frequency = np.where(found[at] == x, len(found) - order[at], 0) if len(found) else np.zeros(len(x), int)
-            first = x[np.argsort(frequency, kind="stable")][: len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1]
-            own = int(np.log(len(x)) / step + 1e-9)
-            for band, home in ((own, True), (own + 1, False)):
-                out.append((np.full(len(first), name), np.full(len(first), len(x), np.int32), np.full(len(first), band, np.int32), first, np.full(len(first), home)))
-        columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, k) for k in (np.int64, np.int32, np.int32, np.int64, bool)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["id", "size", "band", "key", "home"])
-
-
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b and similarity of the pairs whose sets (id, s) have that Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= threshold)

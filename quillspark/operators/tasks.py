@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import free
-from ..session import cut
+from ..session import cut, written
 
 
 def due_filter(text: str, today: date, due: str = "due_date") -> Column | None:
@@ -99,17 +99,17 @@ def project_subtree(projects: DataFrame, root: str) -> DataFrame:
     finds nothing is the last. So a chain of n levels takes about log2(n) rounds, each of which ends in files, and a cycle
     ends as a chain does. A project with two parents is below both; null ids are no projects, and null parents none.
     """
-    found = cut(projects.where(F.lower("name") == root.lower()).where("project_id is not null").select("project_id").distinct())
+    found = written(projects.where(F.lower("name") == root.lower()).where("project_id is not null").select("project_id").distinct())
     up = projects.where("project_id is not null and parent_id is not null and project_id <> parent_id").select("project_id", "parent_id").distinct()
-    up = up.join(found, "project_id", "left_anti")
+    up = written(up.join(found, "project_id", "left_anti"))
     while True:
-        new = cut(up.join(found.withColumnRenamed("project_id", "parent_id"), "parent_id", "left_semi").select("project_id").distinct())
+        new = written(up.join(found.withColumnRenamed("project_id", "parent_id"), "parent_id", "left_semi").select("project_id").distinct())
         if new.isEmpty():
             return found
-        found = cut(found.unionByName(new))
-        # Whoever is found needs no pointer any more, and whoever has come to a root's end never will be.
+        found = written(found.unionByName(new))
+        # Whoever is found needs no pointer any more; whoever has come to a root's end without being found never will be.
         above = up.select(F.col("project_id").alias("parent_id"), F.col("parent_id").alias("above"))
-        up = cut(up.join(new, "project_id", "left_anti").join(above, "parent_id").select("project_id", F.col("above").alias("parent_id")).distinct())
+        up = written(up.join(new, "project_id", "left_anti").join(above, "parent_id").select("project_id", F.col("above").alias("parent_id")).distinct())
 
 
 def filter_tasks(tasks: DataFrame, expression: str, today: date, me: int | None = None, projects: DataFrame | None = None) -> DataFrame:

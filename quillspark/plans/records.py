@@ -413,25 +413,29 @@ def _drained(spark, stream, path, mode="append"):
 
 @query
 def stm1_caption_stream(spark, sf):
-    """Two runs over the same folder; the second finds nothing new."""
-    path = _folder(spark, "captions")
-    files_of(I.caption_files(spark, sf).where("format = 'vtt'"), "text", f"{path}/in")
-    for _ in range(2):
-        jobs.stream_captions(spark, f"{path}/in", f"{path}/out", f"{path}/state", format="vtt").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("start_s", "end_s", "text")
+    """Files of all three formats; two runs over each folder, of which the second finds nothing new."""
+    path, out = _folder(spark, "captions"), None
+    rendered = I.caption_files(spark, sf)
+    for name in ("vtt", "srt", "json3"):
+        files_of(rendered.where(F.col("format") == name), "text", f"{path}/{name}/in")
+        for _ in range(2):
+            jobs.stream_captions(spark, f"{path}/{name}/in", f"{path}/{name}/out", f"{path}/{name}/state", format=name).awaitTermination()
+        rows = spark.read.parquet(f"{path}/{name}/out").select(F.lit(name).alias("format"), "start_s", "end_s", "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-SQL["stm1_caption_stream"] = f"WITH {ROLLING} SELECT start_s, end_s, {CLEAN} AS text FROM rolling WHERE cue_seq % 7 <> 6 AND file_id::INT % 3 = 0"
+SQL["stm1_caption_stream"] = f"WITH {ROLLING} SELECT ['vtt', 'srt', 'json3'][file_id::INT % 3 + 1] AS format, start_s, end_s, {CLEAN} AS text FROM rolling WHERE cue_seq % 7 <> 6"
 
 
 @query
 def stm2_resumable(spark, sf):
     chunks = I.lecture_chunks(spark, sf).select("recording_id", "index")
     stream, path = _stream(spark, "resumable", [chunks, chunks.where("index < 4")], files=2)
-    keys = ["recording_id", "index"]
+    keys, done = ["recording_id", "index"], lambda df: df.withColumn("done", F.lit(True))
     for run in ("a", "b"):  # a second run with a new checkpoint adds nothing
-        jobs.resumable(stream, f"{path}/store", f"{path}/state-{run}", keys, lambda df: df.withColumn("done", F.lit(True))).awaitTermination()
-    return spark.read.parquet(f"{path}/store").drop("bucket")
+        jobs.resumable(stream, f"{path}/store", f"{path}/state-{run}", keys, done).awaitTermination()
+    return jobs.result_store(stream, f"{path}/store", keys, done).read()
 
 
 SQL["stm2_resumable"] = "SELECT doc_id // 8 AS recording_id, (doc_id % 8)::INT AS index, true AS done FROM documents"

@@ -3,6 +3,7 @@
 import os
 import tempfile
 import threading
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows from a Parquet table of their own in the shared folder: like ``cut``, and nothing of the plan before is known to what follows, columns' identities included."""
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, materialised once in the shared folder, so that a lost executor costs no recomputation and what follows starts from files."""
     context = df.sparkSession.sparkContext

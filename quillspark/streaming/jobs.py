@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import captions
-from ..session import ship
+from ..session import cut, ship
 from ..sources.readers import caption_rows
+from .store import Store
 
 #: What the binaryFile source gives; a stream needs it said.
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
@@ -25,25 +26,28 @@ def stream_captions(spark: SparkSession, path: str, out: str, checkpoint: str, f
     return cues.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def resumable(stream: DataFrame, store: str, checkpoint: str, keys: list[str], fn: Callable[[DataFrame], DataFrame], buckets: int = 64) -> StreamingQuery:
-    """Applies fn to the keys of each batch that the store has no result for, and appends. A rerun, or a batch that comes twice, adds nothing.
+def resumable(stream: DataFrame, store: str, checkpoint: str, keys: list[str], fn: Callable[[DataFrame], DataFrame], rows_per_file: int = 1_000_000) -> StreamingQuery:
+    """Applies fn to the keys of each batch that the store has no result for, and adds the results as a whole (see ``Store``).
 
-    The store is partitioned by a hash of the keys (``bucket``), and a batch reads the buckets of its own keys only.
+    A rerun, or a batch that comes twice, adds nothing; a batch that fails midway leaves nothing, and its keys are done
+    by the next run. A batch opens the files that may hold its own keys only. One stream at a time writes to a store.
     """
-    spark = stream.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    done = fn(spark.createDataFrame([], stream.schema)).withColumn("bucket", bucket)
-    done.write.mode("ignore").partitionBy("bucket").parquet(store)  # from here on there is a store
+    kept = result_store(stream, store, keys, fn, rows_per_file)
 
     def batch(df: DataFrame, _: int) -> None:
-        fresh = df.dropDuplicates(keys)
-        own = [r.bucket for r in fresh.select(bucket.alias("bucket")).distinct().collect()]  # ``buckets`` numbers at most
-        stored = df.sparkSession.read.schema(done.schema).parquet(store).where(F.col("bucket").isin(own)).select(*keys)
-        fn(fresh.join(stored, keys, "left_anti")).withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(store)
+        fresh = cut(kept.without_known(df.dropDuplicates(keys)))
+        if not fresh.isEmpty():
+            kept.add(fn(fresh))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def result_store(stream: DataFrame, store: str, keys: list[str], fn: Callable[[DataFrame], DataFrame], rows_per_file: int = 1_000_000) -> Store:
+    """The store that ``resumable`` writes to."""
+    spark = stream.sparkSession
+    return Store(spark, store, fn(spark.createDataFrame([], stream.schema)).schema, keys, rows_per_file)
+
+
 def waking_day_counts(stream: DataFrame, delay: str = "2 days", ts: str = "captured_at", day_starts_at_hour: int = 6) -> DataFrame:
     """Entries by waking day, which begins at the hour; rows later than the delay are dropped."""
     windowed = stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day", "1 day", f"{day_starts_at_hour} hours"))
