@@ -12,7 +12,9 @@ AREAS, SEVERITIES = ("spec", "standards", "security"), ("high", "medium", "low",
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; texts that lie in fewer parts than there are cores are dealt out, as else one task would work on all of them."""
+    df, cores = spark.read.parquet(f"{sf}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id") if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def plain_cues(spark: SparkSession, sf: str) -> DataFrame:

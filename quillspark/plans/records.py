@@ -44,9 +44,32 @@ def query(f):
 # Statements.
 
 
+def _reports(spark, sf):
+    path = _folder(spark, "reports")
+    I.statements(spark, sf).select("statement_id", "xml").repartition(8).write.partitionBy("statement_id").text(path)
+    return path
+
+
+def _numbered(rows):
+    """The reports' own numbers, from their folders, in place of hashes of their paths."""
+    return rows.withColumn("statement_id", F.regexp_extract("path", r"statement_id=(\d+)", 1).cast("long"))
+
+
+@query
+def src2_section_rows(spark, sf):
+    """The positions of all reports that are whole, without taking the reports apart: rows of one section by its tag."""
+    rows = _numbered(readers.read_section(spark, _reports(spark, sf), "OpenPosition", S.POSITION)).where("statement_id % 50 <> 0")
+    return rows.groupBy("statement_id").agg(F.count("*").alias("n"), F.min("symbol").alias("first_symbol"), F.max("symbol").alias("last_symbol"), F.count("description").alias("described"), F.sum(F.col("positionValue").cast("decimal(20,0)")).cast("long").alias("total"))
+
+
+SQL["src2_section_rows"] = f"WITH {HELD} SELECT statement_id, count(*) AS n, min(symbol) AS first_symbol, max(symbol) AS last_symbol, count(description) AS described, sum(val::BIGINT)::BIGINT AS total FROM pos WHERE statement_id % 50 <> 0 GROUP BY statement_id"
+
+
 @query
 def src2_statement_elements(spark, sf):
-    e = S.statement_elements(I.statements(spark, sf))
+    """Reports as files, each in a folder of its own, read and taken apart."""
+    path = _reports(spark, sf)
+    e = S.statement_elements(_numbered(readers.read_statements(spark, path)))
     return e.groupBy("statement_id").agg(F.count("*").alias("n"), F.max("error").alias("error"), F.max_by("tag", "elem_seq").alias("last_tag"))
 
 
@@ -373,7 +396,14 @@ SQL["agg13_term_counts"] = r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all
 
 @query
 def agg13_term_counts_approx(spark, sf):
-    return N.term_counts(I.table(spark, sf, "documents"), approx=True)
+    """Two deliveries, sketched apart and merged; each term's estimate against the exact number of its documents."""
+    d = I.table(spark, sf, "documents")
+    merged = N.term_estimates(N.merge_sketches(*(N.term_sketches(d.where(F.col("doc_id") % 2 == i)) for i in (0, 1))))
+    exact = N.term_counts(d).select("term", F.col("documents").alias("exact"))
+    return merged.join(exact, "term").select("term", "n", (F.abs(F.col("documents") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.08 * F.col("exact"))).alias("within"))
+
+
+SQL["agg13_term_counts_approx"] = r"SELECT term, count(*) AS n, true AS within FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY term"
 
 
 @query
@@ -472,6 +502,19 @@ def stm5_dedup_attempts(spark, sf):
 SQL["stm5_dedup_attempts"] = f"WITH {LOG} SELECT request_id, attempt, code FROM log"
 
 
+@query
+def stm6_cue_burst_stream(spark, sf):
+    """The same bursts from a stream: the odd cues of all files come first, the even ones after them, then a row so far in the future that all bursts end, and last the first cues once more, which are late."""
+    cues = I.rolling_cues(spark, sf).select("file_id", "cue_seq", "start_s", "end_s", F.timestamp_millis((F.col("start_s") * 1000).cast("long")).alias("cue_ts"))
+    # Some rows of the future for the watermark, one for each file of a batch.
+    end = spark.range(4).select(F.lit("end").alias("file_id"), F.col("id").cast("long").alias("cue_seq"), F.lit(4.0e8).alias("start_s"), F.lit(4.0e8).alias("end_s"), F.timestamp_seconds(F.lit(400_000_000)).alias("cue_ts")).select(*(F.col(c).cast(cues.schema[c].dataType).alias(c) for c in cues.columns))
+    stream, path = _stream(spark, "bursts", [cues.where("cue_seq % 2 = 1"), cues.where("cue_seq % 2 = 0"), end, cues.where("cue_seq = 0")])
+    return _drained(spark, jobs.cue_bursts(stream.withWatermark("cue_ts", "1000 days")), path).where("file_id <> 'end'")
+
+
+SQL["stm6_cue_burst_stream"] = CAPTIONS["stm6_cue_bursts"]
+
+
 @query
 def stm4_live_paragraphs(spark, sf):
     """The first turns of all conversations, then the others: what is open after the first batches is carried over. One turn in nine comes again, which is late."""

@@ -1,9 +1,13 @@
 """Files to rows."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import html_unescape
+
 PAGE_RESULT = T.StructType([T.StructField(n, T.StringType()) for n in ("status", "model", "page_prompt_sha256", "source_pdf_sha256", "source_pdf_path", "render_media_type", "ocr_mode", "render_sha256", "rendered_image_path", "ocr_markdown", "finish_reason", "processed_at")] + [T.StructField("bundle_id", T.LongType()), T.StructField("page_number", T.IntegerType()), T.StructField("dpi", T.StringType()), T.StructField("render_dimensions", T.ArrayType(T.IntegerType())), T.StructField("review_notes", T.ArrayType(T.StringType()))])
 
 
@@ -32,6 +36,26 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("statement_id"), "path", F.when(good, xml).alias("xml"), F.when(~good, F.lit("not XML")).alias("error"))
 
 
+def read_section(spark: SparkSession, path: str, tag: str, attributes: Sequence[str]) -> DataFrame:
+    """path and the named attributes of every element with the tag, in reports of any size.
+
+    Files are cut at the tag as text is cut at line ends, so a large report is many tasks' work; Spark's XML source reads
+    each file in one task. An element without an attribute has null there, and so has an empty one. Reports are not checked as a
+    whole: of one that breaks off, the elements before the break are rows, and so is what stands in a comment.
+    """
+    pieces = spark.read.option("lineSep", f"<{tag}").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    # What is before a file's first element begins otherwise, and so does an element with a longer name.
+    own = pieces.where(F.col("value").rlike(r"^(\s|/|>)") & ~F.col("value").rlike(r"^\s*<"))
+    start = r"""^((?:[^"'>]|"[^"]*"|'[^']*')*)>"""
+
+    def value(attribute: str) -> F.Column:
+        raw = F.regexp_extract("head", rf"""(?:^|\s){attribute}\s*=\s*("[^"]*"|'[^']*')""", 1)
+        return F.nullif(html_unescape(F.translate(F.substring(raw, F.lit(2), F.length(raw) - 2), "\n\r\t", "   ")), F.lit(""))
+
+    whole = own.where(F.col("value").rlike(start)).select("path", F.regexp_extract("value", start, 1).alias("head"))
+    return whole.select("path", *(value(a).alias(a) for a in attributes))
+
+
 def read_page_results(spark: SparkSession, path: str) -> DataFrame:
     """Stored page results with a fixed schema; what does not parse is in _corrupt_record."""
     schema = T.StructType([*PAGE_RESULT.fields, T.StructField("_corrupt_record", T.StringType())])

@@ -8,8 +8,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.operators import lectures as L, near, pages as P, tasks as T
-from quillspark.sources import files
+from quillspark.operators import lectures as L, near, notes as N, pages as P, statements as S, tasks as T
+from quillspark.sources import files, readers
 from quillspark.sources.sinks import read_table, write_table
 from quillspark.streaming import jobs, store as store_module
 from quillspark.streaming.store import Store
@@ -225,3 +225,31 @@ def test_candidates_grow_with_links_not_with_buckets(spark):
         assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(n)}
         verified.append(sum(seen))
     assert verified[0] <= 2 * 200 and verified[2] <= 5 * verified[0]
+
+
+def test_sketches_of_deliveries(spark):
+    """Terms in up to 20,000 documents: the merged estimates within five deviations, and the most frequent terms as they are."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('all all t', id % 7, ' u', id % 1000, if(id % 3 = 0, ' third', '')) AS text")
+    parts = [docs.where(f"doc_id % 4 = {i}") for i in range(4)]
+    merged = N.merge_sketches(*(N.term_sketches(p) for p in (*parts, parts[0])))  # one delivery comes twice
+    exact = {r.term: r.documents for r in N.term_counts(docs).collect()}
+    got = {r.term: r.documents for r in N.term_estimates(merged).collect()}
+    assert got.keys() == exact.keys() and all(abs(got[t] - n) <= max(1, 5 * 1.04 / 64 * n) for t, n in exact.items())
+    top = N.frequent_terms(N.all_of([N.frequent_sketch(p) for p in parts]), k=2).collect()
+    assert [(r.term, r.n) for r in top] == [("all", 40_000), ("third", 6667)]
+
+
+def test_sections_of_large_reports(spark, tmp_path):
+    """One report cut into many tasks' work, and small ones; both forms give the same positions."""
+    line = lambda i: f'<OpenPosition symbol="S{i}" description="{"a &amp; b > c" * (i % 2)}"\n currency=\'USD\' position="{i}" accountId="U1"/>'
+    for name, n in (("a.xml", 3000), ("b.xml", 0), ("c.xml", 2)):
+        (tmp_path / name).write_text("<R><FlexStatement><OpenPositions>" + "\n".join(map(line, range(n))) + "</OpenPositions><ChangeInNAV total='1'/></FlexStatement></R>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        rows = readers.read_section(spark, str(tmp_path), "OpenPosition", S.POSITION)
+        assert rows.rdd.getNumPartitions() > 4
+        got = sorted(map(str, rows.drop("path").collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = S.positions(S.statement_elements(readers.read_statements(spark, str(tmp_path))))
+    assert got == sorted(map(str, whole.drop("statement_id", "elem_seq").collect())) and len(got) == 3002
