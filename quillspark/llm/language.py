@@ -156,7 +156,7 @@ def train(docs: DataFrame, per_language: int = 1500, least: int = 3) -> Model:
 
     All languages are learned that have ``least`` different documents with a text; rarer labels, slips mostly, are not. The
     model has an entry for each language and gram that it has seen, so it grows with what the languages have, not with
-    their number times all grams: 16 bytes for each pair of order 3 on the driver, and about 18 for all orders in a worker.
+    their number times all grams: 20 bytes for each pair of the longest order in a worker, and six times that at the peak on the driver.
     """
     prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text"))
