@@ -504,11 +504,11 @@ SQL["stm5_dedup_attempts"] = f"WITH {LOG} SELECT request_id, attempt, code FROM
 
 @query
 def stm6_cue_burst_stream(spark, sf):
-    """The same bursts from a stream: the odd cues of all files come first, the even ones after them, then a row so far in the future that all bursts end, and last the first cues once more, which are late."""
+    """The same bursts from a stream: the odd cues of all files come first, the even ones after them, then rows so far in the future that all bursts end (in the batch after), and last the first cues once more, which are late."""
     cues = I.rolling_cues(spark, sf).select("file_id", "cue_seq", "start_s", "end_s", F.timestamp_millis((F.col("start_s") * 1000).cast("long")).alias("cue_ts"))
-    # Some rows of the future for the watermark, one for each file of a batch.
-    end = spark.range(4).select(F.lit("end").alias("file_id"), F.col("id").cast("long").alias("cue_seq"), F.lit(4.0e8).alias("start_s"), F.lit(4.0e8).alias("end_s"), F.timestamp_seconds(F.lit(400_000_000)).alias("cue_ts")).select(*(F.col(c).cast(cues.schema[c].dataType).alias(c) for c in cues.columns))
-    stream, path = _stream(spark, "bursts", [cues.where("cue_seq % 2 = 1"), cues.where("cue_seq % 2 = 0"), end, cues.where("cue_seq = 0")])
+    # Rows of the future for the watermark, some for each file of a batch.
+    end = spark.range(400).select(F.lit("end").alias("file_id"), F.col("id").cast("long").alias("cue_seq"), F.lit(4.0e8).alias("start_s"), F.lit(4.0e8).alias("end_s"), F.timestamp_seconds(F.lit(400_000_000)).alias("cue_ts")).select(*(F.col(c).cast(cues.schema[c].dataType).alias(c) for c in cues.columns))
+    stream, path = _stream(spark, "bursts", [cues.where("cue_seq % 2 = 1"), cues.where("cue_seq % 2 = 0"), end, end, cues.where("cue_seq = 0")])
     return _drained(spark, jobs.cue_bursts(stream.withWatermark("cue_ts", "1000 days")), path).where("file_id <> 'end'")
 
 
