@@ -1,6 +1,7 @@
 """Brokerage statements: XML to elements, and elements to net asset value, cash, positions and summaries."""
 
 import xml.etree.ElementTree as ET
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,25 +19,32 @@ PRIVATE = "account|acctid|clientid"
 TRANSIENT = {"statement": ("1001", "1018", "1019", "1020", "1021"), "http": ("429", "500", "502", "503", "504"), "audio": ("408", "429", "500", "502", "503", "504")}
 
 
+def _walk(batches, at_once: int = 2_000):
+    """Batches of elements, ``at_once`` rows at most in each: a batch of reports has many times its rows in elements, which are never all held."""
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
+
+    def elements(key, xml):
+        try:
+            if xml is None or "<!DOCTYPE" in xml:
+                raise ET.ParseError("no report")
+            root = ET.fromstring(xml)
+        except ET.ParseError:
+            yield key, None, None, None, "not XML"
+            return
+        for i, e in enumerate(root.iter()):
+            yield key, i, e.tag, list(e.attrib.items()), None
+
+    for batch in batches:
+        # One report at a time becomes a string.
+        rows = chain.from_iterable(elements(key.as_py(), xml.as_py()) for key, xml in zip(batch.column(0), batch.column(1)))
+        while held := list(islice(rows, at_once)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=["statement_id", "elem_seq", "tag", "attrs", "error"])
+
+
 def statement_elements(statements: DataFrame) -> DataFrame:
     """A row for each element in document order, with its attributes; a report that is no XML is one row with an error. Document types are refused, so no entity is expanded."""
     ship(statements.sparkSession)
-
-    def walk(batches):
-        for batch in batches:
-            rows = []
-            for key, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    if xml is None or "<!DOCTYPE" in xml:
-                        raise ET.ParseError("no report")
-                    rows += [(key, i, e.tag, list(e.attrib.items()), None) for i, e in enumerate(ET.fromstring(xml).iter())]
-                except ET.ParseError:
-                    rows.append((key, None, None, None, "not XML"))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["statement_id", "elem_seq", "tag", "attrs", "error"])
-
-    return statements.select("statement_id", "xml").mapInArrow(walk, ELEMENTS)
+    return statements.select("statement_id", "xml").mapInArrow(_walk, ELEMENTS)
 
 
 def attr(name: str) -> Column:

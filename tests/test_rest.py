@@ -191,3 +191,13 @@ def test_queries_may_start_in_several_threads(spark, monkeypatch):
     with ThreadPoolExecutor(8) as threads:
         list(threads.map(lambda _: session.ship(spark), range(8)))
     assert len(added) == 1
+
+
+def test_elements_are_given_out_in_bounded_batches():
+    """A batch of reports is not held as elements: what was read ahead of the first rows is a part of it."""
+    import pyarrow as pa
+
+    reports = pa.RecordBatch.from_pydict({"statement_id": list(range(500)), "xml": ["<R>" + '<P a="1"/>' * 99 + "</R>"] * 499 + ["<R"]})
+    found = [*S._walk([reports], 2_000)]
+    assert max(b.num_rows for b in found) == 2_000 and sum(b.num_rows for b in found) == 499 * 100 + 1
+    assert found[-1].column("error")[-1].as_py() == "not XML"
