@@ -1,5 +1,7 @@
 """Lectures: silence logs to chunk plans, drafts and attempts to audited transcripts, costs and word errors."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,6 +30,13 @@ def silence_spans(logs: DataFrame, recordings: DataFrame) -> DataFrame:
     return spans.select("recording_id", (F.row_number().over(order) - 1).alias("span_seq"), "start_s", F.col("stop").alias("end_s"))
 
 
+def _micro(x: float) -> float:
+    """To six digits as SQL rounds: the product, halves away from zero (times are none below it). Python's ``round`` takes the double's own decimals, so the two differ where a half is a bit off."""
+    scaled = x * 1e6
+    whole = math.floor(scaled)
+    return (whole + (scaled - whole >= 0.5)) / 1e6
+
+
 def _plan(start: float, end: float, maximum: float, window: float, a: np.ndarray, b: np.ndarray):
     """Chunks up to ``maximum`` long, each cut in the middle of the latest silence within ``window`` before its limit."""
     begun = start
@@ -40,7 +49,7 @@ def _plan(start: float, end: float, maximum: float, window: float, a: np.ndarray
         middle = lo[inside] + (hi[inside] - lo[inside]) / 2
         forced = limit < end and not len(middle)
         cut = float(middle.max()) if limit < end and len(middle) else limit
-        yield round(begun, 6), round(cut, 6), forced
+        yield _micro(begun), _micro(cut), forced
         begun = cut
 
 

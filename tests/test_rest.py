@@ -214,3 +214,16 @@ def test_ampersands_that_begin_no_known_entity_are_text(spark, tmp_path, rows):
     (written,) = (tmp_path / "written").glob("*.parquet")
     written.rename(tmp_path / "pages.parquet")
     same_rows(plans.str2_clean_cue_text(spark, str(tmp_path)), plans.SQL["str2_clean_cue_text"], str(tmp_path))
+
+
+def test_chunk_bounds_and_silences_are_rounded_as_in_sql(spark):
+    """The product's half decides, not that of the double's own decimals."""
+    import duckdb
+    import random
+
+    from quillspark.operators import lectures as L
+
+    draw = random.Random(7)
+    bounds = [draw.randrange(10_800_000) / 1000 + draw.randrange(1, 64) / 2**21 for _ in range(2_000)] + [k / 10_000_000 for k in range(5, 200_000, 10)]
+    want = [x for (x,) in duckdb.connect().execute("SELECT round(x, 6) FROM (SELECT unnest(?) AS x)", [bounds]).fetchall()]
+    assert [L._micro(x) for x in bounds] == want and [round(x, 6) for x in bounds] != want
