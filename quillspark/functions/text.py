@@ -20,6 +20,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of the value, which is computed once however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def fold_case(c: Column | str) -> Column:
     """Case-folded for comparisons: upper case first, as letters of one upper case are equal; ß is ss, every sigma is one, and a dotless i stays one."""
     apart = F.translate(col(c), "\u0131", "\ue000")
@@ -28,11 +33,13 @@ def fold_case(c: Column | str) -> Column:
 
 def parse_time(c: Column | str) -> Column:
     """``[H:]MM:SS.mmm`` (or a comma) to seconds; null where it is no time."""
-    parts = F.split(F.regexp_replace(col(c), ",", "."), ":")
-    n = F.size(parts)
-    seconds = F.element_at(parts, -1).try_cast("double")
-    minutes, hours = F.try_element_at(parts, F.lit(-2)).try_cast("int"), F.when(n == 3, F.try_element_at(parts, F.lit(-3)).try_cast("int")).otherwise(0)
-    return F.when(n.isin(2, 3), hours * 3600 + minutes * 60 + seconds)
+
+    def seconds(parts: Column) -> Column:
+        n = F.size(parts)
+        minutes, hours = F.try_element_at(parts, F.lit(-2)).try_cast("int"), F.when(n == 3, F.try_element_at(parts, F.lit(-3)).try_cast("int")).otherwise(0)
+        return F.when(n.isin(2, 3), hours * 3600 + minutes * 60 + F.element_at(parts, -1).try_cast("double"))
+
+    return let(F.split(F.translate(col(c), ",", "."), ":"), seconds)
 
 
 @F.pandas_udf(StringType())
@@ -40,6 +47,10 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+#: Not to be computed anew for each condition on the result.
+_unescape = _unescape.asNondeterministic()
+
+
 def html_unescape(c: Column | str) -> Column:
     """Entities to characters; Python sees only rows with an ampersand (the condition is tested before)."""
     return F.when(F.contains(col(c), F.lit("&")), _unescape(F.when(F.contains(col(c), F.lit("&")), col(c)))).otherwise(col(c))
@@ -62,8 +73,7 @@ def clean_cue_text(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Split at white space; a blank text has no tokens."""
-    trimmed = F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
+    return F.array_remove(F.split(F.trim(F.regexp_replace(col(c), r"(?U)\s+", " ")), " "), "")
 
 
 def token_key(t: Column | str) -> Column:
@@ -98,7 +108,10 @@ def overlap(a: Column | str, b: Column | str, limit: int) -> Column:
     over the tokens keeps a hash of b's beginning and of a's end and the largest size at which they agree, which is
     then compared; so the work grows with the number of tokens, not with its square.
     """
-    a, b = col(a), col(b)
+    return let(F.struct(col(a).alias("a"), col(b).alias("b")), lambda pair: _overlap(pair["a"], pair["b"], limit))
+
+
+def _overlap(a: Column, b: Column, limit: int) -> Column:
     most = F.least(F.size(a), F.size(b), F.lit(limit))
     at = lambda x, i: F.get(x, i)
     same = lambda n: F.slice(a, -n, n) == F.slice(b, F.lit(1), n)
