@@ -103,8 +103,8 @@ def test_files_in_and_out(spark, tmp_path, rows):
 def test_values_are_computed_once_and_cues_without_slices_of_all_tokens(spark, tmp_path):
     """What a column function names often is computed once; a long text's cues do not take the square of its length."""
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
-    assert plan(spark.range(1).select(X.parse_time(F.reverse(F.col("id").cast("string"))))).count("reverse(") == 1
-    pair = spark.range(1).select(X.overlap(F.split(F.reverse(F.col("id").cast("string")), ","), F.array(F.lit("a")), 5))
+    assert plan(spark.range(1).select(X.parse_time(F.reverse(F.col("id").cast("string"))).alias("x"))).count("reverse(") == 1
+    pair = spark.range(1).select(X.overlap(F.split(F.reverse(F.col("id").cast("string")), ","), F.array(F.lit("a")), 5).alias("x"))
     assert plan(pair).count("reverse(") == 1
     w = [f"w{i}" for i in range(60_000)]
     spark.createDataFrame([(1, " \n".join(w)), (2, " ".join(w[:11])), (3, " ".join(w[:13])), (4, None), (5, "  "), (6, "x" * 300_000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
