@@ -271,7 +271,7 @@ def request_plan(chunks: DataFrame, mode: str, rates: dict[str, float]) -> DataF
     return chunks.groupBy("recording_id").agg(F.count("*").alias("chunks"), (F.count("*") * (3 if mode == "dual-pass" else 1)).alias("requests"), (hours * sum(rates.values())).alias("cost"))
 
 
-def word_errors(pairs: list[tuple[list[str], list[str]]], at_once: int = 50_000) -> list[tuple[int, int, int]]:
+def word_errors(pairs: list[tuple[list[str], list[str]]], at_once: int = 1_000_000) -> list[tuple[int, int, int]]:
     """Substitutions, deletions and insertions of a least edit that makes the second text of each pair into the first.
 
     Pairs of like length are worked on together, up to ``at_once`` words (or a single pair).
@@ -289,45 +289,86 @@ def word_errors(pairs: list[tuple[list[str], list[str]]], at_once: int = 50_000)
     return out
 
 
-def _waves(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[int, int, int]]:
-    """For 0, 1, 2, ... edits the furthest place in ``meant`` that each diagonal of each pair reaches; on ties by a substitution, then a deletion.
+def _waves(pairs: list[tuple[list[str], list[str]]], cells: int = 500_000) -> list[tuple[int, int, int]]:
+    """The edits of each pair, with as little slack as will do: first only paths are followed that may end with the least edits that its texts need, then more."""
+    number: dict[str, int] = {}
+    coded = [tuple(np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (meant, said)) for said, meant in pairs]
+    least = np.array([_needs(meant, said) for meant, said in coded], np.int64)
+    out, open_, slack = [(0, 0, 0)] * len(pairs), [*range(len(pairs))], 0
+    while open_:
+        # Without slack few diagonals are followed; with it, so many pairs at once as have ``cells`` of them (or a single pair).
+        part = np.cumsum(2 * (least[open_] + slack) + 1) // cells if slack else np.zeros(len(open_), np.int64)
+        left = []
+        for own in (np.array(open_)[part == x].tolist() for x in np.unique(part)):
+            for k, x in zip(own, _within([coded[k] for k in own], least[own] + slack)):
+                if x is None:
+                    left.append(k)
+                else:
+                    out[k] = x
+        open_, slack = left, 4 * slack + 4
+    return out
+
+
+def _alone(words: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each place, how many words from there on the other text has nowhere; each of them takes an edit."""
+    return np.append(np.cumsum(~np.isin(words, others)[::-1])[::-1], 0)
+
+
+def _needs(meant: np.ndarray, said: np.ndarray) -> int:
+    return max(abs(len(said) - len(meant)), int(_alone(meant, said)[0]), int(_alone(said, meant)[0]))
 
-    The cost is the words times the edits, not the words' square. Texts lie one behind the other, each with an end that equals nothing.
+
+def _within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> list[tuple[int, int, int] | None]:
+    """For 0, 1, 2, ... edits the furthest place in ``meant`` that each diagonal of each pair reaches; on ties by a substitution, then a deletion. None where a pair takes more than its ``most`` edits.
+
+    A place is left where the edits so far and those that the rest needs at least (as many as the diagonal is away from the last
+    one, and as words are left that the other text lacks) are more than ``most``. What an edit leads to needs one less at most,
+    and so does no place further back on a diagonal, so what is kept is as without that. Of each pair the
+    diagonals are held from its first to its last. Texts lie one behind the other, each with an end that equals nothing.
     """
-    number: dict[str, int] = {}
-    code = lambda words, end: [*(number.setdefault(w, len(number)) for w in words), end]
-    meant, said = (np.array([x for p in pairs for x in code(p[side], end)], np.int64) for side, end in ((1, -1), (0, -2)))
-    m, n = (np.array([len(p[side]) for p in pairs]) for side in (1, 0))
+    ends = lambda side, end: np.concatenate([np.append(p[side], end) for p in pairs])
+    meant, said = ends(0, -1), ends(1, -2)
+    rest_m, rest_n = np.concatenate([_alone(*p) for p in pairs]), np.concatenate([_alone(p[1], p[0]) for p in pairs])
+    m, n = (np.array([len(p[side]) for p in pairs]) for side in (0, 1))
     at_m, at_n = np.cumsum(m + 1) - m - 1, np.cumsum(n + 1) - n - 1
-    out, live = [(0, 0, 0)] * len(pairs), np.arange(len(pairs))
+    out, live, most = [None] * len(pairs), np.arange(len(pairs)), np.array(most)
     reach, swaps, drops = (np.zeros((len(pairs), 1), np.int64) for _ in range(3))
-    nowhere, edits = np.int64(-(1 << 40)), 0
+    nowhere, edits, low = np.int64(-(1 << 40)), 0, np.zeros(len(pairs), np.int64)
     while True:
-        diagonal = np.arange(-edits, edits + 1)
         rows, columns = np.nonzero(reach >= 0)
-        i = reach[rows, columns]
-        a, b = at_m[rows] + i, at_n[rows] + i + diagonal[columns]
+        i, diagonal = reach[rows, columns], columns + low[rows]
+        a, b = at_m[rows] + i, at_n[rows] + i + diagonal
         going = np.arange(len(i))
         while len(going := going[meant[a[going]] == said[b[going]]]):
             a[going] += 1
             b[going] += 1
-        reach[rows, columns] = a - at_m[rows]
-        last = n - m + edits
-        inside = (last >= 0) & (last <= 2 * edits)
+        needs = np.maximum(np.abs((n - m)[rows] - diagonal), np.maximum(rest_m[a], rest_n[b]))
+        reach[rows, columns] = np.where(edits + needs <= most[rows], a - at_m[rows], nowhere)
+        last = n - m - low
+        inside = (last >= 0) & (last < reach.shape[1])
         own = np.arange(len(live))
-        ended = inside & (reach[own, np.where(inside, last, 0)] >= m)
+        at = np.where(inside, last, 0)
+        ended = inside & (reach[own, at] >= m)
         for k in np.flatnonzero(ended):
-            s, d = int(swaps[k, last[k]]), int(drops[k, last[k]])
+            s, d = int(swaps[k, at[k]]), int(drops[k, at[k]])
             out[live[k]] = (s, d, edits - s - d)
-        if ended.any():
-            keep = ~ended
-            live, m, n, at_m, at_n, reach, swaps, drops = (x[keep] for x in (live, m, n, at_m, at_n, reach, swaps, drops))
+        keep = ~ended & (reach >= 0).any(axis=1)
+        if not keep.all():
+            live, m, n, at_m, at_n, most, low, reach, swaps, drops = (x[keep] for x in (live, m, n, at_m, at_n, most, low, reach, swaps, drops))
         if not len(live):
             return out
-        edits += 1
-        diagonal = np.arange(-edits, edits + 1)
-        wide = lambda x, fill: np.pad(x, ((0, 0), (2, 2)), constant_values=fill)
+        there = reach >= 0
+        first, total = there.argmax(axis=1), there.shape[1]
+        own = first[:, None] + np.arange(int((total - there[:, ::-1].argmax(axis=1) - first).max()))
+        edits, low = edits + 1, low + first - 1
+
+        def wide(x, fill):
+            padded = np.full((len(x), own.shape[1] + 4), fill, np.int64)
+            padded[:, 2:-2] = np.where(own < total, np.take_along_axis(x, np.minimum(own, total - 1), 1), fill)
+            return padded
+
         far, swaps, drops = wide(reach, nowhere), wide(swaps, 0), wide(drops, 0)
+        diagonal = low[:, None] + np.arange(far.shape[1] - 2)
         options = np.stack([far[:, 1:-1] + 1, far[:, 2:] + 1, far[:, :-2]])
         options[(options > m[:, None]) | (options + diagonal > n[:, None])] = nowhere
         which = options.argmax(axis=0)

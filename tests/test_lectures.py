@@ -119,3 +119,28 @@ def test_status(spark, rows):
     assert rows(L.run_status(chunks, finals)) == [(1, "incomplete"), (2, "complete_needs_review"), (3, "complete")]
     assert rows(L.pending(chunks, finals, ["recording_id", "index"])) == [(1, 1)]
     _ = F
+
+
+def test_waves_follow_few_paths_where_the_least_edits_are_known():
+    """A long text without every tenth word, and one with a strange word at every fifteenth: the places followed are as many as the edits, not as their square."""
+    import random
+
+    from quillspark.operators import lectures as L
+
+    draw = random.Random(1)
+    meant = [f"v{draw.randrange(3_000)}" for _ in range(8_000)]
+    pairs = [([w for i, w in enumerate(meant) if (i + 1) % 10], meant), (["x" if (i + 1) % 15 == 0 else w for i, w in enumerate(meant)], meant)]
+    found, widest = [], 0
+    real = L.np.full
+
+    def full(shape, *args):
+        nonlocal widest
+        widest = max(widest, shape[1])
+        return real(shape, *args)
+
+    try:
+        L.np.full = full
+        found = L.word_errors(pairs)
+    finally:
+        L.np.full = real
+    assert found == [(0, 800, 0), (533, 0, 0)] and 0 < widest < 50
