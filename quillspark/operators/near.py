@@ -103,7 +103,11 @@ def links(sets: DataFrame, threshold: float, cells: int, seen: list | None = Non
     own = F.floor(F.log("size") / -np.log(threshold) + 1e-9).cast("int")
     bands = F.explode(F.array(F.struct(own.alias("band"), F.lit(True).alias("home")), F.struct((own + 1).alias("band"), F.lit(False).alias("home")))).alias("b")
     placed = ordered.select("*", F.posexplode(F.slice("first", F.lit(1), F.col("size") - F.col("least") + 1)).alias("pos", "key"))
-    rows = cut(placed.select(*_ROW, "key", F.col("id").alias("label"), bands).select(*_ROW, "key", "label", "b.band", "b.home"))
+    # Most shingles are in one set only: their buckets are known by narrow rows, and no row of theirs is dealt out or written.
+    met = placed.select("id", "key", bands).groupBy("b.band", "key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.bool_or("b.home").alias("any"))
+    met = cut(met.where("x <> y and any").select("band", "key"))
+    rows = placed.select(*_ROW, "key", F.col("id").alias("label"), bands).select(*_ROW, "key", "label", "b.band", "b.home")
+    rows = cut(rows.join(met, ["band", "key"], "left_semi"))
     found = None
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -227,3 +227,20 @@ def test_chunk_bounds_and_silences_are_rounded_as_in_sql(spark):
     bounds = [draw.randrange(10_800_000) / 1000 + draw.randrange(1, 64) / 2**21 for _ in range(2_000)] + [k / 10_000_000 for k in range(5, 200_000, 10)]
     want = [x for (x,) in duckdb.connect().execute("SELECT round(x, 6) FROM (SELECT unnest(?) AS x)", [bounds]).fetchall()]
     assert [L._micro(x) for x in bounds] == want and [round(x, 6) for x in bounds] != want
+
+
+def test_shingles_of_one_text_make_no_rows(spark, monkeypatch):
+    """Nothing is written for buckets in which texts cannot meet."""
+    from quillspark.operators import near
+
+    written = []
+
+    def kept(df):
+        if {"band", "key", "pos"} <= {*df.columns}:
+            written.append(df.count())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(near, "cut", kept)
+    texts = [(i, " ".join(f"w{i}_{k}" for k in range(40))) for i in range(20)]
+    found = near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == [(i, i) for i in range(20)] and sum(written) == 0
