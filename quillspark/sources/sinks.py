@@ -58,6 +58,18 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataF
     return spark.read.format(format).load(path)
 
 
+def pack_files(files: DataFrame, path: str) -> None:
+    """Adds packs of small files: path and text (or content) of each, in Parquet tables with the columns of the binaryFile source.
+
+    A store pays for each file when it is made, renamed, listed and opened, whatever its size; a pack is one of them for
+    thousands. Row groups of 32 MB are what a reader holds or takes apart. The readers take files and packs together.
+    """
+    content = F.col("content") if "content" in files.columns else F.encode("text", "UTF-8")
+    modified = F.col("modificationTime") if "modificationTime" in files.columns else F.current_timestamp()
+    rows = files.select("path", modified.alias("modificationTime"), F.length(content).cast("long").alias("length"), content.alias("content"))
+    rows.write.mode("append").option("parquet.block.size", 32 << 20).parquet(path)
+
+
 def write_transcripts(transcripts: DataFrame, path: str, overwrite: bool = False) -> None:
     """file_id, markdown and text, a folder for each kind, by ``write_table``."""
     kinds = F.array(F.struct(F.lit("md").alias("kind"), F.col("markdown").alias("document")), F.struct(F.lit("txt").alias("kind"), F.col("text").alias("document")))

@@ -4,12 +4,13 @@ import random
 
 import numpy as np
 import pytest
+from conftest import SMALL
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import lectures as L, near, notes as N, pages as P, statements as S, tasks as T
-from quillspark.sources import files, readers
+from quillspark.sources import files, readers, sinks
 from quillspark.sources.sinks import read_table, write_table
 from quillspark.streaming import jobs, store as store_module
 from quillspark.streaming.store import Store
@@ -253,3 +254,55 @@ def test_sections_of_large_reports(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     whole = S.positions(S.statement_elements(readers.read_statements(spark, str(tmp_path))))
     assert got == sorted(map(str, whole.drop("statement_id", "elem_seq").collect())) and len(got) == 3002
+
+
+def test_files_and_packs_are_read_alike(spark, tmp_path, rows):
+    """What a reader makes of files it makes of the same files in a pack, and of some loose and some packed."""
+    texts = {"a.vtt": "\ufeffWEBVTT\n\n00:00.000 --> 00:01.000\nHé".encode() + b"\xff\n", "b.doc": b"x", "c.xml": b'<R><P a="1"/><P a="x &gt; y"></P><PQ a="3"/></R>', "d.json": b' {"a": 1}\n', "e": b""}
+    for folder, names in (("all", texts), ("some", list(texts)[::2]), ("rest", list(texts)[1::2])):
+        (tmp_path / folder).mkdir()
+        for name in names:
+            (tmp_path / folder / name).write_bytes(texts[name])
+    whole, some, rest, packs = (str(tmp_path / x) for x in ("all", "some", "rest", "packs"))
+    sinks.pack_files(readers.read_files(spark, rest), packs)
+    reads = {"captions": readers.read_captions, "statements": readers.read_statements, "responses": readers.read_responses, "section": lambda s, p, **kw: readers.read_section(s, p, "P", ["a"], **kw)}
+    for name, read in reads.items():
+        plain, mixed = read(spark, whole), read(spark, some, packed=packs)
+        own = [c for c in plain.columns if c not in ("path", "modified", "statement_id")]
+        at = F.regexp_extract("path", "([^/]+)$", 1)
+        assert rows(plain.select(at, *own)) == rows(mixed.select(at, *own)) != [], name
+
+
+def test_rows_become_few_files(spark, monkeypatch, tmp_path):
+    """The queries that read files make as many of 200 rows as of a hundred; SRC and STM-1 made one for each row."""
+    import os
+    import pathlib
+
+    from quillspark.plans import records
+
+    monkeypatch.setattr(records, "_folder", lambda _, name: f"file://{tmp_path}/{name}")
+    records.Q["src3_read_responses"](spark, SMALL).count()
+    records._captions(spark, SMALL)
+    records._reports(spark, SMALL)
+    for name in ("responses", "captions", "reports"):
+        n = [f for _, _, files in os.walk(pathlib.Path(tmp_path) / name) for f in files if not f.startswith(("_", "."))]
+        assert 90 <= sum(f.endswith(".txt") for f in n) <= 100 and len(n) <= 100 + 3 * 8
+
+
+def test_a_stream_takes_a_path_once(spark, tmp_path):
+    """Of files and packs alike: a pack with a file that was taken loose, or from an older pack, adds its new ones only."""
+    cue = "00:00.000 --> 00:01.000\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.vtt").write_text("WEBVTT\n\n" + cue + "a\n")
+    loose, packs, out, state = (str(tmp_path / x) for x in ("in", "packs", "out", "state"))
+
+    def run():
+        jobs.stream_captions(spark, loose, out, state, packed=packs).awaitTermination()
+        return sorted(r.text for r in spark.read.parquet(out).collect())
+
+    pack = lambda *names: sinks.pack_files(spark.createDataFrame([(f"{n}.vtt", f"WEBVTT\n\n{cue}{n}\n") for n in names], "path string, text string"), packs)
+    pack("b")
+    assert run() == ["a", "b"] and run() == ["a", "b"]
+    pack("b", "c")
+    sinks.pack_files(readers.read_files(spark, loose), packs)
+    assert run() == ["a", "b", "c"]
