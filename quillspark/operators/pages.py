@@ -1,5 +1,7 @@
 """Page OCR bundles: text layers, images, prompts, cached results, complete documents, traces; and the gate for extracted text."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,8 +76,11 @@ def assign_assets(images: DataFrame) -> DataFrame:
     return images.withColumn("__f", first).withColumn("asset_path", F.when(F.col("extractable"), F.concat(F.lit("derived/assets/"), name))).drop("__f")
 
 
-def images_by_page(images: DataFrame) -> DataFrame:
-    fields = ["page_image_index", "asset_path", "bbox", "extractable", "kind", "notes"]
+IMAGE_FIELDS = ("page_image_index", "asset_path", "bbox", "extractable", "kind", "notes")
+
+
+def images_by_page(images: DataFrame, fields: Sequence[str] = IMAGE_FIELDS) -> DataFrame:
+    """Each page's images in order. Only the fields asked for are shuffled, here and in what numbers and names the images before."""
     return images.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("images"))
 
 

@@ -95,7 +95,9 @@ SQL["prj8_render_plan"] = f"WITH {PAGE_TEXT}, {LAYERS}, {BLOCKS}, {PROFILES} SEL
 
 @query
 def prj20_page_prompts(spark, sf):
-    images = P.images_by_page(_images(spark, sf))
+    # A prompt lists the images that have an asset, by number and path; no others are named or gathered.
+    linked = P.assign_assets(P.index_images(P.classify_images(I.image_blocks(spark, sf))).where("extractable"))
+    images = P.images_by_page(linked, ["page_image_index", "asset_path"])
     return P.page_prompts(_profiles(spark, sf).join(images, P.KEYS, "left"), "BASE", SECTIONS).select(*P.KEYS, "page_prompt_sha256")
 
 

@@ -306,3 +306,13 @@ def test_a_stream_takes_a_path_once(spark, tmp_path):
     pack("b", "c")
     sinks.pack_files(readers.read_files(spark, loose), packs)
     assert run() == ["a", "b", "c"]
+
+
+def test_prompts_carry_the_fields_they_list(spark):
+    """Notes and boxes of images were shuffled twice for prompts that have neither."""
+    from quillspark.plans import pages
+
+    plan = pages.Q["prj20_page_prompts"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "asset_path" in plan and P.NOTES["small_form_control"] not in plan
+    images = spark.createDataFrame([(1, 1, 2, "b"), (1, 1, 1, "a")], "bundle_id long, page_number int, page_image_index int, asset_path string")
+    assert [[tuple(i) for i in r.images] for r in P.images_by_page(images, ["page_image_index", "asset_path"]).collect()] == [[(1, "a"), (2, "b")]]
