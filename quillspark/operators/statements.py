@@ -120,11 +120,12 @@ def positions_in_base(elements: DataFrame) -> DataFrame:
     """Values in the base currency by asset category and currency, with subtotals (level 0: both, 1: category, 3: all)."""
     value = F.col("positionValue").try_cast("decimal(28,6)") * F.coalesce(F.col("fxRateToBase").try_cast("decimal(18,6)"), F.lit(1))
     rows = positions(elements).select("statement_id", F.col("assetCategory").alias("asset_category"), "currency", value.cast("decimal(38,6)").alias("value"))
-    rolled = rows.groupBy("statement_id", F.col("asset_category"), "currency").agg(F.sum("value").alias("value"))
-    both = rolled.select("statement_id", "asset_category", "currency", F.lit(0).alias("level"), "value")
-    category = rolled.groupBy("statement_id", "asset_category").agg(F.sum("value").alias("value")).select("statement_id", "asset_category", F.lit(None).cast("string").alias("currency"), F.lit(1).alias("level"), "value")
-    whole = rolled.groupBy("statement_id").agg(F.sum("value").alias("value")).select("statement_id", F.lit(None).cast("string").alias("asset_category"), F.lit(None).cast("string").alias("currency"), F.lit(3).alias("level"), "value")
-    return both.unionByName(category).unionByName(whole)
+    rolled = rows.groupBy("statement_id", "asset_category", "currency").agg(F.sum("value").alias("value"))
+    # A sum goes into that of each level, so the positions are read once and, dealt by statement, need no further shuffle.
+    none = F.lit(None).cast("string")
+    level = lambda i, category, currency: F.struct(F.lit(i).alias("level"), F.col("asset_category").alias("asset_category") if category else none.alias("asset_category"), F.col("currency").alias("currency") if currency else none.alias("currency"))
+    rows = rolled.select("statement_id", "value", F.explode(F.array(level(0, True, True), level(1, True, False), level(3, False, False))).alias("x"))
+    return rows.groupBy("statement_id", F.col("x.asset_category").alias("asset_category"), F.col("x.currency").alias("currency"), F.col("x.level").alias("level")).agg(F.sum("value").alias("value"))
 
 
 def nav_share(held: DataFrame) -> DataFrame:

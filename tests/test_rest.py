@@ -282,3 +282,25 @@ def test_live_paragraphs_are_fed_by_all_tasks_and_take_frames_of_any_order(spark
     q.awaitTermination()
     assert rows(spark.table("live_any_order").drop("late_cues")) == rows(C.build_paragraphs(cues))
     assert any("rocksdb" in k for k in q.lastProgress["stateOperators"][0]["customMetrics"])
+
+
+def test_reports_of_many_lines_are_dealt_to_more_tasks(spark, monkeypatch):
+    """What one task sorts or groups depends on the rows that it gets, not on how many there are, and the sums are the same."""
+    from compare import same_rows
+
+    from quillspark.plans import records
+
+    monkeypatch.setattr(I, "ROWS_A_TASK", 500)
+    n = I.tasks_for(I.table(spark, SMALL, "lineitem"))
+    assert n > 8  # tasks of a shuffle here
+    assert S.positions_in_base(I.statement_elements(spark, SMALL)).rdd.getNumPartitions() == n
+    for name in ("agg9_positions_in_base", "win11_nav_share", "agg8_summaries"):
+        same_rows(records.Q[name](spark, SMALL), records.SQL[name], SMALL)
+
+
+def test_sums_of_positions_keep_missing_categories_apart_from_subtotals(spark, rows):
+    values = [(1, None, None, "2"), (1, None, "USD", "3"), (1, "A", "USD", "x"), (1, "A", "EUR", "4"), (2, "A", "EUR", None)]
+    elements = spark.createDataFrame([(s, i, "OpenPosition", {k: v for k, v in (("assetCategory", a), ("currency", c), ("positionValue", v)) if v is not None}) for i, (s, a, c, v) in enumerate(values)], "statement_id long, elem_seq int, tag string, attrs map<string,string>")
+    found = S.positions_in_base(elements).select("statement_id", "asset_category", "currency", "level", F.col("value").cast("double"))
+    want = [(1, None, None, 0, 2.0), (1, None, "USD", 0, 3.0), (1, "A", "USD", 0, None), (1, "A", "EUR", 0, 4.0), (2, "A", "EUR", 0, None), (1, None, None, 1, 5.0), (1, "A", None, 1, 4.0), (2, "A", None, 1, None), (1, None, None, 3, 9.0), (2, None, None, 3, None)]
+    assert rows(found) == sorted(want, key=repr)
