@@ -5,6 +5,7 @@ import tempfile
 import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +63,19 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+_SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """Within it, and where the session has no setting of its own, a query's shuffle files go when it has ended, not when the driver happens to collect its garbage. For work in steps, each of which is written before the next one."""
+    own = spark.conf.get(_SHUFFLES_END, None)
+    if own is None:
+        spark.conf.set(_SHUFFLES_END, "true")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(_SHUFFLES_END)

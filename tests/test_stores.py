@@ -228,6 +228,44 @@ def test_candidates_grow_with_links_not_with_buckets(spark):
     assert verified[0] <= 2 * 200 and verified[2] <= 5 * verified[0]
 
 
+def test_near_duplicates_keep_neither_texts_nor_shingles(spark, monkeypatch):
+    """What is written of texts that are no copies is less than they are (their shingles as hashes were more than twice as much), and a hub's close texts need no pairs of their own."""
+    import random
+
+    random.seed(3)
+    kept = []
+    for name in ("cut", "written"):
+        monkeypatch.setattr(near, name, lambda df, own=getattr(near, name, near.cut): kept.append(own(df)) or kept[-1])
+    word = lambda: "".join(random.choices("abcdefghij", k=5))
+    texts = [" ".join(word() for _ in range(400)) for _ in range(60)]
+    hub = texts[0].split()
+    texts += [" ".join("new" if k == 7 * i % 400 else w for k, w in enumerate(hub)) for i in range(40)]
+    seen = []
+    got = dict(near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), seen=seen).collect())
+    assert got == {i: 0 if i > 59 else i for i in range(100)}
+    longs = sum(len(r[c]) for df in kept for c, kind in df.dtypes if kind == "array<bigint>" for r in df.select(c).collect())
+    assert longs * 8 < sum(map(len, texts)) / 2 and sum(seen) <= 100
+    assert not any(kind == "string" and c == "text" for df in kept for c, kind in df.dtypes)
+
+
+def test_shingles_are_told_apart(spark):
+    import pyarrow as pa
+    import random
+
+    random.seed(1)
+    words = ["a", "bb", "é", "x" * 40, "y" * 40, "x" * 32, "ab", "ba"]
+    texts = [" ".join(random.choices(words, k=random.randrange(30))) for _ in range(300)] + ["", "", "a"]
+    one = {}
+    for array in (pa.array(texts), pa.array(["zz", *texts])[1:], pa.array(["", ""])):
+        for text, found in zip(array.to_pylist(), near.shingle_sets(array, 5)):
+            w = text.split(" ")
+            want = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+            assert len(found) == len(want)
+            if len(want) == 1:
+                assert one.setdefault(want.pop(), found[0]) == found[0]
+    assert len(set(one.values())) == len(one) > 20
+
+
 def test_sketches_of_deliveries(spark):
     """Terms in up to 20,000 documents: the merged estimates within five deviations, and the most frequent terms as they are."""
     docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('all all t', id % 7, ' u', id % 1000, if(id % 3 = 0, ' third', '')) AS text")
